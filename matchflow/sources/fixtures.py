@@ -171,9 +171,8 @@ def arrivals(stored: DataFrame) -> DataFrame:
     )
 
 
-def wire(stored: DataFrame) -> DataFrame:
-    """Events as JSON-ready text fields, some of them malformed."""
-    seen = with_no(stored)
+def wire(seen: DataFrame) -> DataFrame:
+    """Arrived events as JSON-ready text fields, some of them malformed."""
     k = F.col("k")
     return seen.select(
         F.when(k == 99, F.concat(F.lit("bad-"), F.col("event_no").cast("string")))
