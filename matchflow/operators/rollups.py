@@ -14,7 +14,10 @@ from matchflow.functions import running as run
 from matchflow.functions.scalars import clamp, count_if, flag, number, parse_payload, seconds_between, text
 
 ROUND = ["match_id", "map_id", "round_no"]
-_AT = F.struct("ts_event", "seq_no")
+
+
+def _at(when: Column) -> Column:
+    return F.when(when, F.struct("ts_event", "seq_no"))
 
 
 def _is(*names: str) -> Column:
@@ -26,11 +29,11 @@ def _kill(team: str) -> Column:
 
 
 def _last(value: Column, when: Column) -> Column:
-    return F.max_by(value, F.when(when, _AT))
+    return F.max_by(value, _at(when))
 
 
 def _first(value: Column, when: Column) -> Column:
-    return F.min_by(value, F.when(when, _AT))
+    return F.min_by(value, _at(when))
 
 
 def events_parsed(raw: DataFrame) -> DataFrame:

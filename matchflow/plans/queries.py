@@ -36,7 +36,7 @@ def query(f: Query) -> Query:
 
 
 def ms(name: str, alias: str | None = None) -> Column:
-    return F.unix_millis(name).alias(alias or name.replace("_ts", "_ms").replace("ts_", "ms_"))
+    return F.unix_millis(name).alias(alias or name.removesuffix("_ts") + "_ms")
 
 
 def r6(value: Column | str, alias: str | None = None) -> Column:
@@ -523,12 +523,12 @@ def dlq_entries(spark, d):
 
 @query
 def retry_exhausted(spark, d):
-    """Every tenth event failed once to four times."""
-    seen = fx.with_no(tables.events(spark, d)).filter("event_no % 10 = 0")
-    tries = seen.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.col("k") % 4)))
+    """Attempts that failed: none to five per event, depending on ``k``."""
+    seen = fx.with_no(tables.events(spark, d))
+    tries = seen.withColumn("attempt", F.explode(F.array_repeat(F.lit(1), F.col("k") % 6)))
     failures = tries.select(
         "event_id", F.concat_ws(":", "match_id", "map_id").alias("shard"),
-        (F.unix_millis("ts_ingest") + F.col("attempt") * 1000).alias("failed_at"),
+        (F.unix_millis("ts_ingest") + F.col("attempt")).alias("failed_at"),
     )
     return dead_letter.retry_exhausted(failures)
 
@@ -638,8 +638,9 @@ def sliding_rate_minute(spark, d):
 def effective_flags(spark, d):
     """Flags of each client as one text ``NAME=true|false``, ordered."""
     rows = usage.effective_flags(fx.feature_flags(spark, d), fx.api_clients(spark, d))
-    pairs = F.transform(F.map_entries("flags"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return rows.select("client_id", F.concat_ws(";", F.sort_array(pairs)).alias("flags"))
+    by_name = F.sort_array(F.map_entries("flags"))
+    pairs = F.transform(by_name, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return rows.select("client_id", F.concat_ws(";", pairs).alias("flags"))
 
 
 @query
