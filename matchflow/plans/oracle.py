@@ -759,3 +759,22 @@ def _runs(ctes: str, condition: str, service: str, at_least: int) -> str:
 
 ORACLE["alert_runs"] = _runs(AUDIT, "count(*) FILTER (status_code >= 500) / count(*) * 100 > 1", "gateway", 2)
 ORACLE["latency_alert_runs"] = _runs(LATENCY, "quantile_cont(e2e_ms, 0.95) > 500", "pipeline", 5)
+
+# Streams end with what the batch operators give.
+ORACLE["stream_state"] = ORACLE["match_state"]
+ORACLE["stream_timeline"] = ORACLE["match_timeline"]
+ORACLE["stream_round_metrics"] = ORACLE["round_metrics"]
+ORACLE["prediction_stream"] = pred(
+    "SELECT match_id, state_version, round(p_team_a_win, 6) AS p_team_a_win FROM pr"
+)
+# The line of sequence number 7 is no JSON, whatever the event in it.
+_VALID = f"(NOT ({BAD})) AND seq_no <> 7"
+ORACLE["intake_stream"] = sql(FX, ARR, WIRE, body=f"""
+    SELECT DISTINCT event_id, match_id, map_id, round_no, type, source, seq_no, ts_event_ms FROM wr WHERE {_VALID}""")
+ORACLE["stream_dedup"] = sql(FX, ARR, WIRE, body=f"""
+    SELECT DISTINCT match_id, event_id, CAST(1 AS BIGINT) AS copies FROM wr WHERE {_VALID}""")
+_NO_JSON = "event_id,match_id,map_id,round_no,ts_event,type,source,seq_no,payload,clock_skew"
+ORACLE["stream_quarantine"] = sql(FX, ARR, WIRE, body=f"""
+    SELECT event_id, match_id || ':' || map_id AS shard, {ALL_ERRORS} AS error,
+      {ISO.format('ts_ingest_ms')} AS first_failed_at FROM wr WHERE ({BAD}) AND seq_no <> 7
+    UNION ALL SELECT NULL, '', '{_NO_JSON}', NULL FROM wr WHERE seq_no = 7""")

@@ -21,6 +21,7 @@ from matchflow.plans import tables
 from matchflow.session import prepare, shared_path
 from matchflow.sources import fixtures as fx
 from matchflow.sources import store
+from matchflow.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -875,3 +876,59 @@ def system_summary(spark, d):
         fx.audit_log(spark, d),
     )
     return rows.select("events", "predictions", "active_matches", r6("avg_latency_ms"), r6("error_rate"))
+
+
+# --- Streams (run to the end, then read from their sinks) ---------------------
+
+
+@query
+def intake_stream(spark, d):
+    """Valid events stored by the intake job, each once."""
+    rows = spark.read.parquet(f"{jobs.intake(spark, d)}/raw")
+    return rows.select("event_id", "match_id", "map_id", "round_no", "type", "source", "seq_no", ms("ts_event"))
+
+
+@query
+def stream_quarantine(spark, d):
+    """Rejected lines, those that are no JSON included."""
+    rows = spark.read.parquet(f"{jobs.intake(spark, d)}/quarantine")
+    return rows.select("event_id", "shard", "error", "first_failed_at")
+
+
+@query
+def stream_dedup(spark, d):
+    """Copies the intake job stored per event: always one."""
+    rows = spark.read.parquet(f"{jobs.intake(spark, d)}/raw")
+    return rows.groupBy("match_id", "event_id").agg(F.count("*").alias("copies"))
+
+
+@query
+def stream_sequence(spark, d):
+    rows = spark.read.parquet(f"{jobs.sequence(spark, d)}/actions")
+    return rows.select("match_id", "map_id", "event_id", "seq_no", "action", "outcome")
+
+
+@query
+def stream_state(spark, d):
+    """Streamed states; equal to the batch ones."""
+    rows = spark.read.parquet(f"{jobs.states(spark, d)}/state")
+    from matchflow.streaming.pipeline import nested
+
+    return state_out(nested(rows))
+
+
+@query
+def prediction_stream(spark, d):
+    """Streamed predictions; equal to the batch ones."""
+    rows = spark.read.parquet(f"{jobs.predictions(spark, d)}/predictions")
+    return rows.select("match_id", "state_version", r6("p_team_a_win"))
+
+
+@query
+def stream_timeline(spark, d):
+    return jobs.timeline(spark, d).select("match_id", ms("minute", "minute_ms"), "events_count", "kills_count")
+
+
+@query
+def stream_round_metrics(spark, d):
+    return round_out(jobs.rounds(spark, d))
