@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,20 @@ def build_session(master: str | None = None, app: str = "matchflow", **extra: st
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the run-time settings that results depend on, whoever built the session."""
+    """Pin the settings results depend on, whoever built the session, and give
+    the package to the Python workers of every executor."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="matchflow-code-"), "matchflow")
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, "matchflow"))
+        _shipped.add(application)
     return spark
 
 

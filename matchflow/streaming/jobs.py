@@ -70,7 +70,7 @@ def raw_folder(spark: SparkSession, sf_dir: str) -> str:
 
 def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = raw_folder(spark, sf_dir)
-    return spark.readStream.schema(sc.RAW).option("maxFilesPerTrigger", 4).parquet(f"{path}/slice=*")
+    return spark.readStream.schema(sc.RAW).option("maxFilesPerTrigger", 2).parquet(f"{path}/slice=*")
 
 
 def intake(spark: SparkSession, sf_dir: str) -> str:

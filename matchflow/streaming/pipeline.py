@@ -21,7 +21,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State larger than memory, changelog checkpoints; needed by the processors."""
+    """Keyed state that may outgrow memory, with changelog checkpoints."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
@@ -73,7 +73,7 @@ def batch_sink(*outputs: tuple[str, Callable[[DataFrame], DataFrame]]) -> Callab
         kept = batch.persist() if len(outputs) > 1 else batch
         for path, view in outputs:
             view(kept).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        if kept is not batch or len(outputs) > 1:
+        if len(outputs) > 1:
             kept.unpersist()
 
     return write
@@ -81,13 +81,21 @@ def batch_sink(*outputs: tuple[str, Callable[[DataFrame], DataFrame]]) -> Callab
 
 def start(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append",
           trigger: dict | None = None):
-    return (
+    trigger = trigger or {"processingTime": "1 second"}
+    # A processing-time timeout asks for one more empty batch each time, so a
+    # run that should end with its input must not have empty batches.
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = stream.sparkSession.conf.get(setting)
+    stream.sparkSession.conf.set(setting, "false" if trigger.get("availableNow") else before)
+    query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(sink)
-        .trigger(**(trigger or {"processingTime": "1 second"}))
+        .trigger(**trigger)
         .start()
     )
+    stream.sparkSession.conf.set(setting, before)
+    return query
 
 
 def _same(batch: DataFrame) -> DataFrame:
@@ -114,19 +122,13 @@ def sequence_stage(events: DataFrame, arrival: Column) -> DataFrame:
         F.unix_millis("ts_ingest").alias("received_ms"),
         (F.unix_millis("ts_ingest") - F.unix_millis("ts_event")).alias("age_ms"),
     )
-    return slim.groupBy("match_id", "map_id").transformWithStateInPandas(
-        statefulProcessor=proc.SequenceProcessor(), outputStructType=proc.SequenceProcessor.schema,
-        outputMode="Append", timeMode="ProcessingTime",
-    )
+    return proc.SequenceProcessor.apply(slim, "match_id", "map_id")
 
 
 def state_stage(events: DataFrame) -> DataFrame:
     """State of the match after each event."""
     slim = events.select("match_id", "map_id", "event_id", "round_no", "type", "seq_no", "ts_event", "payload")
-    return slim.groupBy("match_id").transformWithStateInPandas(
-        statefulProcessor=proc.StateProcessor(), outputStructType=proc.StateProcessor.schema,
-        outputMode="Append", timeMode="ProcessingTime",
-    )
+    return proc.StateProcessor.apply(slim, "match_id")
 
 
 def nested(flat: DataFrame) -> DataFrame:
@@ -143,10 +145,7 @@ def limit_stage(states: DataFrame) -> DataFrame:
     """Published probabilities from state rows; scoring itself is plain columns."""
     scored = scoring.score(scoring.features(scoring.significant(nested(states))))
     slim = scored.select("match_id", "state_version", "p_raw", F.unix_millis("ts_event").alias("ts_ms"))
-    return slim.groupBy("match_id").transformWithStateInPandas(
-        statefulProcessor=proc.LimitProcessor(), outputStructType=proc.LimitProcessor.schema,
-        outputMode="Append", timeMode="ProcessingTime",
-    )
+    return proc.LimitProcessor.apply(slim, "match_id")
 
 
 def state_views(out: str) -> Callable[[DataFrame, int], None]:

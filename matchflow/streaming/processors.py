@@ -11,7 +11,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchflow import schema as sc
 from matchflow.operators.scoring import MOVE_BASE, MOVE_PER_SECOND, SWING_BASE, SWING_PER_SECOND
@@ -20,29 +21,36 @@ from matchflow.operators.sequence import Tracker
 HOUR_MS = 3_600_000
 
 
-class _Keyed(StatefulProcessor):
+class _Keyed:
     """One JSON value per key; subclasses fold rows into it."""
 
     ttl_ms = 24 * HOUR_MS
     order: list[str] = []
     columns: list[str] = []
+    schema = ""
+
+    @classmethod
+    def handle(cls, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = json.loads(state.get[0]) if state.exists else None
+        batch = pd.concat(list(rows)).sort_values(cls.order, kind="stable")
+        known, out = cls.fold(key, known, batch)
+        state.update((json.dumps(known),))
+        state.setTimeoutDuration(cls.ttl_ms)
+        yield pd.DataFrame(out, columns=cls.columns)
+
+    @classmethod
+    def apply(cls, stream: DataFrame, *keys: str) -> DataFrame:
+        return stream.groupBy(*keys).applyInPandasWithState(
+            cls.handle, cls.schema, "json string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        )
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", "json string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = json.loads(self.value.get()[0]) if self.value.exists() else None
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        known, out = self.fold(key, known, batch)
-        self.value.update((json.dumps(known),))
-        yield pd.DataFrame(out, columns=self.columns)
-
-    def fold(self, key, known, batch: pd.DataFrame):
+    @staticmethod
+    def fold(key: tuple, known: dict | None, batch: pd.DataFrame) -> tuple[dict, list[tuple]]:
         raise NotImplementedError
 
-    def close(self) -> None:
-        pass
-
 
 class SequenceProcessor(_Keyed):
     """Action and outcome of every event of a shard, as they settle."""
@@ -52,7 +60,8 @@ class SequenceProcessor(_Keyed):
     columns = ["match_id", "map_id", "event_id", "seq_no", "action", "outcome"]
     schema = "match_id string, map_id string, event_id string, seq_no long, action string, outcome string"
 
-    def fold(self, key, known, batch):
+    @staticmethod
+    def fold(key, known, batch):
         known = known or {"last": None, "waiting": [], "clock": 0}
         tracker = Tracker(last=known["last"], waiting=[tuple(w) for w in known["waiting"]])
         clock, out = known["clock"], []
@@ -137,7 +146,8 @@ class StateProcessor(_Keyed):
         )
     )
 
-    def fold(self, key, known, batch):
+    @staticmethod
+    def fold(key, known, batch):
         out = []
         for r in batch.itertuples(index=False):
             payload = json.loads(r.payload) if r.payload else {}
@@ -157,7 +167,8 @@ class LimitProcessor(_Keyed):
     columns = ["match_id", "state_version", "p_team_a_win"]
     schema = "match_id string, state_version long, p_team_a_win double"
 
-    def fold(self, key, known, batch):
+    @staticmethod
+    def fold(key, known, batch):
         out = []
         for r in batch.itertuples(index=False):
             p, now = float(r.p_raw), int(r.ts_ms)
