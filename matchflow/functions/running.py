@@ -36,7 +36,7 @@ def row_number() -> Running:
 
 
 def total(value: Column, prior: bool = False) -> Running:
-    """Sum up to the row (``prior``: up to the row before)."""
+    """Sum up to the row (``prior``: up to the row before), 0 over nothing."""
     return Running("total", value, prior=prior)
 
 
@@ -55,6 +55,7 @@ def latest(value: Column, prior: bool = False) -> Running:
 
 
 def earliest(value: Column) -> Running:
+    """First non-null value up to the row."""
     return Running("earliest", value)
 
 
@@ -85,10 +86,14 @@ def excess(value: Column) -> Running:
 class _Parts:
     """Columns of one request, layer by layer."""
 
-    local: list[list[tuple[str, Column]]] = field(default_factory=list)
-    tail: list[tuple[str, Column]] = field(default_factory=list)
-    carry: list[list[tuple[str, Column]]] = field(default_factory=list)
-    result: Column | None = None
+    local: list[list[tuple[str, Column]]]
+    tail: list[tuple[str, Column]]  # aggregates of a chunk
+    carry: list[list[tuple[str, Column]]]
+    result: Column
+    end: list[tuple[str, Column]] = field(default_factory=list)  # the same, read off the chunk's last row
+
+
+_ORDERED = ("since", "highest_since", "excess")
 
 
 def _parts(name: str, spec: Running, order: list[str], inside, chunks) -> _Parts:
@@ -106,15 +111,18 @@ def _parts(name: str, spec: Running, order: list[str], inside, chunks) -> _Parts
             [(tail, F.sum(v))],
             [[(carry, F.coalesce(F.sum(tail).over(before), F.lit(0)))]],
             F.col(loc) + F.col(carry),
+            [(tail, F.sum(v).over(upto) if spec.prior else F.col(loc))],
         )
     if spec.kind == "whole":
-        return _Parts([], [(tail, F.sum(v))], [[(carry, F.sum(tail).over(everything))]], F.col(carry))
+        return _Parts([], [(tail, F.sum(v))], [[(carry, F.sum(tail).over(everything))]], F.col(carry),
+                      [(tail, F.sum(v).over(upto))])
     if spec.kind == "highest":
         return _Parts(
             [[(loc, F.max(v).over(frame))]],
             [(tail, F.max(v))],
             [[(carry, F.max(tail).over(before))]],
             F.greatest(loc, carry),
+            [(tail, F.max(v).over(upto) if spec.prior else F.col(loc))],
         )
     if spec.kind in ("latest", "previous"):
         out = F.coalesce(loc, carry)
@@ -123,6 +131,7 @@ def _parts(name: str, spec: Running, order: list[str], inside, chunks) -> _Parts
             [(tail, F.max_by(v, F.when(v.isNotNull(), along)))],
             [[(carry, F.last(tail, ignorenulls=True).over(before))]],
             out["v"] if spec.kind == "previous" else out,
+            [(tail, F.last(v, ignorenulls=True).over(upto) if spec.prior else F.col(loc))],
         )
     if spec.kind == "earliest":
         return _Parts(
@@ -130,6 +139,7 @@ def _parts(name: str, spec: Running, order: list[str], inside, chunks) -> _Parts
             [(tail, F.min_by(v, F.when(v.isNotNull(), along)))],
             [[(carry, F.first(tail, ignorenulls=True).over(before))]],
             F.coalesce(carry, loc),
+            [(tail, F.col(loc))],
         )
     if spec.kind == "since":
         return _Parts(
@@ -137,7 +147,7 @@ def _parts(name: str, spec: Running, order: list[str], inside, chunks) -> _Parts
                 [(loc, F.sum(v).over(upto))],
                 [(loc2, F.max(F.when(spec.marker, F.col(loc))).over(upto))],
             ],
-            [(tail, F.sum(v)), (tail2, F.max(F.when(spec.marker, F.col(loc))))],
+            [(tail, F.col(loc)), (tail2, F.col(loc2))],
             [
                 [(carry, F.coalesce(F.sum(tail).over(before), F.lit(0)))],
                 [(carry2, F.coalesce(F.max(F.col(carry) + F.col(tail2)).over(before), F.lit(0)))],
@@ -156,7 +166,7 @@ def _parts(name: str, spec: Running, order: list[str], inside, chunks) -> _Parts
                 [(loc, F.sum(F.when(spec.marker, 1).otherwise(0)).over(upto))],
                 [(loc2, F.max(pair).over(upto))],
             ],
-            [(tail, F.sum(F.when(spec.marker, 1).otherwise(0))), (tail2, F.max(pair))],
+            [(tail, F.col(loc)), (tail2, F.col(loc2))],
             [
                 [(carry, F.coalesce(F.sum(tail).over(before), F.lit(0)))],
                 [(carry2, F.max(shifted).over(before))],
@@ -167,7 +177,7 @@ def _parts(name: str, spec: Running, order: list[str], inside, chunks) -> _Parts
         lowest = F.least(F.col(carry2), F.col(carry) + F.col(loc2))
         return _Parts(
             [[(loc, F.sum(v).over(upto))], [(loc2, F.min(loc).over(upto))]],
-            [(tail, F.sum(v)), (tail2, F.min(loc))],
+            [(tail, F.col(loc)), (tail2, F.col(loc2))],
             [
                 [(carry, F.coalesce(F.sum(tail).over(before), F.lit(0)))],
                 [(carry2, F.min(F.col(carry) + F.col(tail2)).over(before))],
@@ -192,7 +202,14 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, **r
     parts = {name: _parts(name, spec, order, inside, chunks) for name, spec in requests.items()}
 
     local = _add_layers(df.withColumn(_CHUNK, chunk), [p.local for p in parts.values()])
-    tails = local.groupBy(*keys, _CHUNK).agg(*(c.alias(n) for p in parts.values() for n, c in p.tail))
+    if any(spec.kind in _ORDERED for spec in requests.values()):
+        # These need the order inside the chunk: read them off its last row.
+        ends = dict(pair for p in parts.values() for pair in p.end or p.tail)
+        after = {"__after": F.lead(F.lit(1)).over(inside)}
+        tails = local.withColumns(ends | after).filter("__after IS NULL").select(*keys, _CHUNK, *ends)
+    else:
+        # Combined before the shuffle: one row per chunk and task moves.
+        tails = local.groupBy(*keys, _CHUNK).agg(*(c.alias(n) for p in parts.values() for n, c in p.tail))
     carries = _add_layers(tails, [p.carry for p in parts.values()])
     wanted = [n for p in parts.values() for layer in p.carry for n, _ in layer]
     joined = local.join(carries.select(*keys, _CHUNK, *wanted), [*keys, _CHUNK])
