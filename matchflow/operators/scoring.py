@@ -203,5 +203,6 @@ def with_odds(limited: DataFrame, margin: float = 0.06) -> DataFrame:
 
 def predictions(state: DataFrame, model_version: str = MODEL_VERSION, margin: float = 0.06) -> DataFrame:
     """State rows to published predictions, on significant events only."""
-    scored = score(features(significant(state)), model_version)
+    # The limiter goes over its input several times: let it read, not recompute.
+    scored = cut(score(features(significant(state)), model_version))
     return with_odds(limit_swing(scored), margin)

@@ -89,26 +89,21 @@ def key_audit(attempts: DataFrame, clients: DataFrame) -> DataFrame:
     )
 
 
-def effective_flags(flags: DataFrame, clients: DataFrame) -> DataFrame:
-    """Flags per client: its own row wins over the global one, else false.
+def effective_flags(checks: DataFrame, flags: DataFrame) -> DataFrame:
+    """Resolve flag checks ``(client_id, name)``: the client's own row wins over
+    the global one, and without either the flag is off.
 
-    The registry of global flags (one row per feature) becomes one map. Only
-    own rows are joined by client, so clients are not multiplied by flags.
+    Two equi-joins. Clients are not multiplied by flags: a pair nobody asked
+    for needs no row.
     """
-    names = flags.groupBy("name").agg(
-        F.coalesce(F.max(F.when(F.col("client_id").isNull(), F.col("is_enabled"))), F.lit(False)).alias("on")
-    )
-    everyone = names.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "on")))).alias("m")).scalar()
-    own = flags.filter(F.col("client_id").isNotNull()).groupBy("client_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "is_enabled"))).alias("own")
-    )
-    joined = clients.select(F.col("id").alias("client_id")).join(own, "client_id", "left").withColumn("all", everyone)
-    chosen = F.transform_values("all", lambda name, on: F.coalesce(F.try_element_at("own", name), on))
-    return joined.select("client_id", chosen.alias("flags"))
+    own = flags.filter(F.col("client_id").isNotNull()).select("client_id", "name", F.col("is_enabled").alias("own"))
+    everyone = flags.filter(F.col("client_id").isNull()).select("name", F.col("is_enabled").alias("everyone"))
+    joined = checks.join(everyone, "name", "left").join(own, ["client_id", "name"], "left")
+    return joined.withColumn("is_enabled", F.coalesce("own", "everyone", F.lit(False))).drop("own", "everyone")
 
 
 def webhook_audience(clients: DataFrame) -> DataFrame:
-    """Active clients with a webhook address, with a check sum per audience."""
+    """Active clients with a webhook address: who gets every update."""
     return clients.filter(F.col("is_active") & F.col("webhook_url").isNotNull()).select(
         F.col("id").alias("client_id"), "webhook_url"
     )
@@ -119,7 +114,8 @@ def webhook_outbox(updates: DataFrame, clients: DataFrame) -> DataFrame:
 
     Every update goes to every client of the audience. Their product is not
     stored: the outbox keeps one row per update and ``webhook_audience`` one
-    row per client; a delivery is a pair with equal ``audience``.
+    row per client. A sender takes both; ``audience`` tells it whether the
+    audience is still the one the update was queued for.
     """
     audience = webhook_audience(clients)
     mark = F.sum(F.col("client_id")).cast("long")

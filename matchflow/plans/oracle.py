@@ -590,12 +590,12 @@ ORACLE: dict[str, str] = {
             p_team_a_win - lag(p_team_a_win) OVER w AS mv FROM pr WINDOW w AS (PARTITION BY match_id ORDER BY state_version))
         SELECT match_id, state_version, round(dt, 6) AS dt_seconds, round(mv, 6) AS p_move,
           coalesce(dt > 0 AND abs(mv) > dt * 0.2::DOUBLE + 0.05::DOUBLE, false) AS is_jump FROM l"""),
-    "effective_flags": sql(CLIENTS, body="""
-        , fl AS (SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS no FROM nation),
-        r AS (SELECT cl.id AS client_id, name, CASE WHEN no % 3 = 0 AND cl.id = no + 1 THEN no % 2 = 1
-            ELSE no % 2 = 0 END AS is_on FROM cl, fl)
-        SELECT client_id, string_agg(name || '=' || CAST(is_on AS VARCHAR), ';' ORDER BY name) AS flags
-        FROM r GROUP BY client_id"""),
+    "effective_flags": sql(AUDIT, body="""
+        , c AS (SELECT request_id, client_id, 'NATION_' || CAST((client_id * 7 + request_id) % 27 AS VARCHAR) AS name
+          FROM aud)
+        SELECT request_id, client_id, name, coalesce(CASE WHEN n_nationkey % 3 = 0 AND client_id = n_nationkey + 1
+            THEN n_nationkey % 2 = 1 ELSE n_nationkey % 2 = 0 END, false) AS is_enabled
+        FROM c LEFT JOIN nation ON n_name = name"""),
     "trim_shard": ev("""
         SELECT match_id, map_id, seq_no, event_id FROM ev
         QUALIFY row_number() OVER (PARTITION BY match_id, map_id ORDER BY seq_no DESC) <= 20"""),

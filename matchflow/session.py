@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,8 +58,6 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = tempfile.mkdtemp(prefix="matchflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -67,9 +66,14 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Store an intermediate result in the shared folder and read on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate result to the shared folder and read on from there.
+
+    A table rather than ``checkpoint()``: later steps that need few columns
+    read few columns, and a lost executor costs no recomputation.
+    """
+    path = shared_path(df.sparkSession, "steps", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_master() -> str:
