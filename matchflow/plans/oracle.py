@@ -778,3 +778,52 @@ ORACLE["stream_quarantine"] = sql(FX, ARR, WIRE, body=f"""
     SELECT event_id, match_id || ':' || map_id AS shard, {ALL_ERRORS} AS error,
       {ISO.format('ts_ingest_ms')} AS first_failed_at FROM wr WHERE ({BAD}) AND seq_no <> 7
     UNION ALL SELECT NULL, '', '{_NO_JSON}', NULL FROM wr WHERE seq_no = 7""")
+
+# Arrival by arrival: last number and waiting events of a shard, settled events of each step.
+_W = "STRUCT(seq BIGINT, since BIGINT, id VARCHAR)[]"
+_ACTIONS = f"""
+df AS (
+  SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival_key, copy_no) = 1),
+od AS (
+  SELECT match_id, map_id, event_id, seq_no, ts_ingest_ms - ts_event_ms AS age, row_number() OVER w AS n,
+    max(ts_ingest_ms) OVER w AS clock
+  FROM df WINDOW w AS (PARTITION BY match_id, map_id ORDER BY arrival_key, event_id)),
+sq AS (
+  SELECT match_id, map_id, n, seq_no AS last, CAST([] AS {_W}) AS waiting,
+    [{{'id': event_id, 'action': 'process', 'outcome': 'in_order'}}] AS settled FROM od WHERE n = 1
+  UNION ALL
+  SELECT match_id, map_id, n,
+    CASE what WHEN 'go' THEN seq_no + len(freed) ELSE last END,
+    CASE what WHEN 'go' THEN list_filter(ahead, lambda x: NOT list_contains(freed, x) AND clock - x.since <= 2000)
+      WHEN 'wait' THEN list_append(waiting, {{'seq': seq_no, 'since': clock, 'id': event_id}}) ELSE waiting END,
+    CASE what WHEN 'wait' THEN [] WHEN 'late' THEN [CASE WHEN age <= 2000
+        THEN {{'id': event_id, 'action': 'reprocess', 'outcome': 'late'}}
+        ELSE {{'id': event_id, 'action': 'drop', 'outcome': 'too_late'}} END]
+      ELSE [{{'id': event_id, 'action': 'process', 'outcome': CASE WHEN seq_no = last + 1 THEN 'in_order'
+          ELSE 'gap_skipped' END}}]
+        || list_transform(freed, lambda x: {{'id': x.id, 'action': 'buffer', 'outcome': 'released'}})
+        || list_transform(list_filter(waiting, lambda x: x.seq <= seq_no),
+             lambda x: {{'id': x.id, 'action': 'buffer', 'outcome': 'overtaken'}})
+        || list_transform(list_filter(ahead, lambda x: NOT list_contains(freed, x) AND clock - x.since > 2000),
+             lambda x: {{'id': x.id, 'action': 'buffer', 'outcome': 'expired'}}) END
+  FROM (
+    SELECT *, list_filter(ahead, lambda x, i: x.seq = seq_no + i) AS freed FROM (
+      SELECT od.*, sq.last, sq.waiting, list_sort(list_filter(sq.waiting, lambda x: x.seq > od.seq_no)) AS ahead,
+        CASE WHEN od.seq_no <= sq.last THEN 'late'
+          WHEN od.seq_no - sq.last - 1 BETWEEN 1 AND 10 AND len(sq.waiting) < 100 THEN 'wait' ELSE 'go' END AS what
+      FROM sq JOIN od ON od.match_id = sq.match_id AND od.map_id = sq.map_id AND od.n = sq.n + 1) AS a) AS b),
+ac AS (
+  SELECT u.id AS event_id, u.action, u.outcome FROM (SELECT unnest(settled) AS u FROM sq) AS x
+  UNION ALL
+  SELECT w.id, 'buffer', 'waiting' FROM (SELECT unnest(waiting) AS w FROM sq
+    QUALIFY n = max(n) OVER (PARTITION BY match_id, map_id)) AS y),
+av AS (
+  SELECT od.match_id, od.map_id, event_id, od.seq_no, od.n AS arrival_no, action, outcome FROM ac JOIN od USING (event_id))"""
+ORACLE["sequence_actions"] = sql(FX, ARR, _ACTIONS, recursive=True, body="SELECT * FROM av")
+ORACLE["sequence_stats"] = sql(FX, ARR, _ACTIONS, recursive=True, body="""
+    SELECT match_id, map_id, count(*) AS total_events,
+      count(*) FILTER (action IN ('reprocess', 'drop')) AS out_of_order_events,
+      count(*) FILTER (action = 'buffer' OR outcome = 'gap_skipped') AS gaps_detected,
+      count(*) FILTER (outcome = 'released') AS late_events_processed,
+      count(*) FILTER (action = 'drop' OR outcome IN ('expired', 'overtaken')) AS late_events_dropped
+    FROM av GROUP BY match_id, map_id""")
