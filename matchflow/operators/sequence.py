@@ -145,22 +145,22 @@ def sequence_actions(
     seq, top, yes, no = F.col("seq_no"), F.col("top"), F.lit(1), F.lit(0)
     seen = step(
         slim, arrival_no=run.row_number(), clock_ms=run.highest(F.col("received_ms")),
-        top_before=run.highest(seq, prior=True), seq_before=run.previous(seq), first_seq=run.earliest(seq),
+        top_before=run.highest(seq, prior=True), seq_before=run.previous(seq), bottom=run.highest(-seq),
     ).join(repeats, SHARD).withColumn("top", F.greatest("top_before", "seq_no"))
 
+    # Without repeats, as many arrivals as numbers from lowest to highest: none is missing.
+    complete = (F.col("copies") == 1) & (F.col("arrival_no") == top + F.col("bottom") + 1)
     in_order = F.coalesce((seq == F.col("seq_before") + 1) & (seq == F.col("top_before") + 1), F.lit(False))
-    counted = step(
-        seen, in_order_rows=run.since(F.when(in_order, yes).otherwise(no), ~in_order),
-        arrived=run.total(F.when(seq >= F.col("first_seq"), yes).otherwise(no)),
-    )
-    forced = F.coalesce(seq > F.col("top_before") + gap + 1, F.lit(False)) | (F.col("in_order_rows") >= gap + 2)
-    complete = (F.col("copies") == 1) & (F.col("arrived") == top - F.col("first_seq") + 1)
     timed = step(
-        counted.withColumns({"forced": forced, "complete": complete}),
+        seen.withColumn("complete", complete),
+        in_order_rows=run.since(F.when(in_order, yes).otherwise(no), ~in_order),
         complete_before=run.latest(F.when(F.col("complete"), F.col("clock_ms")), prior=True),
     )
+    forced = F.coalesce(seq > F.col("top_before") + gap + 1, F.lit(False)) | (F.col("in_order_rows") >= gap + 2)
     slow = F.col("complete") & (F.col("clock_ms") - F.col("complete_before") > lateness_ms)
-    judged = step(timed, sound=run.latest(F.when(F.col("forced"), yes).when(slow, no)))
+    judged = step(
+        timed.withColumn("forced", forced), sound=run.latest(F.when(F.col("forced"), yes).when(slow, no))
+    )
     settled = F.col("forced") | (F.col("complete") & (F.coalesce("sound", yes) == 1))
     placed = step(
         judged.withColumn("settled", settled),
