@@ -30,15 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import ready, scratch, table, whole_text
+from matchflow.llm.common import ready, scratch, slices_of, table, whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk: what a task holds decoded at a time. One longer text is a chunk by itself.
 CHUNK_CHARS = 8_000_000
 #: Distinct words that a task keeps encoded before it starts its memory anew.
 MEMORY_WORDS = 400_000
-#: Input bytes for each slice of the word space.
-SLICE_BYTES = 16 << 20
 
 _SCHEMA = "chunk long, slice int, keys binary, body binary"
 
@@ -221,13 +219,6 @@ def _parts(data: bytes, sizes: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _slices(documents: DataFrame) -> int:
-    """Slices of the word space, by the size of the input as the planner knows it."""
-    size = documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    width = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(width, min(int(str(size)) // SLICE_BYTES, 20_000))
-
-
 def encode(documents: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """Token ids of every whole text: doc_id, ids array<int>, without special tokens.
 
@@ -238,7 +229,7 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text") ->
     path = path or public_tokenizers.path(VOCABULARY)
     ready(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    slices = _slices(rows)
+    slices = slices_of(rows)
     # Bucketed by chunk: the sequences stay where they are until the ids come to them.
     spark = documents.sparkSession
     name = f"bpe_{uuid.uuid4().hex}"

@@ -63,3 +63,18 @@ def batches_of(rows: Iterable, size: int):
 
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+#: Bytes of input for each slice of a space of hashes.
+SLICE_BYTES = 16 << 20
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Size of a table as the planner knows it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def slices_of(df: DataFrame) -> int:
+    """Slices of a space of hashes: in proportion to the input, the shuffle width at least."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, min(planned_bytes(df) // SLICE_BYTES, 20_000))

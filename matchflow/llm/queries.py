@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from matchflow.llm import bpe, topk, warc
+from matchflow.llm import bpe, ngram_join, topk, warc
 
-_MODULES = (bpe, topk, warc)
+_MODULES = (ngram_join, warc, bpe, topk)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
