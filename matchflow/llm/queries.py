@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from matchflow.llm import bpe, ngram_join, pii, topk, warc
+from matchflow.llm import bpe, ngram_join, pii, topk, toxicity, warc
 
-_MODULES = (ngram_join, warc, bpe, topk, pii)
+_MODULES = (ngram_join, warc, bpe, topk, pii, toxicity)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
