@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from matchflow.llm import bpe, decontaminate, ngram_join, pii, secrets, topk, toxicity, warc
+from matchflow.llm import bpe, decontaminate, licenses, ngram_join, pii, secrets, topk, toxicity, warc
 
-_MODULES = (ngram_join, warc, bpe, topk, pii, toxicity, decontaminate, secrets)
+_MODULES = (ngram_join, warc, bpe, topk, pii, toxicity, decontaminate, secrets, licenses)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
