@@ -134,8 +134,8 @@ RULES = [
 
 _odd = re.compile(r"[^a-z0-9<>]+")
 _version = re.compile(r"(?<=version )[0-9]+(?: [0-9]+)?\b|\b[0-9]+(?: [0-9]+)*(?= of the license)")
-# A sentence ends at a line break, or at a stop that white space or the end follows.
-_sentence = re.compile(r"[^\n.;:!?]+(?:[.;:!?](?=\S)[^\n.;:!?]*)*")
+# A sentence may end at a line break, at a stop that white space follows, and at a colon or semicolon that ends a line.
+_stop = re.compile(r"\n|[.!?](?=\s|$)|[;:](?=[ \t]*(?:\n|$))")
 _spdx = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+(?:\s+(?:AND|OR|WITH)\s+[A-Za-z0-9.+-]+)*)")
 #: Every known sentence holds one of these words; other texts need no second look.
 _hints = re.compile(r"licen[sc]|copyright|permission|redistribut|warrant|liab|cc0|spdx|public domain|free software|rights reserved|provided|endorse|mpl", re.I)
@@ -180,8 +180,13 @@ class Sentence:
 
 def _pieces(text: str) -> Iterator[tuple[int, int]]:
     """Where the text is cut: at stops and at line breaks."""
-    for match in _sentence.finditer(text):
-        yield match.span()
+    at = 0
+    for match in _stop.finditer(text):
+        if at < match.start():
+            yield at, match.start()
+        at = match.end()
+    if at < len(text):
+        yield at, len(text)
 
 
 def sentences(text: str) -> list[Sentence]:
@@ -192,7 +197,7 @@ def sentences(text: str) -> list[Sentence]:
     words = [normal(text[a:b]) for a, b in spans]
     out, at, number = [], 0, 0
     while at < len(spans):
-        best, number = None, number + 1
+        best, number = None, number + bool(words[at])
         # A sentence may be wrapped over lines: up to twelve pieces without a stop between them.
         whole, until = words[at], at
         while True:
