@@ -202,7 +202,7 @@ def sentences(text: str) -> list[Sentence]:
         whole, until = words[at], at
         while True:
             name = identifier(whole) if whole else None
-            if name:
+            if name and (best is None or name != best[0] or whole in KNOWN):
                 best = (name, until)
                 if until == at and KNOWN.get(whole) == name and len(whole.split()) >= 12:
                     break

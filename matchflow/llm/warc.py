@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import ready, scratch, stored, table, whole_text
+from matchflow.llm.common import ready, scratch, shared_uri, stored, table, whole_text
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
@@ -246,13 +246,6 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
     return ranges.repartition(width, "path", "start").mapInArrow(_reader, _READ)
 
 
-def shared_uri(path: str) -> str:
-    """Spark writes file:/x for local paths; a URI has two slashes more."""
-    if path.startswith("file:") and not path.startswith("file://"):
-        return "file://" + path[len("file:"):]
-    return path if "://" in path else "file://" + path
-
-
 def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Pages written as archives into the shared folder, read back."""
     folder = shared_uri(scratch(spark, "warc"))
