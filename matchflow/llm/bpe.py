@@ -293,6 +293,19 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
         _digester(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def with_digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """Encoded documents with the columns of ``digests`` beside their ids."""
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out in _digester(path)(iter([batch])):
+                yield out.append_column("ids", batch.column(1))
+
+    return encoded.select("doc_id", "ids").mapInArrow(
+        both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+
+
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
     return digests(encode(table(spark, sf_dir, "documents")))
 
