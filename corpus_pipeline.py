@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from matchflow.llm import bpe, decontaminate, ngram_join, pii, toxicity
 from matchflow.llm.common import ready, stored, table
@@ -14,8 +13,7 @@ from matchflow.llm.common import ready, stored, table
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below a half, learned from the labels of those that are there."""
-    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("toxicity < 0.5").select(*docs.columns)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

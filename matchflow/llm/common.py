@@ -76,9 +76,17 @@ def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 SLICE_BYTES = 16 << 20
 
 
+#: Sizes from here on mean that the planner does not know.
+_UNKNOWN = 1 << 60
+
+
 def planned_bytes(df: DataFrame) -> int:
-    """Size of a table as the planner knows it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of a table as the planner knows it; where it does not, its texts are measured."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < _UNKNOWN:
+        return size
+    lengths = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns), F.lit(0))
+    return df.agg(F.coalesce(F.sum(lengths), F.lit(0)).alias("n")).first()["n"]
 
 
 def slices_of(df: DataFrame) -> int:

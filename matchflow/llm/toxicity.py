@@ -324,6 +324,11 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.withColumn("toxicity", scorer(documents.sparkSession, model)(whole_text("text")))
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents that score below ``least``, with all their columns as they are."""
+    return documents.filter(scorer(documents.sparkSession, learn(documents, labels))(whole_text("text")) < least)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
