@@ -191,13 +191,16 @@ def find(documents: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind; of spans that overlap the first counts."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """The text with each span replaced by its kind; spans that overlap become one, named by the first and longest."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
 
     def step(state: Column, s: Column) -> Column:
+        end = -s["minus_end"]
         gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        more = F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-        return F.when(s["start"] >= state["at"], more).otherwise(state)
+        more = F.struct(end.alias("at"), F.concat(state["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
+        longer = F.struct(F.greatest(state["at"], end).alias("at"), state["out"].alias("out"))
+        return F.when(s["start"] >= state["at"], more).otherwise(longer)
 
     return F.aggregate(
         ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
