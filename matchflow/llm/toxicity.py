@@ -175,7 +175,7 @@ class Matcher:
             if word in kinds:
                 low, high = max(0, at - WINDOW), min(len(words) - 1, at + WINDOW)
                 near = words[low:high + 1]
-                before, after = lowered[places[low][0]:places[at][0]], lowered[places[at][1]:places[high][1] + 1]
+                before, after = lowered[max(0, places[low][0] - 1):places[at][0]], lowered[places[at][1]:places[high][1] + 1]
                 quoted = in_quotes(before, after) or any(w in REPORTING for w in words[max(0, at - 4):at])
                 direct = any(w in ADDRESSING for w in near)
                 addressed |= direct
@@ -195,11 +195,15 @@ def in_quotes(before: str, after: str) -> bool:
 
 
 def _design(features: np.ndarray) -> np.ndarray:
-    return np.hstack([np.ones((len(features), 1)), features.astype(float), (features[:, :4] > 0).astype(float)])
+    """Misspelled hits count as hits; what they are worth less shows in a column of their own."""
+    plain, quoted, wrong, wrong_quoted, density, addressed = features.astype(float).T
+    direct, cited = np.minimum(plain + wrong, 3), np.minimum(quoted + wrong_quoted, 3)
+    only_wrong = (wrong + wrong_quoted > 0) & (plain + quoted == 0)
+    return np.column_stack([np.ones(len(features)), direct, direct > 0, cited, cited > 0, only_wrong, density, addressed]).astype(float)
 
 
-#: Before any label is seen, plain and misspelled direct hits speak for toxicity, quoted ones less.
-_PRIOR = np.array([0.0, 0.5, 0.1, 0.3, 0.0, 0.0, 0.2, 1.0, 0.2, 0.5, 0.0])
+#: Before any label is seen, direct hits speak for toxicity, quoted ones hardly, misspelled ones a little less.
+_PRIOR = np.array([0.0, 0.5, 1.0, 0.1, 0.2, -0.3, 0.0, 0.2])
 
 
 def fit_weights(features: np.ndarray, positive: np.ndarray, total: np.ndarray, strength: float = 0.5) -> np.ndarray:
@@ -233,9 +237,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """Texts with each word: word, bad, good. Texts that share the least hash of their words count once."""
+    """Texts with each word: word, bad, good. Texts that share the three least hashes of their words (copies) count once."""
     words = rows.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0))).alias("words"))
-    family = words.select("toxic", "words", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("family"))
+    hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
+    family = words.select("toxic", "words", F.xxhash64(F.slice(hashes, 1, 3)).alias("family"))
     single = family.select("family", "toxic", F.explode("words").alias("word")).groupBy("family", "word").agg(F.max("toxic").alias("toxic"))
     return single.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
 
