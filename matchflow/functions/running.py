@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchflow.functions.joins import join_null_safe
+
 CHUNK_ROWS = 50_000
 _CHUNK = "__chunk"
 _FIRST = Window.unboundedPreceding
@@ -212,7 +214,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, **r
         tails = local.groupBy(*keys, _CHUNK).agg(*(c.alias(n) for p in parts.values() for n, c in p.tail))
     carries = _add_layers(tails, [p.carry for p in parts.values()])
     wanted = [n for p in parts.values() for layer in p.carry for n, _ in layer]
-    joined = local.join(carries.select(*keys, _CHUNK, *wanted), [*keys, _CHUNK])
+    joined = join_null_safe(local, carries.select(*keys, _CHUNK, *wanted), [*keys, _CHUNK], "inner")
     return joined.select(*df.columns, *(p.result.alias(name) for name, p in parts.items()))
 
 

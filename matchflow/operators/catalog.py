@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchflow import schema as sc
+from matchflow.functions.joins import within
 from matchflow.functions.scalars import cursor
 
 
@@ -78,8 +79,8 @@ def status_counts(matches: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of a total order (top-k, no full sort)."""
-    return df.orderBy(*order).offset(offset).limit(min(limit, sc.MAX_PAGE))
+    """Rows ``offset`` to ``offset + limit`` of a total order (top-k, no full sort); at most ``sc.MAX_PAGE``."""
+    return df.orderBy(*order).offset(offset).limit(within(limit, sc.MAX_PAGE))
 
 
 def match_page(matches: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -103,8 +104,8 @@ def teams_by_rating(teams: DataFrame, limit: int = 20, offset: int = 0) -> DataF
     return page(teams, [F.col("rating").desc(), F.col("id")], limit, offset)
 
 
-def recent_matches(matches: DataFrame, n: int = 10) -> DataFrame:
-    """The last ``n`` finished matches of every team, from its point of view."""
+def recent_matches(matches: DataFrame, n: int = 10, most: int = 50) -> DataFrame:
+    """The last ``n`` (at most ``most``) finished matches of every team, from its point of view."""
     finished = matches.filter(F.col("status") == "finished")
     sides = F.array(
         F.struct(F.col("team_a_id").alias("team_id"), F.col("team_b_id").alias("opponent_id")),
@@ -114,7 +115,7 @@ def recent_matches(matches: DataFrame, n: int = 10) -> DataFrame:
         "id", "finished_ms", "winner_id", "s.*"
     )
     newest = Window.partitionBy("team_id").orderBy(F.col("finished_ms").desc(), F.col("id").desc())
-    return seen.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= min(n, 50))
+    return seen.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= within(n, most))
 
 
 def team_form(matches: DataFrame, n: int = 10) -> DataFrame:

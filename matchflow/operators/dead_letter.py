@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchflow import schema as sc
+from matchflow.functions.joins import within
 from matchflow.functions import running as run
 from matchflow.operators.dedup import dedup_first
 
@@ -25,11 +26,11 @@ def dlq_stats(dlq: DataFrame) -> DataFrame:
     return dlq.rollup("shard").agg(F.count("*").alias("entries"))
 
 
-def dlq_entries(dlq: DataFrame, limit: int = 100, shard: str | None = None) -> DataFrame:
+def dlq_entries(dlq: DataFrame, limit: int = 100, shard: str | None = None, most: int = 1000) -> DataFrame:
     """Oldest entries of one shard, or of every shard."""
     rows = dlq.filter(F.col("shard") == shard) if shard else dlq
     oldest = Window.partitionBy("shard").orderBy("first_failed_at", "event_id")
-    return rows.withColumn("place", F.row_number().over(oldest)).filter(F.col("place") <= min(limit, 1000))
+    return rows.withColumn("place", F.row_number().over(oldest)).filter(F.col("place") <= within(limit, most))
 
 
 def requeue(main: DataFrame, dlq: DataFrame, shard: str | None = None, entry: str | None = None) -> DataFrame:

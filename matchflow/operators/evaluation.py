@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchflow.functions.joins import within
+
 from matchflow.functions import running as run
 from matchflow.functions.scalars import parse_payload, text
 
@@ -72,10 +74,10 @@ def latest_prediction(pred: DataFrame) -> DataFrame:
 
 
 def latest_n(df: DataFrame, keys: list[str], order: list[str], n: int, cap: int = 100) -> DataFrame:
-    """Newest ``n`` rows per key, numbered. Tasks drop what cannot qualify
+    """Newest ``n`` (at most ``cap``) rows per key, numbered. Tasks drop what cannot qualify
     before the shuffle, so a busy key sends ``n`` rows per task."""
     newest = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
-    return df.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= min(n, cap))
+    return df.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= within(n, cap))
 
 
 def prediction_history(pred: DataFrame, first_round: int | None = None, last_round: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchflow import schema as sc
+from matchflow.functions.joins import join_null_safe
 from matchflow.functions.running import exact_quantiles
 from matchflow.functions.scalars import count_if, error_status, latency_status
 
@@ -28,7 +29,7 @@ def _quantiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, f
 def latency_slo(
     log: DataFrame, width_ms: int = 60_000, threshold_ms: float = sc.LATENCY_TARGET_MS, exact: bool = True
 ) -> DataFrame:
-    """Per time bucket: events, how many met the objective, quantiles, maximum."""
+    """Per time bucket: events, how many met the objective, quantiles, maximum; buckets without a latency stay."""
     rows = log.withColumn("bucket_ms", bucket_ms("ts_ms", width_ms))
     met = F.count_if(F.col("e2e_ms") <= threshold_ms)
     totals = rows.groupBy("bucket_ms").agg(
@@ -36,7 +37,7 @@ def latency_slo(
         (met / F.count("*") * 100).alias("slo_percentage"), F.max("e2e_ms").alias("max_ms"),
     )
     wanted = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
-    return totals.join(_quantiles(rows, ["bucket_ms"], "e2e_ms", wanted, exact), "bucket_ms")
+    return join_null_safe(totals, _quantiles(rows, ["bucket_ms"], "e2e_ms", wanted, exact), ["bucket_ms"])
 
 
 def stage_latency(log: DataFrame, exact: bool = True) -> DataFrame:
@@ -57,7 +58,7 @@ def slo_status(log: DataFrame, width_ms: int = 300_000, threshold_ms: float = sc
         (F.count_if(F.col("e2e_ms") <= threshold_ms) / F.count("*") * 100).alias("compliance_percent"),
     )
     p95 = _quantiles(rows, ["bucket_ms"], "e2e_ms", {"p95_ms": 0.95}, exact)
-    return share.join(p95, "bucket_ms").withColumn("status", latency_status(F.col("p95_ms")))
+    return join_null_safe(share, p95, ["bucket_ms"]).withColumn("status", latency_status(F.col("p95_ms")))
 
 
 def error_rate(log: DataFrame, width_ms: int = 300_000) -> DataFrame:

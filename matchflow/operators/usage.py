@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from matchflow import schema as sc
 from matchflow.functions import running as run
+from matchflow.functions.joins import join_null_safe
 
 
 def api_usage(log: DataFrame, exact: bool = True) -> DataFrame:
-    """Calls, status mix and latency quantiles per client and action."""
+    """Calls, status mix and latency quantiles per client and action; groups without any latency or key stay."""
     keys = ["client_id", "action"]
     code = F.col("status_code")
     totals = log.groupBy(*keys).agg(
@@ -22,11 +23,9 @@ def api_usage(log: DataFrame, exact: bool = True) -> DataFrame:
     )
     wanted = {"p50_ms": 0.5, "p95_ms": 0.95}
     if exact:
-        return totals.join(run.exact_quantiles(log, keys, "latency_ms", wanted), keys)
-    return totals.join(
-        log.groupBy(*keys).agg(*(F.percentile_approx("latency_ms", q, 10_000).alias(n) for n, q in wanted.items())),
-        keys,
-    )
+        return join_null_safe(totals, run.exact_quantiles(log, keys, "latency_ms", wanted), keys)
+    sketches = log.groupBy(*keys).agg(*(F.percentile_approx("latency_ms", q, 10_000).alias(n) for n, q in wanted.items()))
+    return join_null_safe(totals, sketches, keys)
 
 
 def sliding_rate(log: DataFrame, window_ms: int = 60_000) -> DataFrame:
@@ -35,7 +34,7 @@ def sliding_rate(log: DataFrame, window_ms: int = 60_000) -> DataFrame:
 
 
 def quota_usage(log: DataFrame, clients: DataFrame) -> DataFrame:
-    """Calls per client and month against the client's or its tier's quota."""
+    """Calls per client and month against the client's or its tier's quota; unknown clients have none."""
     month = F.date_format(F.timestamp_millis("ts_ms"), "yyyyMM").cast("int")
     used = log.groupBy("client_id", month.alias("month")).agg(F.count("*").alias("used"))
     tiers = F.create_map(*(F.lit(x) for pair in sc.TIER_MONTHLY_QUOTA.items() for x in pair))
@@ -44,7 +43,7 @@ def quota_usage(log: DataFrame, clients: DataFrame) -> DataFrame:
         F.coalesce(F.col("quota_monthly").cast("long"), F.try_element_at(tiers, F.col("tier")).cast("long"))
         .alias("quota"),
     )
-    return used.join(limits, "client_id").withColumn("share", F.col("used") / F.col("quota"))
+    return used.join(limits, "client_id", "left").withColumn("share", F.col("used") / F.col("quota"))
 
 
 def has_scope(permissions: str, needed: Column) -> Column:
@@ -57,10 +56,10 @@ def has_scope(permissions: str, needed: Column) -> Column:
 
 
 def scope_check(log: DataFrame, clients: DataFrame, needed: Column) -> DataFrame:
-    """Audit of the access log: was each call within the client's scopes."""
+    """Audit of the access log: was each call within the client's scopes. Calls of unknown clients were not."""
     held = clients.select(F.col("id").alias("client_id"), "permissions")
-    return log.withColumn("needed", needed).join(held, "client_id").withColumn(
-        "allowed", has_scope("permissions", F.col("needed"))
+    return log.withColumn("needed", needed).join(held, "client_id", "left").withColumn(
+        "allowed", F.coalesce(has_scope("permissions", F.col("needed")), F.lit(False))
     )
 
 
@@ -76,8 +75,11 @@ def ip_allowed(allowed: str, ip: Column) -> Column:
 
 
 def ip_check(log: DataFrame, clients: DataFrame) -> DataFrame:
-    held = clients.select(F.col("id").alias("client_id"), "allowed_ips")
-    return log.join(held, "client_id").withColumn("allowed", ip_allowed("allowed_ips", F.col("ip_address")))
+    """Whether each call came from an address its client may use; an unknown client may use none."""
+    held = clients.select(
+        F.col("id").alias("client_id"), F.coalesce("allowed_ips", F.array().cast("array<string>")).alias("allowed_ips"))
+    return log.join(held, "client_id", "left").withColumn(
+        "allowed", F.coalesce(ip_allowed("allowed_ips", F.col("ip_address")) & F.col("allowed_ips").isNotNull(), F.lit(False)))
 
 
 def key_audit(attempts: DataFrame, clients: DataFrame) -> DataFrame:
@@ -118,7 +120,8 @@ def webhook_outbox(updates: DataFrame, clients: DataFrame) -> DataFrame:
     audience is still the one the update was queued for.
     """
     audience = webhook_audience(clients)
-    mark = F.sum(F.col("client_id")).cast("long")
+    who = F.md5(F.concat_ws(" ", F.col("client_id").cast("string"), "webhook_url"))
+    mark = F.sum(F.conv(F.substring(who, 1, 8), 16, 10).cast("long"))
     return updates.withColumns({
         "recipients": audience.agg(F.count("*").alias("n")).scalar(),
         "audience": F.coalesce(audience.agg(mark.alias("m")).scalar(), F.lit(0).cast("long")),

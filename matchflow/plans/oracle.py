@@ -345,7 +345,7 @@ ORACLE: dict[str, str] = {
           CAST(alive_diff AS DOUBLE) AS alive_diff, winner_team AS outcome FROM jd""", OUTCOMES),
     "webhook_outbox": pred("""
         SELECT match_id, state_version, (SELECT count(*) FROM cl WHERE is_active AND has_webhook) AS recipients,
-          (SELECT CAST(sum(id) AS BIGINT) FROM cl WHERE is_active AND has_webhook) AS audience FROM pr""", CLIENTS),
+          (SELECT CAST(sum(('0x' || substr(md5(id || ' https://client.example/' || id), 1, 8))::BIGINT) AS BIGINT) FROM cl WHERE is_active AND has_webhook) AS audience FROM pr""", CLIENTS),
     "update_feed": pred(f"""
         SELECT match_id AS key, 'state' AS type, match_id, {ISO.format('ts_event_ms')} AS timestamp, state_version, phase
         FROM st UNION ALL
@@ -377,8 +377,8 @@ ORACLE: dict[str, str] = {
         SELECT event_id, ts_ms FROM d WHERE date >= (SELECT max(date) + 10 FROM d) - 30"""),
     "tier_retention": sql(AUDIT, CLIENTS, body="""
         , d AS (SELECT *, CAST(epoch_ms(ts_ms) AS DATE) AS date FROM aud)
-        SELECT request_id, client_id, tier, ts_ms FROM d JOIN cl ON cl.id = d.client_id
-        WHERE date >= (SELECT max(date) FROM d) - CASE tier WHEN 'silver' THEN 7 WHEN 'gold' THEN 30 ELSE 365 END"""),
+        SELECT request_id, client_id, tier, ts_ms FROM d LEFT JOIN cl ON cl.id = d.client_id
+        WHERE tier IS NULL OR date >= (SELECT max(date) FROM d) - CASE tier WHEN 'silver' THEN 7 WHEN 'gold' THEN 30 ELSE 365 END"""),
     "scope_check": sql(AUDIT, CLIENTS, body="""
         SELECT request_id, client_id, action || ':matches' AS needed, CASE client_id % 4 WHEN 0 THEN true
           WHEN 1 THEN action = 'view' WHEN 2 THEN action = 'click' ELSE action IN ('purchase', 'signup') END AS allowed

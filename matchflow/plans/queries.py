@@ -207,7 +207,7 @@ def tier_retention(spark, d):
     log = fx.audit_log(spark, d).withColumn("date", F.to_date(F.timestamp_millis("ts_ms")))
     tiers = fx.api_clients(spark, d).select(F.col("id").alias("client_id"), "tier")
     as_of = log.agg(F.max("date").alias("d")).scalar()
-    rows = store.retain_by_tier(log.join(tiers, "client_id"), "date", "tier", as_of)
+    rows = store.retain_by_tier(log.join(tiers, "client_id", "left"), "date", "tier", as_of)
     return rows.select("request_id", "client_id", "tier", "ts_ms")
 
 

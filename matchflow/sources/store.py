@@ -57,9 +57,9 @@ def retain(df: DataFrame, day: str | Column, days: int, as_of: Column) -> DataFr
 
 
 def retain_by_tier(df: DataFrame, day: str, tier: str, as_of: Column) -> DataFrame:
-    """Rows still within the retention of their client's tier."""
+    """Rows still within the retention of their client's tier. An unknown tier keeps its rows."""
     keep = F.create_map(*(F.lit(x) for pair in sc.TIER_RETENTION_DAYS.items() for x in pair))
-    return df.filter(F.col(day) >= F.date_sub(as_of, keep[F.col(tier)]))
+    return df.filter(F.coalesce(F.col(day) >= F.date_sub(as_of, F.try_element_at(keep, F.col(tier))), F.lit(True)))
 
 
 EXPORT_FIELDS = [
@@ -107,8 +107,8 @@ def training_dataset(predictions: DataFrame, outcomes: DataFrame, cap: int | Non
     ``cap`` keeps that many rows, earliest first; by default all rows are kept.
     """
     rows = predictions.join(outcomes.select("match_id", F.col("winner_team").alias("outcome")), "match_id")
-    rows = rows.select("match_id", "map_id", "round_no", "ts_calc", "p_team_a_win", "features", "outcome")
-    return rows.orderBy("ts_calc", "match_id", "map_id").limit(cap) if cap else rows
+    rows = rows.orderBy("ts_calc", "match_id", "map_id", "state_version").limit(cap) if cap else rows
+    return rows.select("match_id", "map_id", "round_no", "ts_calc", "p_team_a_win", "features", "outcome")
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:

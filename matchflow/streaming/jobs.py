@@ -63,7 +63,7 @@ def raw_folder(spark: SparkSession, sf_dir: str) -> str:
 
     def job(out: str) -> None:
         rows = tables.events(spark, sf_dir).select(*sc.RAW.names)
-        _write_slices(rows, F.col("seq_no"), out, lambda df, path: df.coalesce(4).write.parquet(path))
+        _write_slices(rows, F.col("seq_no"), out, lambda df, path: df.write.parquet(path))
 
     return _once(spark, sf_dir, "events", job)
 
