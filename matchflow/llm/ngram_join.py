@@ -41,6 +41,8 @@ from matchflow.llm.components import components
 WIDTH, PERCENT = 5, 75
 #: Minimum hashes that propose groups; more find more links early, none are lost with fewer.
 KEYS = 4
+#: Texts of a proposed group that all of its texts are compared with.
+LEADERS = 3
 #: Members and shingles of a slice of a group, queries of a unit of comparison.
 GROUP_MEMBERS, GROUP_TOKENS, UNIT_QUERIES = 256, 200_000, 64
 #: Characters of the documents that a task packs together.
@@ -284,7 +286,7 @@ def _pair_checker(percent: int):
 
 
 def _opener(percent: int):
-    """Groups and queries in, links out: per query and other cluster of the group the first that holds."""
+    """Groups and queries in, links between their clusters out: a spanning set of those that hold."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +306,13 @@ def open_group(members: list[dict], queries: list[dict], percent: int) -> Iterat
     token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    done = set()
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
     for query in queries:
         own = np.frombuffer(query["tokens"], "<u8")
         left, right = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
@@ -316,17 +324,20 @@ def open_group(members: list[dict], queries: list[dict], percent: int) -> Iterat
         overlap = np.bincount(hits, minlength=len(sets))
         good = linked(overlap, len(own), sizes, percent) & (clusters != query["cluster"])
         for cluster in np.unique(clusters[good]).tolist():
-            pair = (min(cluster, query["cluster"]), max(cluster, query["cluster"]))
-            if pair not in done:
-                done.add(pair)
-                yield pair
+            a, b = find(cluster), find(query["cluster"])
+            if a != b:  # what earlier links of this unit join already needs no link more
+                root[max(a, b)] = min(a, b)
+                yield min(cluster, query["cluster"]), max(cluster, query["cluster"])
 
 
 def _clusters(nodes: DataFrame, percent: int) -> DataFrame:
     """Clusters by links with the leaders of groups: id, cluster (its smallest id)."""
     proposed = nodes.select("id", F.explode("lows").alias("low"))
-    leaders = proposed.groupBy("low").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    pairs = proposed.join(leaders.select("low", "leader"), "low").filter("id <> leader").select("id", "leader").distinct()
+    # Several leaders, so that a text which happens not to link with one of them rarely stays alone.
+    first = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id"))["id"] for i in range(LEADERS)]
+    leaders = proposed.groupBy("low").agg(F.array_distinct(F.array(*first)).alias("leaders"), F.count("*").alias("size"))
+    pairs = proposed.join(leaders.filter("size > 1"), "low").select("id", F.explode("leaders").alias("leader")).filter(
+        "id <> leader").select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct()
     tokens = nodes.select("id", "tokens")
     both = pairs.join(tokens, "id").join(tokens.select(F.col("id").alias("leader"), F.col("tokens").alias("other")), "leader")
     links = both.select(F.col("id").alias("a"), F.col("leader").alias("b"), "tokens", "other").mapInArrow(
@@ -438,12 +449,13 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     one row of each of its texts.
     """
     kept = classes(documents).filter("doc_id <=> component_id")
-    leaders = kept.groupBy(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).agg(F.max("n_shingles").alias("_n"))
-    rows = documents.withColumns({"_raw_of": F.unhex(F.md5(F.encode(whole_text("text"), "utf-8")))})
-    joined = rows.join(leaders, rows["doc_id"].eqNullSafe(leaders["_id"]) & (rows["_raw_of"] == leaders["_raw"]))
-    empty = joined.filter("_n = 0").select(*documents.columns)
-    single = joined.filter("_n > 0").dropDuplicates(["_id", "_raw"]).select(*documents.columns)
-    return single.unionByName(empty)
+    leaders = kept.groupBy(F.col("doc_id").alias("own_id"), F.col("raw").alias("own_raw")).agg(F.max("n_shingles").alias("n"))
+    rows = documents.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+        F.unhex(F.md5(F.encode(whole_text("text"), "utf-8"))).alias("raw"))
+    both = rows.join(leaders, rows["id"].eqNullSafe(leaders["own_id"]) & (rows["raw"] == leaders["own_raw"]))
+    single = both.filter("n > 0").dropDuplicates(["own_id", "own_raw"]).select("row.*")
+    return single.unionByName(both.filter("n = 0").select("row.*"))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
