@@ -29,6 +29,8 @@ from matchflow.llm.common import ready, stored, table, whole_text
 
 #: Least length of a candidate; controls of each; share of false discoveries.
 LEAST, CONTROLS, ALPHA = 20, 100, 0.01
+#: Controls that a class should have.
+ENOUGH = 2000
 #: Characters before a candidate that its controls are cut from.
 REACH = 4000
 #: Steps of the score; lengths at which a new class of length begins.
@@ -141,8 +143,9 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
         if any(a < end and b > start for a, _, b in taken):
             continue
         length = end - start
-        before = _letters.sub("", text[max(0, start - REACH):start])[-CONTROLS * length:]
-        controls = [before[i:i + length] for i in range(len(before) - length, -1, -length)]
+        before = _letters.sub("", text[max(0, start - REACH):start])
+        step = max(1, (len(before) - length) // CONTROLS)
+        controls = [before[i:i + length] for i in range(0, len(before) - length + 1, step)][-CONTROLS:]
         own = encoding_of(match.group())
         yield start, end, class_of(own, length), level(score(match.group(), own)), [level(score(c, own)) for c in controls]
 
@@ -172,16 +175,17 @@ def least_levels(found: dict[tuple[int, int], int], controls: dict[tuple[int, in
     """Per class the least level that counts as a discovery; from counts by (class, level).
 
     The p-value of a level is the share of controls at it or above. A class with
-    few controls takes those of shorter strings of its alphabet, which pass more
-    easily. Without any, only strings that pass every test stand.
+    few controls takes those of its alphabet's shorter strings, which pass more
+    easily, and then of longer ones. Without any, only strings that pass every
+    test stand.
     """
     tails: dict[int, np.ndarray] = {}
     for group in range(CLASSES):
         first = group - group % len(LENGTHS)
         counts = np.zeros(LEVELS)
-        for own in range(group, first - 1, -1):
+        for own in (*range(group, first - 1, -1), *range(group + 1, first + len(LENGTHS))):
             counts += [controls.get((own, step), 0) for step in range(LEVELS)]
-            if counts.sum() >= 200:
+            if counts.sum() >= ENOUGH:
                 break
         tails[group] = (1 + counts[::-1].cumsum()[::-1]) / (1 + counts.sum())
         if not counts.sum():
