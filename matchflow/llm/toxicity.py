@@ -32,9 +32,9 @@ from matchflow.llm.common import ready, table, whole_text
 #: Labelled rows that the lexicon and the weights are fitted on at most: the first by a hash of doc_id.
 TRAINING_ROWS = 20_000
 #: Terms of the lexicon at most; texts that must hold a term; least log of its rate in toxic over clean texts.
-MAX_TERMS, SUPPORT, LOG_RATIO = 400, 5, 2.5
+MAX_TERMS, SUPPORT, LOG_RATIO = 400, 5, 4.0
 #: Words near the lexicon that clean texts use as words of their own, at most.
-MAX_EXCEPTIONS = 10_000
+MAX_EXCEPTIONS = 2_000
 #: Words on either side of a hit that count as its context.
 WINDOW = 8
 #: Words whose match a task remembers.
@@ -64,12 +64,12 @@ def edits_for(length: int) -> int:
 class Automaton:
     """Strings within the allowed edits of a term, as a deterministic automaton made on the way."""
 
-    def __init__(self, terms: tuple[str, ...]):
+    def __init__(self, terms: tuple[str, ...], exact: frozenset = frozenset()):
         self.children: list[dict[str, int]] = [{}]
         self.limit = [0]  # edits that any term below a node allows
         self.accepts = [-1]  # edits that the term ending at a node allows
         for term in terms:
-            node, allowed = 0, edits_for(len(term))
+            node, allowed = 0, 0 if term in exact else edits_for(len(term))
             self.limit[0] = max(self.limit[0], allowed)
             for letter in term:
                 if letter not in self.children[node]:
@@ -135,21 +135,25 @@ class Automaton:
 @dataclass(frozen=True)
 class Model:
     terms: tuple[str, ...] = ()
-    exceptions: frozenset = frozenset()
+    exceptions: frozenset = frozenset()  # words near a term that are words of their own
+    exact: frozenset = frozenset()  # terms with such neighbours, which must not be misspelled
+    weak: frozenset = frozenset()  # learned terms that few texts bear out; they count like misspelled ones
     weights: tuple[float, ...] = ()
 
 
 @lru_cache(maxsize=4)
-def _automaton(terms: tuple[str, ...]) -> Automaton:
-    return Automaton(terms)
+def _automaton(terms: tuple[str, ...], exact: frozenset = frozenset()) -> Automaton:
+    return Automaton(terms, exact)
 
 
 @dataclass
 class Matcher:
-    """Finds hits in texts: 0 for a term as it is, 1 for a misspelled one."""
+    """Finds hits in texts: 0 for a term as it is, 1 for a misspelled or weakly supported one."""
 
     terms: tuple[str, ...]
     exceptions: frozenset
+    exact: frozenset = frozenset()
+    weak: frozenset = frozenset()
     known: dict = field(default_factory=dict)
 
     def kind(self, word: str) -> int:
@@ -158,8 +162,8 @@ class Matcher:
             if len(self.known) >= MEMORY_WORDS:
                 self.known.clear()
             plain = word.translate(LOOKALIKES) if not word.isalpha() else word
-            edits = _automaton(self.terms).edits(plain) if word not in self.exceptions else -1
-            found = self.known[word] = -1 if edits < 0 or plain.isdigit() else 0 if edits == 0 and plain == word else 1
+            edits = _automaton(self.terms, self.exact).edits(plain) if word not in self.exceptions else -1
+            found = self.known[word] = -1 if edits < 0 or plain.isdigit() else 0 if edits == 0 and plain == word and word not in self.weak else 1
         return found
 
     def features(self, text: str) -> tuple[int, ...]:
@@ -185,6 +189,10 @@ class Matcher:
         return (*(min(3, c) for c in counts), density, int(addressed))
 
 
+def matcher_of(model: Model) -> Matcher:
+    return Matcher(model.terms, model.exceptions, model.exact, model.weak)
+
+
 def in_quotes(before: str, after: str) -> bool:
     """Whether a quotation that opens before goes on at least to what follows."""
     opened = max(before.rfind(c) for c in OPENING)
@@ -195,15 +203,15 @@ def in_quotes(before: str, after: str) -> bool:
 
 
 def _design(features: np.ndarray) -> np.ndarray:
-    """Misspelled hits count as hits; what they are worth less shows in a column of their own."""
+    """Plain, misspelled and quoted hits with weights of their own; one misspelled hit alone shows little."""
     plain, quoted, wrong, wrong_quoted, density, addressed = features.astype(float).T
-    direct, cited = np.minimum(plain + wrong, 3), np.minimum(quoted + wrong_quoted, 3)
-    only_wrong = (wrong + wrong_quoted > 0) & (plain + quoted == 0)
-    return np.column_stack([np.ones(len(features)), direct, direct > 0, cited, cited > 0, only_wrong, density, addressed]).astype(float)
+    cited = np.minimum(quoted + wrong_quoted, 3)
+    return np.column_stack([
+        np.ones(len(features)), plain, plain >= 1, wrong, wrong >= 2, cited, cited >= 1, density, addressed]).astype(float)
 
 
-#: Before any label is seen, direct hits speak for toxicity, quoted ones hardly, misspelled ones a little less.
-_PRIOR = np.array([0.0, 0.5, 1.0, 0.1, 0.2, -0.3, 0.0, 0.2])
+#: Before any label is seen, direct hits speak for toxicity, misspelled ones less, quoted ones hardly.
+_PRIOR = np.array([0.0, 0.5, 1.5, 1.0, 1.5, 0.1, 0.2, 0.5, 0.2])
 
 
 def fit_weights(features: np.ndarray, positive: np.ndarray, total: np.ndarray, strength: float = 0.5) -> np.ndarray:
@@ -260,22 +268,28 @@ def learn(documents: DataFrame, labels: DataFrame) -> Model:
         tried = counts.filter("bad > 0").count()
         least = max(SUPPORT, math.ceil(math.log(tried + 1) / math.log((total["n"] + 1) / (n_bad + 0.5))))
         strong = counts.filter((F.col("bad") >= least) & (rate >= LOG_RATIO)).orderBy(F.desc(F.col("bad") * rate), "word")
-        terms = {r["word"] for r in strong.limit(MAX_TERMS).collect()}
+        learned = {r["word"]: r["bad"] for r in strong.limit(MAX_TERMS).collect()}
+        weak = frozenset(w for w, bad in learned.items() if bad < 3 * least and w not in SEEDS)
         refuted = {r["word"] for r in counts.filter(F.col("word").isin(*SEEDS) & (F.col("good") > F.col("bad"))).collect()}
-        terms = tuple(sorted(terms | (SEEDS - refuted)))
+        terms = tuple(sorted(learned.keys() | (SEEDS - refuted)))
         spared = counts.filter(F.col("good") > F.col("bad")).filter(_near_udf(spark, terms)(F.col("word")))
         exceptions = frozenset(
             r["word"] for r in spared.orderBy(F.desc("good"), "word").limit(MAX_EXCEPTIONS).select("word").collect())
         counts.unpersist()
-        cells = rows.select("toxic", _features_udf(spark, terms, exceptions)(F.col("text")).alias("f")).groupBy("f").agg(
+        exact = frozenset(t for t in terms if _near_any(Automaton((t,)), exceptions))
+        cells = rows.select("toxic", _features_udf(spark, Model(terms, exceptions, exact, weak))(F.col("text")).alias("f")).groupBy("f").agg(
             F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()  # 4 ** 5 * 2 cells at most
         features = np.array([r["f"] for r in cells])
         weights = fit_weights(features, np.array([float(r["bad"]) for r in cells]), np.array([float(r["n"]) for r in cells]))
-        return Model(terms, exceptions, tuple(weights.tolist()))
+        return Model(terms, exceptions, exact, weak, tuple(weights.tolist()))
     finally:
         rows.unpersist()
 
 
+def _near_any(automaton: Automaton, words: frozenset) -> bool:
+    return any(automaton.edits(w) > 0 for w in words)
+
+
 def _near_udf(spark: SparkSession, terms: tuple[str, ...]):
     @F.pandas_udf("boolean")
     def near(words: pd.Series) -> pd.Series:
@@ -285,12 +299,12 @@ def _near_udf(spark: SparkSession, terms: tuple[str, ...]):
     return near
 
 
-def _features_udf(spark: SparkSession, terms: tuple[str, ...], exceptions: frozenset):
-    shared = spark.sparkContext.broadcast((terms, exceptions))
+def _features_udf(spark: SparkSession, model: Model):
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<int>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(*shared.value)
+        matcher = matcher_of(shared.value)
         for texts in batches:
             yield pd.Series([list(matcher.features(t)) for t in texts])
 
@@ -304,7 +318,7 @@ def scorer(spark: SparkSession, model: Model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        matcher, known = Matcher(own.terms, own.exceptions), {}
+        matcher, known = matcher_of(own), {}
         for texts in batches:
             out = []
             for text in texts:
