@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,28 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(within(limit, sc.MAX_PAGE))
 
 
+def placed(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows of each key in order, numbered from 1; for keys with a bounded number of rows."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def live_page(matches: DataFrame, teams: DataFrame, limit: int = 50) -> DataFrame:
+    """Live matches with their teams, latest start first."""
+    order = [F.col("started_ms").desc(), F.col("id")]
+    return placed(page(live_matches(matches, teams), order, limit), [], order)
+
+
+def page_after(matches: DataFrame, after: str | None, limit: int = 20) -> DataFrame:
+    """The page of matches that follows a cursor; the first one without a cursor."""
+    offset = 0
+    if after is not None:
+        text = base64.b64decode(after, validate=True).decode()
+        if not text.isdigit():
+            raise ValueError(f"no cursor: {after}")
+        offset = int(text)
+    return match_page(matches, limit, offset)
+
+
 def match_page(matches: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of matches, latest start first, with cursors and the total.
 

@@ -93,6 +93,12 @@ def prediction_history(pred: DataFrame, first_round: int | None = None, last_rou
     )
 
 
+def prediction_curve(pred: DataFrame, match_id: Column) -> DataFrame:
+    """The probability curve of one match, oldest point first."""
+    rows = prediction_history(pred.filter(F.col("match_id") == match_id))
+    return rows.orderBy("ts_calc", "map_id", "state_version")
+
+
 def events_between(raw: DataFrame, start: Column, end: Column) -> DataFrame:
     return raw.filter(F.col("ts_event").between(start, end))
 

@@ -827,3 +827,25 @@ ORACLE["sequence_stats"] = sql(FX, ARR, _ACTIONS, recursive=True, body="""
       count(*) FILTER (outcome = 'released') AS late_events_processed,
       count(*) FILTER (action = 'drop' OR outcome IN ('expired', 'overtaken')) AS late_events_dropped
     FROM av GROUP BY match_id, map_id""")
+
+# Orders: the place is part of the row.
+ORACLE["live_page"] = sql(MATCHES, TEAMS, body="""
+    , n AS (SELECT ma.id, started_ms, a.name AS team_a_name, b.name AS team_b_name,
+        row_number() OVER (ORDER BY started_ms DESC, ma.id) AS place
+      FROM ma JOIN teams a ON a.id = team_a_id JOIN teams b ON b.id = team_b_id WHERE status = 'live')
+    SELECT * FROM n WHERE place <= 50""")
+ORACLE["match_page_after"] = ORACLE["match_page"]
+ORACLE["prediction_curve"] = pred("""
+    SELECT match_id, state_version, ts_calc_ms, round(p_team_a_win, 6) AS p_team_a_win,
+      row_number() OVER (ORDER BY ts_calc_ms, map_id, state_version) AS place
+    FROM pr WHERE match_id = (SELECT min(match_id) FROM pr)""")
+ORACLE["rounds_in_order"] = ev("""
+    SELECT match_id, map_id, round_no, row_number() OVER (PARTITION BY match_id, map_id ORDER BY round_no) AS place
+    FROM rm""", ROUNDS)
+ORACLE["players_by_kills"] = f"""
+    SELECT match_id, map_id, player_id, team, kills,
+      row_number() OVER (PARTITION BY match_id, map_id ORDER BY kills DESC, player_id, team) AS place
+    FROM ({ORACLE["player_stats"]}) AS s"""
+ORACLE["types_by_count"] = f"""
+    SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY events DESC, type) AS place
+    FROM ({ORACLE["event_counts"]}) AS s"""

@@ -253,6 +253,46 @@ def live_matches(spark, d):
     return rows.select("id", "format", "started_ms", "team_a_name", "team_b_name")
 
 
+@query
+def live_page(spark, d):
+    rows = catalog.live_page(fx.matches(spark, d), fx.teams(spark, d))
+    return rows.select("id", "started_ms", "team_a_name", "team_b_name", "place")
+
+
+@query
+def match_page_after(spark, d):
+    """The page behind the cursor of place 40."""
+    rows = catalog.page_after(fx.matches(spark, d), "NDA=", 20)
+    return rows.select("id", "status", "place", "cursor", "total", "has_next_page")
+
+
+@query
+def prediction_curve(spark, d):
+    pred = tables.predictions(spark, d)
+    rows = evaluation.prediction_curve(pred, pred.agg(F.min("match_id").alias("m")).scalar())
+    rows = catalog.placed(rows, ["match_id"], [F.col("ts_calc"), F.col("map_id"), F.col("state_version")])
+    return rows.select("match_id", "state_version", ms("ts_calc"), r6("p_team_a_win"), "place")
+
+
+@query
+def rounds_in_order(spark, d):
+    rows = rollups.round_metrics(tables.events(spark, d))
+    return catalog.placed(rows, ["match_id", "map_id"], [F.col("round_no")]).select("match_id", "map_id", "round_no", "place")
+
+
+@query
+def players_by_kills(spark, d):
+    rows = rollups.player_stats(tables.events(spark, d))
+    order = [F.col("kills").desc(), F.col("player_id"), F.col("team")]
+    return catalog.placed(rows, ["match_id", "map_id"], order).select("match_id", "map_id", "player_id", "team", "kills", "place")
+
+
+@query
+def types_by_count(spark, d):
+    rows = rollups.event_counts(tables.events(spark, d))
+    return catalog.placed(rows, ["match_id"], [F.col("events").desc(), F.col("type")])
+
+
 @query
 def match_details(spark, d):
     rows = catalog.match_details(fx.matches(spark, d), fx.teams(spark, d), fx.match_maps(spark, d))
