@@ -100,6 +100,10 @@ def prediction_curve(pred: DataFrame, match_id: Column) -> DataFrame:
 
 
 def events_between(raw: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Events of a time range. Of a table kept by month only the months of the range are read."""
+    if "month" in raw.columns:
+        months = [F.date_format(x, "yyyyMM").cast("int") for x in (start, end)]
+        raw = raw.filter(F.col("month").between(*months))
     return raw.filter(F.col("ts_event").between(start, end))
 
 

@@ -51,9 +51,18 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def retain(df: DataFrame, day: str | Column, days: int, as_of: Column) -> DataFrame:
-    """Rows of the last ``days`` days before ``as_of``."""
+    """Rows of the last ``days`` days before ``as_of``. Of a table kept by month, older months are not read."""
     day = F.col(day) if isinstance(day, str) else day
-    return df.filter(day >= F.date_sub(as_of, days))
+    first = F.date_sub(as_of, days)
+    return _from_month(df, first).filter(day >= first)
+
+
+def month_number(moment: Column) -> Column:
+    return F.date_format(moment, "yyyyMM").cast("int")
+
+
+def _from_month(df: DataFrame, first: Column) -> DataFrame:
+    return df.filter(F.col("month") >= month_number(first)) if "month" in df.columns else df
 
 
 def retain_by_tier(df: DataFrame, day: str, tier: str, as_of: Column) -> DataFrame:

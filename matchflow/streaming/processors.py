@@ -32,7 +32,9 @@ class _Keyed:
     @classmethod
     def handle(cls, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            left = cls.leftover(key, json.loads(state.get[0])) if state.exists else []
             state.remove()
+            yield pd.DataFrame(left, columns=cls.columns)
             return
         known = json.loads(state.get[0]) if state.exists else None
         batch = pd.concat(list(rows)).sort_values(cls.order, kind="stable")
@@ -51,6 +53,11 @@ class _Keyed:
     def fold(key: tuple, known: dict | None, batch: pd.DataFrame) -> tuple[dict, list[tuple]]:
         raise NotImplementedError
 
+    @staticmethod
+    def leftover(key: tuple, known: dict) -> list[tuple]:
+        """Rows for what the state still holds when it is given up."""
+        return []
+
 
 class SequenceProcessor(_Keyed):
     """Action and outcome of every event of a shard, as they settle."""
@@ -71,6 +78,11 @@ class SequenceProcessor(_Keyed):
             out += [(*key, *event, action, outcome) for event, action, outcome in settled]
         return {"last": tracker.last, "waiting": tracker.waiting, "clock": clock}, out
 
+    @staticmethod
+    def leftover(key, known):
+        """Events that still wait when nothing more comes to their shard have expired."""
+        return [(*key, *event, "buffer", "expired") for _, _, event in sorted(known["waiting"])]
+
 
 # What an event type sets anew for both teams, and the phase it leads to.
 _RESETS = {"match_start": ("maps_won", 0), "map_start": ("score", 0), "round_start": ("alive_count", sc.PLAYERS)}

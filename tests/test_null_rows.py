@@ -83,3 +83,36 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Cluster())
+
+
+def test_waiting_events_are_told_when_their_state_is_given_up():
+    import json
+
+    from matchflow.streaming.processors import SequenceProcessor
+
+    class State:
+        hasTimedOut = exists = True
+        get = (json.dumps({"last": 3, "waiting": [[7, 10, ["e7", 7]], [5, 10, ["e5", 5]]], "clock": 10}),)
+        removed = False
+
+        def remove(self):
+            self.removed = True
+
+    state = State()
+    (rows,) = SequenceProcessor.handle(("m", "p"), iter([]), state)
+    assert state.removed
+    assert rows.values.tolist() == [["m", "p", "e5", 5, "buffer", "expired"], ["m", "p", "e7", 7, "buffer", "expired"]]
+
+
+def test_time_ranges_read_their_months_only(spark, tmp_path):
+    rows = spark.sql("select explode(sequence(timestamp'2024-01-01', timestamp'2024-06-01', interval 10 days)) as ts_event").withColumns(
+        {"month": store.month_number(F.col("ts_event")), "date": F.to_date("ts_event")})
+    rows.write.partitionBy("month").parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    low, high = F.lit("2024-02-05").cast("timestamp"), F.lit("2024-03-05").cast("timestamp")
+    some = evaluation.events_between(table, low, high)
+    kept = store.retain(table, "date", 30, F.lit("2024-06-01").cast("date"))
+    assert some.count() == rows.filter(F.col("ts_event").between(low, high)).count()
+    assert kept.count() == rows.filter("date >= date'2024-05-02'").count()
+    for frame in (some, kept):
+        assert "PartitionFilters: [isnotnull(month" in frame._jdf.queryExecution().toString()
