@@ -34,9 +34,9 @@ from matchflow.llm.common import ready, scratch, slices_of, table, whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk: what a task holds decoded at a time. One longer text is a chunk by itself.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 #: Distinct words that a task keeps encoded before it starts its memory anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 
 _SCHEMA = "chunk long, slice int, keys binary, body binary"
 

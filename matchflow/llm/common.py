@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from matchflow.session import prepare, shared_path
 
 #: Bytes of rows that are handed to a Python worker at once. Longer single rows come alone.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -46,9 +46,9 @@ LEADERS = 3
 #: Members and shingles of a slice of a group, queries of a unit of comparison.
 GROUP_MEMBERS, GROUP_TOKENS, UNIT_QUERIES = 256, 200_000, 64
 #: Characters of the documents that a task packs together.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 #: Distinct words whose hash a task remembers.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 100_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")

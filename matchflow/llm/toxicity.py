@@ -38,7 +38,7 @@ MAX_EXCEPTIONS = 2_000
 #: Words on either side of a hit that count as its context.
 WINDOW = 8
 #: Words whose match a task remembers.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 150_000
 FOLDS = 5
 
 # Words that report speech, words that address someone, marks of quotation.
