@@ -18,7 +18,9 @@ That bound is used at two levels:
    query, and members are compared exactly.
 
 Links found join the clusters to components. No step lists all pairs of a group
-of similar texts: members of a cluster are never paired again.
+of similar texts: for the components, members of a cluster are never paired
+again. Where the number of links is asked for, members of a cluster are compared
+slice by slice and each task gives a count for each of its queries.
 """
 
 from __future__ import annotations
@@ -330,6 +332,60 @@ def open_group(members: list[dict], queries: list[dict], percent: int) -> Iterat
                 yield min(cluster, query["cluster"]), max(cluster, query["cluster"])
 
 
+def count_group(members: list[dict], queries: list[dict], percent: int, inside: bool) -> Iterator[tuple[int, int]]:
+    """Each query's id and how many documents of the members link with it: in its own cluster, but itself, or in others."""
+    sets = [np.frombuffer(m["tokens"], "<u8") for m in members]
+    sizes = np.array([len(s) for s in sets])
+    clusters, ids, copies = (np.array([m[c] for m in members]) for c in ("cluster", "id", "copies"))
+    token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    for query in queries:
+        own = np.frombuffer(query["tokens"], "<u8")
+        left, right = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+        width = right - left
+        if 100 * int((width > 0).sum()) < percent * len(own):
+            continue
+        ends = np.cumsum(width)
+        hits = owner[np.arange(int(ends[-1])) - np.repeat(ends - width - left, width)]
+        overlap = np.bincount(hits, minlength=len(sets))
+        of = (clusters == query["cluster"]) & (ids != query["id"]) if inside else clusters != query["cluster"]
+        count = int(copies[linked(overlap, len(own), sizes, percent) & of].sum())
+        if count:
+            yield query["id"], count
+
+
+def _counter(percent: int):
+    """Slices of a cluster in, each query's links within the cluster out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members, queries in zip(batch.column("members"), batch.column("queries")):
+                rows = list(count_group(members.as_py(), queries.as_py(), percent, True))
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.array([i for i, _ in rows], pa.int64()), "n_links": pa.array([n for _, n in rows], pa.int64())})
+
+    return count
+
+
+def _opening_counter(percent: int):
+    """As _opener, and each query's links with other clusters, from one pass: a and b, or id and n_links."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members, queries in zip(batch.column("members"), batch.column("queries")):
+                members, queries = members.as_py(), queries.as_py()
+                links = sorted(set(open_group(members, queries, percent)))
+                rows = list(count_group(members, queries, percent, False))
+                none, more = [None] * len(links), [None] * len(rows)
+                yield pa.RecordBatch.from_pydict({
+                    "a": pa.array([a for a, _ in links] + more, pa.int64()), "b": pa.array([b for _, b in links] + more, pa.int64()),
+                    "id": pa.array(none + [i for i, _ in rows], pa.int64()),
+                    "n_links": pa.array(none + [n for _, n in rows], pa.int64())})
+
+    return search
+
+
 def _clusters(nodes: DataFrame, percent: int) -> DataFrame:
     """Clusters by links with the leaders of groups: id, cluster (its smallest id)."""
     proposed = nodes.select("id", F.explode("lows").alias("low"))
@@ -347,8 +403,11 @@ def _clusters(nodes: DataFrame, percent: int) -> DataFrame:
         "id", F.coalesce("label", "id").alias("cluster"))
 
 
-def _cross_links(nodes: DataFrame, percent: int) -> DataFrame:
-    """Links between different clusters, as pairs of clusters: a, b. ``nodes``: id, n, tokens, low, cluster."""
+def _openings(nodes: DataFrame, percent: int) -> DataFrame:
+    """Groups as members, with the nodes that may link with one of another cluster as queries.
+
+    ``nodes``: id, n, tokens, low, cluster, copies. Any two nodes meet in one group at most.
+    """
     unpacked = nodes.mapInArrow(_unpacker, "id long, n long, cluster long, token long")
     crossing = unpacked.groupBy("token").agg(
         F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("count")
@@ -366,12 +425,12 @@ def _cross_links(nodes: DataFrame, percent: int) -> DataFrame:
     alive = nodes.join(open_ids, "id")
     by = alive.groupBy("cluster").agg(F.count("*").alias("members"))
     home = alive.join(by, "cluster").select(
-        "id", "n", "cluster", "tokens", F.when(F.col("members") > 1, F.col("cluster")).otherwise(F.col("low")).alias("home"),
+        "id", "n", "cluster", "copies", "tokens", F.when(F.col("members") > 1, F.col("cluster")).otherwise(F.col("low")).alias("home"),
         (F.col("members") > 1).alias("verified"))
     sizes = home.groupBy("verified", "home").agg(F.greatest(
         F.ceil(F.count("*") / GROUP_MEMBERS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("pieces"))
     home = home.join(sizes, ["verified", "home"]).select(
-        "id", "n", "cluster", "tokens",
+        "id", "n", "cluster", "copies", "tokens",
         F.xxhash64("verified", "home", F.pmod(F.xxhash64("id"), "pieces")).alias("group"))
     home = stored(home, "groups")
     place = home.select("id", "group")
@@ -383,9 +442,37 @@ def _cross_links(nodes: DataFrame, percent: int) -> DataFrame:
     units = found.groupBy("group").agg(F.ceil(F.count("*") / UNIT_QUERIES).alias("units"))
     asked = found.join(units, "group").withColumn("unit", F.pmod(F.xxhash64("id"), "units")).join(
         home.select("id", "tokens"), "id").groupBy("group", "unit").agg(
-        F.collect_list(F.struct("cluster", "tokens")).alias("queries"))
-    groups = home.groupBy("group").agg(F.collect_list(F.struct("cluster", "tokens")).alias("members"))
-    return asked.join(groups, "group").select("members", "queries").mapInArrow(_opener(percent), "a long, b long")
+        F.collect_list(F.struct("id", "cluster", "tokens")).alias("queries"))
+    groups = home.groupBy("group").agg(F.collect_list(F.struct("id", "cluster", "copies", "tokens")).alias("members"))
+    return asked.join(groups, "group").select("members", "queries")
+
+
+def _cluster_openings(nodes: DataFrame) -> DataFrame:
+    """Each slice of a cluster as members, with each slice of it as queries."""
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("size"), F.greatest(
+        F.ceil(F.count("*") / GROUP_MEMBERS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("pieces")).filter("size > 1")
+    dealt = nodes.join(sizes, "cluster").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces"))
+    row = F.struct("id", "cluster", "copies", "tokens")
+    slices = stored(dealt.groupBy("cluster", "piece", "pieces").agg(F.collect_list(row).alias("members")), "slices")
+    pairs = slices.select("cluster", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other"))
+    queries = slices.select("cluster", F.col("piece").alias("other"), F.col("members").alias("queries"))
+    # Numbers of slices are paired first; their rows come by a key that has few rows.
+    return pairs.join(slices.select("cluster", "piece", "members"), ["cluster", "piece"]).join(
+        queries, ["cluster", "other"]).select("members", "queries")
+
+
+def _cross_links(nodes: DataFrame, percent: int) -> DataFrame:
+    """Links between different clusters, as pairs of clusters: a, b."""
+    return _openings(nodes, percent).mapInArrow(_opener(percent), "a long, b long")
+
+
+def _counted_links(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """As _cross_links; and documents of other texts that each node links with: id, n_links, where there are any."""
+    opened = stored(_openings(nodes, percent).mapInArrow(
+        _opening_counter(percent), "a long, b long, id long, n_links long"), "opened")
+    inside = _cluster_openings(nodes).mapInArrow(_counter(percent), "id long, n_links long")
+    counts = inside.unionByName(opened.filter("id is not null").select("id", "n_links"))
+    return opened.filter("a is not null").select("a", "b"), counts.groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
 
 def _unpacker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,8 +484,8 @@ def _unpacker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "cluster": pa.array(np.repeat(clusters, sizes)), "token": pa.array(np.frombuffer(blob, "<i8"), pa.int64())})
 
 
-def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, raw (MD5 of the text), n_shingles, component_id.
+def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """One row per document: doc_id, raw (MD5 of the text), n_shingles, component_id; with ``links`` n_links too.
 
     Words are cut at white space, with A-Z in lower case; a text of fewer than
     ``width`` words has its whole sequence as its one shingle. Documents link
@@ -408,10 +495,14 @@ def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     are one node, so equal rows get equal results. A null doc_id is never the
     smallest; a component with no other id has a null component_id. Columns
     besides doc_id and text are ignored. No row is dropped.
+
+    n_links is how many other rows a row links with, those of equal words
+    included. All pairs within a component are compared for it, not listed.
     """
     spark = ready(documents.sparkSession)
     docs = stored(covered(documents, width), "covered")
-    kinds = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("shared").alias("shared"))
+    kinds = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("shared").alias("shared"),
+                                  F.count("*").alias("copies"))
     reach = docs.join(
         kinds.filter((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).select("key"), "key", "left_semi"
     ).groupBy("key").agg(F.min(F.struct("doc_id", "raw")).alias("r")).select("key", "r.doc_id", "r.raw")
@@ -424,9 +515,12 @@ def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     names = nodes.select("key", F.col("id").alias("own")).join(repeated, "key").select("key", "id", "own")
     nodes = nodes.join(repeated.select("id"), "id", "left_semi")
     clusters = stored(_clusters(nodes, percent), "clusters")
+    counted = None
     if clusters.limit(1).count():
-        parts = nodes.select("id", "n", "tokens", F.col("lows")[0].alias("low")).join(clusters, "id")
-        merged = components(_cross_links(parts, percent))
+        weights = nodes.select("id", "key").join(kinds.select("key", "copies"), "key").select("id", "copies")
+        parts = nodes.select("id", "n", "tokens", F.col("lows")[0].alias("low")).join(clusters, "id").join(weights, "id")
+        crossing, counted = _counted_links(parts, percent) if links else (_cross_links(parts, percent), None)
+        merged = components(crossing)
         final = clusters.join(merged, clusters["cluster"] == merged["node"], "left").select(
             "id", F.coalesce("label", "cluster").alias("label"))
     else:
@@ -436,9 +530,14 @@ def classes(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     reached = of_key.join(lowest, "label").select("key", "component_id", F.lit(True).alias("found"))
     known = kinds.join(reached, "key", "left").select(
         "key", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return docs.join(known, "key").select(
-        "doc_id", "raw", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = ["doc_id", "raw", F.col("n").alias("n_shingles"),
+           F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if links:
+        others = nodes.select("key", "id").join(counted, "id").select("key", "n_links") if counted is not None else (
+            nodes.select("key", F.lit(0).cast("long").alias("n_links")))
+        known = known.join(others, "key", "left").join(kinds.select("key", "copies"), "key")
+        out.append(F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    return docs.join(known, "key").select(*out)
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
@@ -462,7 +561,11 @@ def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
+def op1_ngram_links(spark, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op1_ngram_links": op1_ngram_links}
 ORACLE = {
     "op1_ngram_join": r"""
 WITH RECURSIVE w AS (
@@ -480,5 +583,23 @@ r(doc_id, reached) AS (
 )
 SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, min(r.reached) AS component_id
 FROM g JOIN r USING (doc_id) GROUP BY g.doc_id, g.s
-"""
+""",
+    "op1_ngram_links": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s FROM w
+), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM g),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS overlap
+  FROM t a JOIN t b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o WHERE 100 * overlap >= 75 * (n + m - overlap)),
+r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM g UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a
+)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, min(r.reached) AS component_id,
+  (SELECT count(*) FROM e WHERE e.a = g.doc_id) AS n_links
+FROM g JOIN r USING (doc_id) GROUP BY g.doc_id, g.s
+""",
 }

@@ -117,3 +117,17 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 200: 0, 100: 100, 101: 100, 150: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_are_counted(documents, words, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 4)
+    monkeypatch.setattr(ngram_join, "UNIT_QUERIES", 3)
+    monkeypatch.setattr(ngram_join, "KEYS", 2)
+    rows = corpus(words, 3)
+    rng, base = random.Random(8), words(200, 77)
+    rows += [(10_000 + i, edited(base, rng, 0.02)) for i in range(20)] + [(20_000 + i, base) for i in range(3)]
+    sets = [shingles(t) for _, t in rows]
+    want = sorted(((d, sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)))
+                   for i, ((d, _), a) in enumerate(zip(rows, sets))), key=str)
+    got = ngram_join.classes(documents(rows), links=True).select("doc_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == want and max(n for _, n in want) > 5
