@@ -5,7 +5,8 @@
 2. The lexicon is a trie. The automaton of all strings within an edit or two of
    a term is walked together with it, as a deterministic automaton whose states
    (sets of trie nodes with their edits) are made when first reached. So
-   misspelled terms are found at a step per character.
+   misspelled terms are found at a step per character. Words near a term that
+   clean texts use are spared; other misspellings of the term still match.
 3. A window around each hit tells quoting from abuse: quotation marks and words
    of reporting against words that address the reader.
 4. A logistic model over counts of hits gives the score.
@@ -33,8 +34,6 @@ from matchflow.llm.common import ready, table, whole_text
 TRAINING_ROWS = 20_000
 #: Terms of the lexicon at most; texts that must hold a term; least log of its rate in toxic over clean texts.
 MAX_TERMS, SUPPORT, LOG_RATIO = 400, 5, 4.0
-#: Words near the lexicon that clean texts use as words of their own, at most.
-MAX_EXCEPTIONS = 2_000
 #: Words on either side of a hit that count as its context.
 WINDOW = 8
 #: Words whose match a task remembers.
@@ -64,12 +63,12 @@ def edits_for(length: int) -> int:
 class Automaton:
     """Strings within the allowed edits of a term, as a deterministic automaton made on the way."""
 
-    def __init__(self, terms: tuple[str, ...], exact: frozenset = frozenset()):
+    def __init__(self, terms: tuple[str, ...]):
         self.children: list[dict[str, int]] = [{}]
         self.limit = [0]  # edits that any term below a node allows
         self.accepts = [-1]  # edits that the term ending at a node allows
         for term in terms:
-            node, allowed = 0, 0 if term in exact else edits_for(len(term))
+            node, allowed = 0, edits_for(len(term))
             self.limit[0] = max(self.limit[0], allowed)
             for letter in term:
                 if letter not in self.children[node]:
@@ -136,14 +135,13 @@ class Automaton:
 class Model:
     terms: tuple[str, ...] = ()
     exceptions: frozenset = frozenset()  # words near a term that are words of their own
-    exact: frozenset = frozenset()  # terms with such neighbours, which must not be misspelled
     weak: frozenset = frozenset()  # learned terms that few texts bear out; they count like misspelled ones
     weights: tuple[float, ...] = ()
 
 
 @lru_cache(maxsize=4)
-def _automaton(terms: tuple[str, ...], exact: frozenset = frozenset()) -> Automaton:
-    return Automaton(terms, exact)
+def _automaton(terms: tuple[str, ...]) -> Automaton:
+    return Automaton(terms)
 
 
 @dataclass
@@ -152,7 +150,6 @@ class Matcher:
 
     terms: tuple[str, ...]
     exceptions: frozenset
-    exact: frozenset = frozenset()
     weak: frozenset = frozenset()
     known: dict = field(default_factory=dict)
 
@@ -162,7 +159,7 @@ class Matcher:
             if len(self.known) >= MEMORY_WORDS:
                 self.known.clear()
             plain = word.translate(LOOKALIKES) if not word.isalpha() else word
-            edits = _automaton(self.terms, self.exact).edits(plain) if word not in self.exceptions else -1
+            edits = _automaton(self.terms).edits(plain) if word not in self.exceptions else -1
             found = self.known[word] = -1 if edits < 0 or plain.isdigit() else 0 if edits == 0 and plain == word and word not in self.weak else 1
         return found
 
@@ -190,7 +187,7 @@ class Matcher:
 
 
 def matcher_of(model: Model) -> Matcher:
-    return Matcher(model.terms, model.exceptions, model.exact, model.weak)
+    return Matcher(model.terms, model.exceptions, model.weak)
 
 
 def in_quotes(before: str, after: str) -> bool:
@@ -273,23 +270,17 @@ def learn(documents: DataFrame, labels: DataFrame) -> Model:
         refuted = {r["word"] for r in counts.filter(F.col("word").isin(*SEEDS) & (F.col("good") > F.col("bad"))).collect()}
         terms = tuple(sorted(learned.keys() | (SEEDS - refuted)))
         spared = counts.filter(F.col("good") > F.col("bad")).filter(_near_udf(spark, terms)(F.col("word")))
-        exceptions = frozenset(
-            r["word"] for r in spared.orderBy(F.desc("good"), "word").limit(MAX_EXCEPTIONS).select("word").collect())
+        exceptions = frozenset(r["word"] for r in spared.select("word").collect())  # of the training rows' words
         counts.unpersist()
-        exact = frozenset(t for t in terms if _near_any(Automaton((t,)), exceptions))
-        cells = rows.select("toxic", _features_udf(spark, Model(terms, exceptions, exact, weak))(F.col("text")).alias("f")).groupBy("f").agg(
+        cells = rows.select("toxic", _features_udf(spark, Model(terms, exceptions, weak))(F.col("text")).alias("f")).groupBy("f").agg(
             F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()  # 4 ** 5 * 2 cells at most
         features = np.array([r["f"] for r in cells])
         weights = fit_weights(features, np.array([float(r["bad"]) for r in cells]), np.array([float(r["n"]) for r in cells]))
-        return Model(terms, exceptions, exact, weak, tuple(weights.tolist()))
+        return Model(terms, exceptions, weak, tuple(weights.tolist()))
     finally:
         rows.unpersist()
 
 
-def _near_any(automaton: Automaton, words: frozenset) -> bool:
-    return any(automaton.edits(w) > 0 for w in words)
-
-
 def _near_udf(spark: SparkSession, terms: tuple[str, ...]):
     @F.pandas_udf("boolean")
     def near(words: pd.Series) -> pd.Series:

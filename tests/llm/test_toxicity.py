@@ -107,3 +107,10 @@ def test_quotes():
     pairs = list(itertools.product(['"a', "“a", "a", '"a" b', "“a” b"], ['c"', "c”", "c"]))
     got = [toxicity.in_quotes(b, a) for b, a in pairs]
     assert got == [True, True, False, True, True, False] + [False] * 9
+
+
+def test_neighbours_are_spared_and_misspellings_still_match(documents, labelled):
+    rows, labels = labelled
+    near = rows.withColumn("text", F.when(F.col("doc_id") % 4 != 0, F.concat("text", F.lit(" vileworm"))).otherwise(F.col("text")))
+    matcher = toxicity.matcher_of(toxicity.learn(near, labels))
+    assert [matcher.kind(w) for w in ("vileword", "vileworm", "vilewrd", "vilewordd")] == [0, -1, 1, 1]
