@@ -33,7 +33,9 @@ from matchflow.llm.common import ready, table, whole_text
 #: Labelled rows that the lexicon and the weights are fitted on at most: the first by a hash of doc_id.
 TRAINING_ROWS = 20_000
 #: Terms of the lexicon at most; texts that must hold a term; least log of its rate in toxic over clean texts.
-MAX_TERMS, SUPPORT, LOG_RATIO = 400, 5, 4.0
+MAX_TERMS, SUPPORT, LOG_RATIO = 400, 5, 2.5
+#: Terms below this log are quoted by clean texts too; they count like misspelled ones.
+CLEAR_RATIO = 4.0
 #: Words on either side of a hit that count as its context.
 WINDOW = 8
 #: Words whose match a task remembers.
@@ -212,15 +214,22 @@ _PRIOR = np.array([0.0, 0.5, 1.5, 1.0, 1.5, 0.1, 0.2, 0.5, 0.2])
 
 
 def fit_weights(features: np.ndarray, positive: np.ndarray, total: np.ndarray, strength: float = 0.5) -> np.ndarray:
-    """Logistic regression on counts per cell, drawn to the prior; Newton's method."""
+    """Logistic regression on counts per cell, drawn to the prior; Newton's method with shortened steps."""
     x, w = _design(features), _PRIOR.copy()
     penalty = np.full(len(w), strength)
     penalty[0] = 1e-3
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((total * np.logaddexp(0, z) - positive * z).sum() + (penalty * (v - _PRIOR) ** 2).sum() / 2)
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (positive - total * p) - penalty * (w - _PRIOR)
         hessian = (x * (total * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
+        while np.abs(step).max() >= 1e-8 and loss(w + step) > loss(w) + 1e-9:  # a whole step may overshoot
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -241,12 +250,16 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_
     return texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text")
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Texts with each word: word, bad, good. Texts that share the three least hashes of their words (copies) count once."""
+def families(rows: DataFrame) -> DataFrame:
+    """toxic, words and family of each text. Texts that share the three least hashes of their words (copies) are a family."""
     words = rows.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0))).alias("words"))
     hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
-    family = words.select("toxic", "words", F.xxhash64(F.slice(hashes, 1, 3)).alias("family"))
-    single = family.select("family", "toxic", F.explode("words").alias("word")).groupBy("family", "word").agg(F.max("toxic").alias("toxic"))
+    return words.select("toxic", "words", F.xxhash64(F.slice(hashes, 1, 3)).alias("family"))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Families of texts with each word: word, bad, good."""
+    single = families(rows).select("family", "toxic", F.explode("words").alias("word")).groupBy("family", "word").agg(F.max("toxic").alias("toxic"))
     return single.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
 
 
@@ -258,18 +271,22 @@ def learn(documents: DataFrame, labels: DataFrame) -> Model:
         total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
         if not total["bad"]:
             return Model()
-        n_bad, n_good = total["bad"], total["n"] - total["bad"]
+        # Rates are over families, as the words' counts are, so a text of many copies does not lower those of others.
+        of = families(rows).groupBy("family").agg(F.max("toxic").alias("toxic")).agg(
+            F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
+        n_bad, n_good = of["bad"], of["n"] - of["bad"]
         counts = word_counts(rows).persist()
         rate = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
         # A word that stands in `bad` toxic texts and no other by chance alone, among that many words, is left out.
         tried = counts.filter("bad > 0").count()
-        least = max(SUPPORT, math.ceil(math.log(tried + 1) / math.log((total["n"] + 1) / (n_bad + 0.5))))
+        least = max(SUPPORT, math.ceil(math.log(tried + 1) / math.log((of["n"] + 1) / (n_bad + 0.5))))
         strong = counts.filter((F.col("bad") >= least) & (rate >= LOG_RATIO)).orderBy(F.desc(F.col("bad") * rate), "word")
-        learned = {r["word"]: r["bad"] for r in strong.limit(MAX_TERMS).collect()}
-        weak = frozenset(w for w, bad in learned.items() if bad < 3 * least and w not in SEEDS)
-        refuted = {r["word"] for r in counts.filter(F.col("word").isin(*SEEDS) & (F.col("good") > F.col("bad"))).collect()}
+        learned = {r["word"]: r for r in strong.select("word", "bad", rate.alias("rate")).limit(MAX_TERMS).collect()}
+        weak = frozenset(
+            w for w, r in learned.items() if (r["bad"] < 3 * least or r["rate"] < CLEAR_RATIO) and w not in SEEDS)
+        refuted = {r["word"] for r in counts.filter(F.col("word").isin(*SEEDS) & (rate < 0)).collect()}
         terms = tuple(sorted(learned.keys() | (SEEDS - refuted)))
-        spared = counts.filter(F.col("good") > F.col("bad")).filter(_near_udf(spark, terms)(F.col("word")))
+        spared = counts.filter(rate < 0).filter(_near_udf(spark, terms)(F.col("word")))
         exceptions = frozenset(r["word"] for r in spared.select("word").collect())  # of the training rows' words
         counts.unpersist()
         cells = rows.select("toxic", _features_udf(spark, Model(terms, exceptions, weak))(F.col("text")).alias("f")).groupBy("f").agg(

@@ -114,3 +114,22 @@ def test_neighbours_are_spared_and_misspellings_still_match(documents, labelled)
     near = rows.withColumn("text", F.when(F.col("doc_id") % 4 != 0, F.concat("text", F.lit(" vileworm"))).otherwise(F.col("text")))
     matcher = toxicity.matcher_of(toxicity.learn(near, labels))
     assert [matcher.kind(w) for w in ("vileword", "vileworm", "vilewrd", "vilewordd")] == [0, -1, 1, 1]
+
+
+def test_rates_of_families_decide(spark, documents, words):
+    """Of 400 texts 40 are toxic, and a toxic text has 150 copies; clean texts quote the terms now and then."""
+    rows, toxic = [], []
+    for i in range(600):
+        text = words(20, i if i < 440 else 7000).translate(str.maketrans("0123456789", "abcdefghij"))
+        bad = i < 40 or i >= 440
+        if i < 24:
+            text += " idiot badterm"
+        elif 40 <= i < 75:
+            text += " idiot"
+        if 40 <= i < 49:
+            text += " badterm"
+        rows.append((i, text))
+        toxic.append((i, int(bad)))
+    labels = spark.createDataFrame(toxic, "doc_id long, toxic int")
+    model = toxicity.learn(documents(rows), labels)
+    assert {"idiot", "badterm"} <= set(model.terms) and "badterm" in model.weak
