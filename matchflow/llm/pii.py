@@ -1,15 +1,15 @@
 """Personal data, and the terms that give it away, with DataFrame functions only.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern and
-check. They are the protected entities. A term near an entity discloses it if
-the corpus says so: with n(e) documents that hold entity e, n(t) that hold term
-t, n(e,t) where t stands near e, and N in all,
+check. They are the protected entities. A term in a document with an entity
+discloses it if the corpus says so: with n(e) documents that hold entity e, n(t)
+that hold term t, n(e,t) that hold both, and N in all,
 
     PMI(e;t) = log2(N n(e,t) / (n(e) n(t)))  and  IC(e) = log2(N / n(e)),
 
 t discloses e if PMI(e;t) >= SHARE * IC(e) and n(e,t) >= SUPPORT. All counts
 are over whole texts of all documents. Sanitising generalises entities to their
-kind and removes disclosing terms near them.
+kind and removes every occurrence of a disclosing term in documents with its entity.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from matchflow.llm.common import ready, stored, table, whole_text
 
 #: Share of an entity's information that a term may give away, and documents that must bear it out.
 SHARE, SUPPORT = 0.9, 2
-#: Code points on either side of an entity in which terms are looked at.
-REACH = 64
+#: Code points on either side of an entity in which terms are looked at: as many as a text can have.
+REACH = (1 << 31) - 1
 
 # The kinds in order, with their patterns. Possessive repeats match
 # the same as greedy ones here, without recursion; the starts left out by the
@@ -34,7 +34,11 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = "term"
-_TERMS = r"\p{L}{4,}+"
+_TERMS = r"\p{L}++"
+#: Stands for a character of an entity; a word that touches one is no term.
+_MARK = "\ufdd0"
+_FREE_START, _FREE_END = rf"(?<![\p{{L}}{_MARK}])", rf"(?!{_MARK})"
+_FREE_TERMS = _FREE_START + _TERMS + _FREE_END
 #: What must be in a text for a kind to be looked for.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
@@ -120,57 +124,60 @@ def entity_of(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), digits(value)).otherwise(F.lower(value)))
 
 
-def nearby(found_spans: DataFrame) -> DataFrame:
-    """Terms near entities: rid, entity, term, start, end. Input: rid, text, spans.
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with a mark for each character of the spans."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
-    A term is a word of four letters or more, in lower case, that lies whole
-    within reach of the entity and outside of every entity.
-    """
-    text = F.col("text")
-    sides = F.flatten(F.transform("spans", lambda s: F.array(
-        F.struct(entity_of(s["kind"], s["value"]).alias("entity"),
-                 F.greatest(s["start"] - REACH, F.lit(0)).alias("from"), s["start"].alias("to")),
-        F.struct(entity_of(s["kind"], s["value"]).alias("entity"),
-                 s["end"].alias("from"), F.least(s["end"] + REACH, F.length(text)).alias("to")),
-    )))
-    # One character more on either side shows whether a word is cut.
-    windows = found_spans.select("rid", "spans", "text", F.explode(sides).alias("w")).select(
-        "rid", "w.entity", F.greatest(F.col("w.from") - 1, F.lit(0)).alias("from"),
-        F.col("w.from").alias("low"), F.col("w.to").alias("high"),
-        F.transform(F.filter("spans", lambda s: (s["start"] < F.col("w.to")) & (s["end"] > F.col("w.from"))),
-                    lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("taken"),
-        F.substring(text, F.greatest(F.col("w.from") - 1, F.lit(0)) + 1,
-                    F.col("w.to") + 1 - F.greatest(F.col("w.from") - 1, F.lit(0))).alias("piece"))
-    words = windows.withColumn("words", found(F.col("piece"), _TERMS)).filter(F.size("words") > 0).withColumn(
-        "gaps", gaps(F.col("piece"), _TERMS))
-    terms = words.select(
-        "rid", "entity", "low", "high", "taken", F.explode(placed(F.col("words"), F.col("gaps"), F.col("from"))).alias("t"))
-    whole = (F.col("t.start") >= F.col("low")) & (F.col("t.end") <= F.col("high"))
-    free = ~F.exists("taken", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    return terms.filter(whole & free).select(
-        "rid", "entity", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-
-
-def disclosing(documents: DataFrame, near: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """Pairs of entity and term where the term gives the entity away: entity, term."""
-    seen = near.select("rid", "entity", "term").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    entities = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = documents.select(F.explode(F.array_distinct(found(F.lower(whole_text("text")), _TERMS))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(pairs.select("term").distinct(), "term")
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        marks = F.repeat(F.lit(_MARK), F.greatest(s["end"] - F.greatest(state["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap, marks).alias("out"))
+
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                       lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def _lowered(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, lambda w: F.lower(w)))
+
+
+def disclosing(documents: DataFrame, held: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """The terms that give an entity away: entity, told. ``held``: rid, entities, blank."""
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).filter(
+        F.col("n_entity") >= support)  # no term can stand with the others often enough
+    known = held.select("rid", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity").groupBy("rid").agg(
+        F.collect_list("entity").alias("known"))
+    words = held.join(known, "rid").select("known", F.explode(_lowered(found(F.col("blank"), _FREE_TERMS))).alias("term"))
+    pairs = words.select(F.explode("known").alias("entity"), "term").groupBy("entity", "term").agg(
+        F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    terms = documents.select(F.explode(_lowered(found(whole_text("text"), _TERMS))).alias("term")).groupBy("term").agg(
+        F.count("*").alias("n_term"))
     total = documents.agg(F.count("*").alias("total"))
     scored = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # one row
     pmi = F.log2(F.col("total") * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     content = F.log2(F.col("total") / F.col("n_entity"))
-    return scored.filter(pmi >= share * content).select("entity", "term")
+    return scored.filter(pmi >= share * content).groupBy("entity").agg(F.collect_set("term").alias("told"))
 
 
 def term_spans(base: DataFrame, documents: DataFrame) -> DataFrame:
-    """Spans of disclosing terms by row: rid, terms. ``base``: rid, text, spans."""
-    near = nearby(base.filter(F.size("spans") > 0).select("rid", "text", "spans"))
-    told = near.join(disclosing(documents, near), ["entity", "term"])
-    return told.select("rid", "start", "end").distinct().groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(
-        F.lit(TERM).alias("kind"), F.col("start"), F.col("end"), F.lit(None).cast("string").alias("value")))).alias("terms"))
+    """Spans of disclosing terms by row: rid, terms. ``base``: rid, text, spans.
+
+    A term is a word in lower case that lies outside of every entity; all its
+    places in a document with the entity count.
+    """
+    held = stored(base.filter(F.size("spans") > 0).select(
+        "rid", F.array_distinct(F.transform("spans", lambda s: entity_of(s["kind"], s["value"]))).alias("entities"),
+        blanked(F.translate("text", _MARK, " "), F.col("spans")).alias("blank")), "pii-entities")
+    told = held.select("rid", F.explode("entities").alias("entity")).join(disclosing(documents, held), "entity").groupBy("rid").agg(
+        F.array_distinct(F.flatten(F.collect_list("told"))).alias("told"))
+    forms = F.filter(F.array_distinct(found(F.col("blank"), _FREE_TERMS)), lambda w: F.array_contains("told", F.lower(w)))
+    asked = held.join(told, "rid").select("rid", "blank", forms.alias("forms")).filter(F.size("forms") > 0).withColumn(
+        "pattern", F.concat(F.lit(_FREE_START + "(?:"), F.array_join("forms", "|"), F.lit(r")(?!\p{L})" + _FREE_END)))
+    at = placed(F.regexp_extract_all(F.col("blank"), F.col("pattern"), F.lit(0)),
+                F.transform(F.split(F.col("blank"), F.col("pattern"), -1), lambda x: F.length(x)))
+    return asked.select("rid", F.transform(at, lambda t: F.struct(
+        F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end"),
+        F.lit(None).cast("string").alias("value"))).alias("terms"))
 
 
 def find(documents: DataFrame) -> DataFrame:

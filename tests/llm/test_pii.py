@@ -106,3 +106,12 @@ def test_masking_keeps_rows_and_columns(documents):
 def test_empty_table(documents):
     assert pii.find(documents([])).count() == 0
     assert pii.sanitised(documents([])).count() == 0
+
+
+def test_terms_far_off_and_short_ones_are_masked(documents):
+    filler = " and so on with words that all the mails have" * 20
+    rows = [f"Kim Zanzibar writes{filler} kim@mail.org{filler} yours kim" for _ in range(3)]
+    rows += [f"somebody writes{filler} yours" for _ in range(60)]
+    got = sorted(r["text"] for r in pii.sanitised(documents(rows)).collect())
+    assert got[60:] == [f"somebody writes{filler} yours"] * 3
+    assert got[:3] == [f"[TERM] [TERM] writes{filler} [EMAIL]{filler} yours [TERM]"] * 3
