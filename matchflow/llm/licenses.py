@@ -107,6 +107,14 @@ SENTENCES = {
     "cc0-tag": ["licensed under cc0 1 0", "released under cc0", "dedicated to the public domain under cc0 1 0"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "rights-reserved": ["all rights reserved"],
+    "apache-terms": ["terms and conditions for use reproduction and distribution"],
+    "gpl-3-title": ["gnu general public license version 3 29 june 2007"],
+    "gpl-2-title": ["gnu general public license version 2 june 1991"],
+    "lgpl-3-title": ["gnu lesser general public license version 3 29 june 2007"],
+    "lgpl-21-title": ["gnu lesser general public license version 2 1 february 1999"],
+    "agpl-3-title": ["gnu affero general public license version 3 19 november 2007"],
+    "gnu-verbatim": ["everyone is permitted to copy and distribute verbatim copies of this license document but changing "
+                     "it is not allowed"],
 }
 
 # Rules as licence, kind of evidence, and the sentences in order; longer rules first.
@@ -114,6 +122,10 @@ RULES = [
     ("MIT", "text", ["permission-granted", "notice-included", "as-is", "no-liability"]),
     ("MIT", "text", ["permission-granted", "notice-included", "as-is"]),
     ("ISC", "text", ["isc-permission", "isc-as-is"]),
+    ("Apache-2.0", "text", ["apache-2-title", "apache-terms"]),
+    ("GPL-3.0", "text", ["gpl-3-title", "gnu-verbatim"]), ("GPL-2.0", "text", ["gpl-2-title", "gnu-verbatim"]),
+    ("LGPL-3.0", "text", ["lgpl-3-title", "gnu-verbatim"]), ("LGPL-2.1", "text", ["lgpl-21-title", "gnu-verbatim"]),
+    ("AGPL-3.0", "text", ["agpl-3-title", "gnu-verbatim"]),
     ("Apache-2.0", "notice", ["apache-2-tag", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"]),
     ("Apache-2.0", "notice", ["apache-2-tag", "apache-compliance"]),
     ("BSD-3-Clause", "text", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"]),
@@ -160,6 +172,21 @@ for _text, _name in _PREFIXES:
     _START.setdefault(" ".join(_text.split()[:3]), []).append((_text + " ", _name))
 
 
+#: Words of known sentences, one after the other; a version has one or two numbers.
+_TRIE: dict = {}
+for _text in [form for s in KNOWN for form in {s, s.replace("<>", "<> <>")}]:
+    _node = _TRIE
+    for _word in _text.split():
+        _node = _node.setdefault(_word, {})
+
+
+def followed(nodes: list[dict], words: str) -> list[dict]:
+    """The places in known sentences that some words lead to."""
+    for word in words.split():
+        nodes = [n[w] for n in nodes for w in {word, "<>" if word.isdigit() else word} if w in n]
+    return nodes
+
+
 def identifier(sentence: str) -> str | None:
     """The identifier of a normalised sentence."""
     name = KNOWN.get(sentence)
@@ -198,8 +225,11 @@ def sentences(text: str) -> list[Sentence]:
     out, at, number = [], 0, 0
     while at < len(spans):
         best, number = None, number + bool(words[at])
-        # A sentence may be wrapped over lines: up to twelve pieces without a stop between them.
-        whole, until = words[at], at
+        if not words[at]:
+            at += 1
+            continue
+        # A sentence may be wrapped over lines: pieces without a stop between them, as long as they begin a known one.
+        whole, until, nodes = words[at], at, followed([_TRIE], words[at])
         while True:
             name = identifier(whole) if whole else None
             if name and (best is None or name != best[0] or whole in KNOWN):
@@ -207,11 +237,10 @@ def sentences(text: str) -> list[Sentence]:
                 if until == at and KNOWN.get(whole) == name and len(whole.split()) >= 12:
                     break
             following = until + 1
-            if following >= len(spans) or following - at > 12 or text[spans[until][1]:spans[following][0]].strip(" \t\r\n*/#-"):
+            if not nodes or following >= len(spans) or text[spans[until][1]:spans[following][0]].strip(" \t\r\n*/#-"):
                 break
             whole, until = f"{whole} {words[following]}".strip(), following
-            if len(whole) > 1000:
-                break
+            nodes = followed(nodes, words[following])
         if best:
             out.append(Sentence(number, spans[at][0], spans[best[1]][1], best[0]))
             at = best[1] + 1

@@ -81,3 +81,15 @@ def test_table_with_odd_rows(documents):
     got = sorted(((r["doc_id"], len(r["licences"])) for r in licenses.scan(frame).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (None, 1), (3, 0), (4, 0), (5, 0), (6, 0)], key=str)
     assert licenses.scan(documents([])).count() == 0
+
+
+def test_narrow_lines_and_full_texts():
+    names = ("permission-granted", "notice-included", "as-is", "no-liability")
+    words = [w for n in names for w in (licenses.SENTENCES[n][0] + ".").split()]
+    narrow = "\n//\n".join("// " + " ".join(words[i:i + 3]) for i in range(0, len(words), 3))
+    assert [(x["licence"], x["kind"]) for x in licenses.recognised(narrow)] == [("MIT", "text")]
+    gpl = ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n"
+           "Everyone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n")
+    assert [(x["licence"], x["kind"]) for x in licenses.recognised(gpl)] == [("GPL-3.0", "text")]
+    apache = "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n"
+    assert [(x["licence"], x["kind"]) for x in licenses.recognised(apache)] == [("Apache-2.0", "text")]
