@@ -13,9 +13,9 @@ That bound is used at two levels:
    no more comparison inside. The matrix has a row for each token and group
    (clusters and groups cut into slices of bounded size); tokens that only one
    cluster has are left out, rare ones come first, and a query looks up the
-   prefix of its tokens that any link must touch. Groups found that way are
-   opened only if the overlap with the group's token union reaches t of the
-   query, and members are compared exactly.
+   prefix of its tokens that any link must touch. These prefixes select the
+   groups. When a group is opened, a query whose overlap with its token union is
+   below t is passed over, and members are compared exactly.
 
 Links found join the clusters to components. No step lists all pairs of a group
 of similar texts: for the components, members of a cluster are never paired
