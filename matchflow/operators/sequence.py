@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import pickle
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchflow import schema as sc
+from matchflow.functions import ordering as od
 from matchflow.functions import running as run
+from matchflow.functions import scan as sn
 from matchflow.session import cut
 
 SHARD = ["match_id", "map_id"]
@@ -33,76 +36,102 @@ def late_events(
     return late.withColumn("action", F.when(F.col("age_ms") <= lateness_ms, "reprocess").otherwise("drop")).drop("_top")
 
 
-@dataclass
-class Tracker:
-    """What one shard remembers: the last number and events that wait for it.
+class _State(NamedTuple):
+    """What a chunk of a shard starts from."""
 
-    ``see`` answers with the events now settled, as ``(event, action, outcome)``.
-    An event that has to wait is settled later. At most ``room`` events wait.
+    rows: int
+    clock: int
+    top: int | None
+    seq: np.ndarray  # numbers near the highest one, since when they are here, and their events
+    since: np.ndarray
+    ids: list[str]
+    last: int | None = None
+
+
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _near(top: int, clock: int, seq: np.ndarray, since: np.ndarray, ids: list[str], rules: od.Rules) -> tuple:
+    """Of arrivals those that can wait still, by their time."""
+    keep = np.flatnonzero((seq > top - rules.gap - 1) & (clock - since <= rules.lateness))
+    keep = keep[np.argsort(since[keep], kind="stable")]
+    return seq[keep], since[keep], [ids[i] for i in keep.tolist()]
+
+
+def _arrivals(rules: od.Rules):
+    """First pass: the highest number, the clock and what can wait at the end of a chunk."""
+
+    def summary(rows: pa.Table, _: bytes | None) -> bytes:
+        seq = _column(rows, "seq_no")
+        clock = np.maximum.accumulate(_column(rows, "received_ms"))
+        top = int(seq.max())
+        near = np.flatnonzero(seq > top - rules.gap - 1)  # their age is known once the clock before the chunk is
+        ids = rows.column("event_id").take(pa.array(near)).to_pylist()
+        return pickle.dumps(_State(len(seq), int(clock[-1]), top, seq[near], clock[near], ids))
+
+    def step(before: bytes | None, summary: bytes, _: bytes | None) -> tuple[bytes, bytes]:
+        own = pickle.loads(summary)
+        old = pickle.loads(before) if before else _State(0, own.clock, None, *od.NOTHING, [])
+        clock = max(old.clock, own.clock)
+        top = own.top if old.top is None else max(old.top, own.top)
+        since = np.maximum(own.since, old.clock) if before else own.since
+        held = _near(top, clock, np.concatenate([old.seq, own.seq]), np.concatenate([old.since, since]),
+                     old.ids + own.ids, rules)
+        known = old if before else _State(0, -(1 << 62), None, *od.NOTHING, [])
+        return pickle.dumps(known), pickle.dumps(_State(old.rows + own.rows, clock, top, *held))
+
+    return summary, step
+
+
+def _clock(rows: pa.Table, state: _State) -> np.ndarray:
+    return np.maximum.accumulate(np.maximum(_column(rows, "received_ms"), state.clock))
+
+
+def _maps(rules: od.Rules):
+    """Second pass: where the last number can stand after a chunk, by where it stood before."""
+
+    def summary(rows: pa.Table, carry: bytes | None) -> bytes:
+        state, seq = pickle.loads(carry), _column(rows, "seq_no")
+        top = int(seq[0]) - 1 if state.top is None else state.top
+        maps, after = od.transitions(seq, _clock(rows, state), top, od.Held(state.seq, state.since), rules)
+        return pickle.dumps((od.composed(maps)[-1], int(after[-1])))
+
+    def step(before: bytes | None, summary: bytes, carry: bytes | None) -> tuple[bytes, bytes]:
+        (whole, top), state = pickle.loads(summary), pickle.loads(carry)
+        last = pickle.loads(before) if before else None
+        place = 0 if last is None else state.top - last
+        return pickle.dumps(state._replace(last=last)), pickle.dumps(top - int(whole[place]))
+
+    return summary, step
+
+
+_OUT = "event_id string, seq_no bigint, arrival_no bigint, code int, since_ms bigint"
+
+
+def _outcomes(rules: od.Rules):
+    """Third pass: what becomes of the arrivals of a chunk and of those that wait before it.
+
+    Whatever still waits at the end of the chunk is the next one's to tell; the
+    row given here is then only the last word if no chunk follows.
     """
 
-    gap: int = sc.SEQ_GAP
-    room: int = sc.SEQ_BUFFER
-    lateness_ms: int = sc.MAX_LATENESS_MS
-    last: int | None = None
-    waiting: list[tuple[int, int, object]] = field(default_factory=list)
-
-    def see(self, event: object, seq: int, clock_ms: int, age_ms: int) -> list[tuple[object, str, str]]:
-        if self.last is not None and seq <= self.last:
-            return [(event, *(("reprocess", "late") if age_ms <= self.lateness_ms else ("drop", "too_late")))]
-        skipped = 0 if self.last is None else seq - self.last - 1
-        if 0 < skipped <= self.gap and len(self.waiting) < self.room:
-            self.waiting.append((seq, clock_ms, event))
-            return []
-        self.last = seq
-        settled = [(event, "process", "gap_skipped" if skipped else "in_order")]
-        self.waiting.sort(key=lambda w: w[0])
-        keep = []
-        for number, since, held in self.waiting:
-            if number == self.last + 1:
-                self.last = number
-                settled.append((held, "buffer", "released"))
-            elif number <= self.last:
-                settled.append((held, "buffer", "overtaken"))
-            elif clock_ms - since > self.lateness_ms:
-                settled.append((held, "buffer", "expired"))
-            else:
-                keep.append((number, since, held))
-        self.waiting = keep
-        return settled
-
-    def rest(self) -> list[tuple[object, str, str]]:
-        return [(held, "buffer", "waiting") for _, _, held in self.waiting]
-
-
-_SETTLED = "match_id string, map_id string, event_id string, seq_no long, arrival_no long, action string, outcome string"
-
-
-def _settle(gap: int, room: int, lateness_ms: int):
-    """Sorted rows in, settled events out. Only the tracker of the stretch at
-    hand is in memory, however long the stretch is."""
-
-    def run_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tracker = None, None
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if (r.match_id, r.map_id, r.stretch) != key:
-                    if tracker:
-                        out += tracker.rest()
-                    key = (r.match_id, r.map_id, r.stretch)
-                    tracker = Tracker(gap, room, lateness_ms, None if r.start_seq < 0 else int(r.start_seq))
-                event = (r.match_id, r.map_id, r.event_id, r.seq_no, r.arrival_no)
-                out += tracker.see(event, int(r.seq_no), int(r.clock_ms), int(r.age_ms))
-            yield _frame(out)
-        if tracker:
-            yield _frame(tracker.rest())
-
-    def _frame(settled: list) -> pd.DataFrame:
-        names = ["match_id", "map_id", "event_id", "seq_no", "arrival_no", "action", "outcome"]
-        return pd.DataFrame([(*event, action, outcome) for event, action, outcome in settled], columns=names)
-
-    return run_stretches
+    def work(rows: pa.Table, carry: bytes | None) -> pa.Table:
+        state = pickle.loads(carry)
+        seq, clock = _column(rows, "seq_no"), _clock(rows, state)
+        waits = np.flatnonzero((state.seq > state.last) if state.last is not None else np.zeros(0, bool))
+        held = od.Held(state.seq[waits], state.since[waits])
+        done = od.settle(seq, clock, _column(rows, "age_ms"), state.top, state.last, held, rules)
+        ids = [state.ids[i] for i in waits.tolist()]
+        return pa.table({
+            "event_id": pa.concat_arrays([pa.array(ids, pa.string()), rows.column("event_id").combine_chunks().cast(pa.string())]),
+            "seq_no": np.concatenate([held.seq, seq]),
+            "arrival_no": pa.array([None] * len(waits) + list(range(state.rows + 1, state.rows + len(seq) + 1)), pa.int64()),
+            "code": np.concatenate([done.held, done.own]).astype("i4"),
+            "since_ms": np.concatenate([held.since, clock]),
+        })
+
+    return work
 
 
 def sequence_actions(
@@ -110,85 +139,48 @@ def sequence_actions(
     order: list[str],
     chunk: Column,
     gap: int = sc.SEQ_GAP,
-    buffer: int = sc.SEQ_BUFFER,
     lateness_ms: int = sc.MAX_LATENESS_MS,
+    until_ms: Column | None = None,
 ) -> DataFrame:
     """What to do with each event on arrival, and what became of buffered ones.
 
-    The decision depends on all earlier arrivals, but only through the last
-    number and the waiting events. Both are certain after
-
-    * a number more than ``gap`` beyond the highest so far, which is processed
-      at once;
-    * ``gap + 2`` arrivals in unbroken order, by when one must be processed;
-    * a point where no number is missing, if nothing could expire since the
-      point before it.
+    The next number is processed, and with it those that wait right behind it
+    (``released``). One that is at most ``gap`` numbers ahead waits; one further
+    ahead is processed at once, and what it passes is ``overtaken``. Numbers at
+    or below the last are late: processed again while young, else dropped. What
+    has waited for more than ``lateness_ms`` of the shard's clock (the highest
+    intake time so far) has ``expired``. What waits to the end is ``waiting``, or
+    expired if ``until_ms``, the clock at the end of the input, says so.
 
-    These settled points are found with chunked windows. Rows between two of
-    them form a stretch that is replayed with a ``Tracker``; rows that follow a
-    settled point in order need no replay. A shard is thus spread over as many
-    tasks as it has stretches.
+    No more than ``gap`` numbers can wait in a shard, so no further bound is
+    needed. Copies of a waiting number share its fate.
 
+    Shards are cut into chunks along the order of arrival (``scan``). Lost and
+    repeated numbers need no special care: an arrival is a map on ``gap + 2``
+    possible places of the last number, and chunks are composed of such maps.
     Input holds each event once (see ``dedup``).
     """
-    slim = arrivals.select(
+    rules = od.Rules(gap, lateness_ms)
+    slim = cut(sn.chunked(arrivals.select(
         *SHARD, "event_id", "seq_no", *(c for c in order if c not in (*SHARD, "event_id", "seq_no")),
-        chunk.cast("long").alias("_part"),
         F.unix_millis("ts_ingest").alias("received_ms"),
-        (F.unix_millis("ts_ingest") - F.unix_millis("ts_event")).alias("age_ms"),
-    )
-    repeats = slim.groupBy(*SHARD, "seq_no").agg(F.count("*").alias("n")).groupBy(*SHARD).agg(F.max("n").alias("copies"))
-
-    def step(df: DataFrame, **requests: run.Running) -> DataFrame:
-        return cut(run.running(df, SHARD, order, F.col("_part"), **requests))
-
-    seq, top, yes, no = F.col("seq_no"), F.col("top"), F.lit(1), F.lit(0)
-    seen = step(
-        slim, arrival_no=run.row_number(), clock_ms=run.highest(F.col("received_ms")),
-        top_before=run.highest(seq, prior=True), seq_before=run.previous(seq), bottom=run.highest(-seq),
-    ).join(repeats, SHARD).withColumn("top", F.greatest("top_before", "seq_no"))
-
-    # Without repeats, as many arrivals as numbers from lowest to highest: none is missing.
-    complete = (F.col("copies") == 1) & (F.col("arrival_no") == top + F.col("bottom") + 1)
-    in_order = F.coalesce((seq == F.col("seq_before") + 1) & (seq == F.col("top_before") + 1), F.lit(False))
-    timed = step(
-        seen.withColumn("complete", complete),
-        in_order_rows=run.since(F.when(in_order, yes).otherwise(no), ~in_order),
-        complete_before=run.latest(F.when(F.col("complete"), F.col("clock_ms")), prior=True),
-    )
-    forced = F.coalesce(seq > F.col("top_before") + gap + 1, F.lit(False)) | (F.col("in_order_rows") >= gap + 2)
-    slow = F.col("complete") & (F.col("clock_ms") - F.col("complete_before") > lateness_ms)
-    judged = step(
-        timed.withColumn("forced", forced), sound=run.latest(F.when(F.col("forced"), yes).when(slow, no))
-    )
-    settled = F.col("forced") | (F.col("complete") & (F.coalesce("sound", yes) == 1))
-    placed = step(
-        judged.withColumn("settled", settled),
-        start=run.latest(F.when(F.col("settled"), F.struct(F.col("arrival_no").alias("no"), top.alias("seq"))), prior=True),
-        settled_before=run.previous(F.col("settled")),
-    )
-    plain = F.col("settled") & F.coalesce(F.col("settled_before"), F.lit(True)) & (
-        F.col("top_before").isNull() | (seq > F.col("top_before"))
-    )
-    # In order (or the very first), or a jump beyond every gap that may wait.
-    direct = plain & (F.col("top_before").isNull() | (seq == F.col("top_before") + 1)
-                      | (seq > F.col("top_before") + gap + 1))
-    named = placed.withColumn("direct", F.coalesce(direct, F.lit(False)))
-    jumped = F.coalesce(seq > F.col("top_before") + 1, F.lit(False))
-    done = named.filter("direct").select(
-        *SHARD, "event_id", "seq_no", "arrival_no", F.lit("process").alias("action"),
-        F.when(jumped, "gap_skipped").otherwise("in_order").alias("outcome"),
-    )
-    open_rows = named.filter("NOT direct").select(
-        *SHARD, F.coalesce("start.no", no).cast("long").alias("stretch"),
-        F.coalesce("start.seq", F.lit(-1)).cast("long").alias("start_seq"),
-        "event_id", "seq_no", "arrival_no", "clock_ms", "age_ms",
-    )
-    keys = [*SHARD, "stretch"]
-    replayed = open_rows.repartition(*keys).sortWithinPartitions(*keys, "arrival_no").mapInPandas(
-        _settle(gap, buffer, lateness_ms), _SETTLED
-    )
-    return done.unionByName(replayed)
+        (F.unix_millis("ts_ingest") - F.unix_millis("ts_event")).alias("age_ms"), chunk.alias(sn.CHUNK),
+    ), F.col(sn.CHUNK)))
+    summary, step = _arrivals(rules)
+    starts = sn.carried(sn.summed_up(slim, SHARD, order, summary), SHARD, step)
+    summary, step = _maps(rules)
+    carries = sn.carried(sn.summed_up(slim, SHARD, order, summary, starts), SHARD, step)
+    told = sn.per_chunk(slim, SHARD, order, _outcomes(rules), _OUT, carries)
+    waiting = F.col("code") == od.WAITING
+    # An event that waits across chunks is told of by each: the one that knows its end counts.
+    once = told.groupBy(*SHARD, "event_id", "seq_no").agg(
+        F.max("arrival_no").alias("arrival_no"), F.min("since_ms").alias("since_ms"), F.min("code").alias("code"))
+    if until_ms is not None:
+        gone = waiting & (until_ms - F.col("since_ms") > lateness_ms)
+        once = once.withColumn("code", F.when(gone, od.EXPIRED).otherwise(F.col("code")))
+    names = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(o).alias("outcome")) for a, o in od.NAMES))
+    return once.withColumn("named", F.get(names, F.col("code"))).select(
+        *SHARD, "event_id", "seq_no", "arrival_no", "named.action", "named.outcome", "since_ms")
 
 
 def sequence_stats(actions: DataFrame) -> DataFrame:

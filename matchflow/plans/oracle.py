@@ -781,45 +781,54 @@ ORACLE["stream_quarantine"] = sql(FX, ARR, WIRE, body=f"""
 
 # Arrival by arrival: last number and waiting events of a shard, settled events of each step.
 _W = "STRUCT(seq BIGINT, since BIGINT, id VARCHAR)[]"
-_ACTIONS = f"""
-df AS (
-  SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival_key, copy_no) = 1),
-od AS (
-  SELECT match_id, map_id, event_id, seq_no, ts_ingest_ms - ts_event_ms AS age, row_number() OVER w AS n,
-    max(ts_ingest_ms) OVER w AS clock
-  FROM df WINDOW w AS (PARTITION BY match_id, map_id ORDER BY arrival_key, event_id)),
+
+
+def _settled(arrivals: str) -> str:
+    """Steps over ``od`` (match_id, map_id, event_id, seq_no, age, n, clock), and all outcomes."""
+    return f"""
+od AS ({arrivals}),
 sq AS (
   SELECT match_id, map_id, n, seq_no AS last, CAST([] AS {_W}) AS waiting,
-    [{{'id': event_id, 'action': 'process', 'outcome': 'in_order'}}] AS settled FROM od WHERE n = 1
+    [{{'id': event_id, 'action': 'process', 'outcome': 'in_order', 'since': clock}}] AS settled FROM od WHERE n = 1
   UNION ALL
   SELECT match_id, map_id, n,
     CASE what WHEN 'go' THEN seq_no + len(freed) ELSE last END,
-    CASE what WHEN 'go' THEN list_filter(ahead, lambda x: NOT list_contains(freed, x) AND clock - x.since <= 2000)
-      WHEN 'wait' THEN list_append(waiting, {{'seq': seq_no, 'since': clock, 'id': event_id}}) ELSE waiting END,
-    CASE what WHEN 'wait' THEN [] WHEN 'late' THEN [CASE WHEN age <= 2000
-        THEN {{'id': event_id, 'action': 'reprocess', 'outcome': 'late'}}
-        ELSE {{'id': event_id, 'action': 'drop', 'outcome': 'too_late'}} END]
+    CASE what WHEN 'go' THEN list_filter(ahead, lambda x: NOT list_contains(freed, x))
+      WHEN 'wait' THEN list_append(held, {{'seq': seq_no, 'since': clock, 'id': event_id}}) ELSE held END,
+    list_transform(list_filter(waiting, lambda x: clock - x.since > 2000),
+      lambda x: {{'id': x.id, 'action': 'buffer', 'outcome': 'expired', 'since': x.since}})
+    || CASE what WHEN 'wait' THEN [] WHEN 'late' THEN [CASE WHEN age <= 2000
+        THEN {{'id': event_id, 'action': 'reprocess', 'outcome': 'late', 'since': clock}}
+        ELSE {{'id': event_id, 'action': 'drop', 'outcome': 'too_late', 'since': clock}} END]
       ELSE [{{'id': event_id, 'action': 'process', 'outcome': CASE WHEN seq_no = last + 1 THEN 'in_order'
-          ELSE 'gap_skipped' END}}]
-        || list_transform(freed, lambda x: {{'id': x.id, 'action': 'buffer', 'outcome': 'released'}})
-        || list_transform(list_filter(waiting, lambda x: x.seq <= seq_no),
-             lambda x: {{'id': x.id, 'action': 'buffer', 'outcome': 'overtaken'}})
-        || list_transform(list_filter(ahead, lambda x: NOT list_contains(freed, x) AND clock - x.since > 2000),
-             lambda x: {{'id': x.id, 'action': 'buffer', 'outcome': 'expired'}}) END
+          ELSE 'gap_skipped' END, 'since': clock}}]
+        || list_transform(freed, lambda x: {{'id': x.id, 'action': 'buffer', 'outcome': 'released', 'since': x.since}})
+        || list_transform(list_filter(held, lambda x: x.seq <= seq_no),
+             lambda x: {{'id': x.id, 'action': 'buffer', 'outcome': 'overtaken', 'since': x.since}}) END
   FROM (
     SELECT *, list_filter(ahead, lambda x, i: x.seq = seq_no + i) AS freed FROM (
-      SELECT od.*, sq.last, sq.waiting, list_sort(list_filter(sq.waiting, lambda x: x.seq > od.seq_no)) AS ahead,
-        CASE WHEN od.seq_no <= sq.last THEN 'late'
-          WHEN od.seq_no - sq.last - 1 BETWEEN 1 AND 10 AND len(sq.waiting) < 100 THEN 'wait' ELSE 'go' END AS what
-      FROM sq JOIN od ON od.match_id = sq.match_id AND od.map_id = sq.map_id AND od.n = sq.n + 1) AS a) AS b),
+      SELECT *, list_sort(list_filter(held, lambda x: x.seq > seq_no)) AS ahead FROM (
+        SELECT od.*, sq.last, sq.waiting, list_filter(sq.waiting, lambda x: od.clock - x.since <= 2000) AS held,
+          CASE WHEN od.seq_no <= sq.last THEN 'late'
+            WHEN od.seq_no - sq.last - 1 BETWEEN 1 AND 10 THEN 'wait' ELSE 'go' END AS what
+        FROM sq JOIN od ON od.match_id = sq.match_id AND od.map_id = sq.map_id AND od.n = sq.n + 1) AS a) AS b) AS c),
 ac AS (
-  SELECT u.id AS event_id, u.action, u.outcome FROM (SELECT unnest(settled) AS u FROM sq) AS x
+  SELECT u.id AS event_id, u.action, u.outcome, u.since FROM (SELECT unnest(settled) AS u FROM sq) AS x
   UNION ALL
-  SELECT w.id, 'buffer', 'waiting' FROM (SELECT unnest(waiting) AS w FROM sq
+  SELECT w.id, 'buffer', 'waiting', w.since FROM (SELECT unnest(waiting) AS w FROM sq
     QUALIFY n = max(n) OVER (PARTITION BY match_id, map_id)) AS y),
 av AS (
-  SELECT od.match_id, od.map_id, event_id, od.seq_no, od.n AS arrival_no, action, outcome FROM ac JOIN od USING (event_id))"""
-ORACLE["sequence_actions"] = sql(FX, ARR, _ACTIONS, recursive=True, body="SELECT * FROM av")
+  SELECT od.match_id, od.map_id, event_id, od.seq_no, od.n AS arrival_no, action, outcome, since
+  FROM ac JOIN od USING (event_id))"""
+
+
+_ACTIONS = """
+df AS (
+  SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival_key, copy_no) = 1),""" + _settled("""
+  SELECT match_id, map_id, event_id, seq_no, ts_ingest_ms - ts_event_ms AS age, row_number() OVER w AS n,
+    max(ts_ingest_ms) OVER w AS clock
+  FROM df WINDOW w AS (PARTITION BY match_id, map_id ORDER BY arrival_key, event_id)""")
+ORACLE["sequence_actions"] = sql(FX, ARR, _ACTIONS, recursive=True, body="SELECT * EXCLUDE (since) FROM av")
 ORACLE["sequence_stats"] = sql(FX, ARR, _ACTIONS, recursive=True, body="""
     SELECT match_id, map_id, count(*) AS total_events,
       count(*) FILTER (action IN ('reprocess', 'drop')) AS out_of_order_events,
@@ -828,6 +837,24 @@ ORACLE["sequence_stats"] = sql(FX, ARR, _ACTIONS, recursive=True, body="""
       count(*) FILTER (action = 'drop' OR outcome IN ('expired', 'overtaken')) AS late_events_dropped
     FROM av GROUP BY match_id, map_id""")
 
+# All matches at once, without every 97th event; what waits at the end expires by the watermark, 10 s behind.
+_LIVE = """
+lv AS (
+  SELECT match_id, map_id, event_id, seq_no,
+    CASE WHEN event_no % 50 = 0 THEN 5000 ELSE ts_ingest_ms - ts_event_ms END AS age,
+    ts_event_ms - 1704067200000 - m * 420000 + age AS received
+  FROM ev WHERE event_no % 97 <> 0),""" + _settled("""
+  SELECT match_id, map_id, event_id, seq_no, age, row_number() OVER w AS n, max(received) OVER w AS clock
+  FROM lv WINDOW w AS (PARTITION BY match_id, map_id ORDER BY received, event_id)""") + """,
+fin AS (
+  SELECT * REPLACE (CASE WHEN outcome = 'waiting' AND (SELECT max(received) FROM lv) - 10000 - since > 2000
+    THEN 'expired' ELSE outcome END AS outcome) FROM av)"""
+ORACLE["live_sequence"] = sql(FX, _LIVE, recursive=True, body="SELECT * EXCLUDE (since) FROM fin")
+ORACLE["stream_sequence"] = sql(FX, _LIVE, recursive=True, body="""
+    SELECT match_id, map_id, event_id, seq_no, action, outcome FROM fin WHERE outcome <> 'waiting'""")
+ORACLE["stream_expiry"] = sql(FX, _LIVE, recursive=True, body="""
+    SELECT match_id, map_id, event_id, seq_no, since AS since_ms FROM fin WHERE outcome = 'expired'""")
+
 # Orders: the place is part of the row.
 ORACLE["live_page"] = sql(MATCHES, TEAMS, body="""
     , n AS (SELECT ma.id, started_ms, a.name AS team_a_name, b.name AS team_b_name,

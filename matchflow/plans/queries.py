@@ -943,10 +943,30 @@ def stream_dedup(spark, d):
     return rows.groupBy("match_id", "event_id").agg(F.count("*").alias("copies"))
 
 
+def settled(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{jobs.sequence(spark, d)}/actions")
+
+
 @query
 def stream_sequence(spark, d):
-    rows = spark.read.parquet(f"{jobs.sequence(spark, d)}/actions")
-    return rows.select("match_id", "map_id", "event_id", "seq_no", "action", "outcome")
+    """Outcome of every live event that has settled."""
+    return settled(spark, d).select("match_id", "map_id", "event_id", "seq_no", "action", "outcome")
+
+
+@query
+def stream_expiry(spark, d):
+    """Events that waited too long for a number before theirs, given out by timer or clock."""
+    rows = settled(spark, d).filter("outcome = 'expired'")
+    return rows.select("match_id", "map_id", "event_id", "seq_no", "since_ms")
+
+
+@query
+def live_sequence(spark, d):
+    """The batch form over the same live events, up to the watermark the stream ends with."""
+    rows = fx.live(tables.events(spark, d)).withColumn("arrived_ms", F.unix_millis("ts_ingest"))
+    end = rows.agg(F.max("arrived_ms").alias("t")).scalar() - 10_000
+    done = sequence.sequence_actions(rows, ["arrived_ms", "event_id"], F.floor(F.col("arrived_ms") / 60_000), until_ms=end)
+    return done.select("match_id", "map_id", "event_id", "seq_no", "arrival_no", "action", "outcome")
 
 
 @query

@@ -19,6 +19,7 @@ from matchflow.sources import fixtures as fx
 from matchflow.streaming import pipeline as pl
 
 SLICES = 3
+FILES = 4
 NOW = {"availableNow": True}
 _ran: dict[str, str] = {}
 
@@ -33,12 +34,12 @@ def _once(spark: SparkSession, sf_dir: str, name: str, job: Callable[[str], None
     return _ran[key]
 
 
-def _write_slices(rows: DataFrame, time_ms, path: str, write: Callable[[DataFrame, str], None]) -> None:
+def _write_slices(rows: DataFrame, time_ms, path: str, write: Callable[[DataFrame, str], None], slices: int = SLICES) -> None:
     """Slices of equal length in time, one written after the other."""
     timed = rows.withColumn("_ms", time_ms)
     low, high = timed.agg(F.min("_ms"), F.max("_ms")).first()
-    step = (high - low) // SLICES + 1
-    for i in range(SLICES):
+    step = (high - low) // slices + 1
+    for i in range(slices):
         part = timed.filter(F.col("_ms").between(low + i * step, low + (i + 1) * step - 1)).drop("_ms")
         write(part, f"{path}/slice={i}")
 
@@ -81,12 +82,26 @@ def intake(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "intake", job)
 
 
+def live_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Events of all matches at once, in slices of intake time."""
+
+    def job(out: str) -> None:
+        rows = fx.live(tables.events(spark, sf_dir)).select(*sc.RAW.names)
+        write = lambda df, path: df.repartition(FILES).write.parquet(path)
+        _write_slices(rows, F.unix_millis("ts_ingest"), out, write, 4)
+
+    return _once(spark, sf_dir, "live", job)
+
+
 def sequence(spark: SparkSession, sf_dir: str) -> str:
+    """Four micro-batches of live events, and one without rows for the timers left."""
+
     def job(out: str) -> None:
         pl.use_rocksdb(spark)
-        arrival = F.col("seq_no") + F.pmod(F.xxhash64("event_id"), F.lit(4))
-        rows = pl.sequence_stage(raw_stream(spark, sf_dir), arrival)
-        pl.drain(pl.start(rows, f"{out}/_ckpt", pl.batch_sink((f"{out}/actions", lambda b: b)), trigger=NOW))
+        rows = spark.readStream.schema(sc.RAW).option("maxFilesPerTrigger", FILES).parquet(
+            f"{live_folder(spark, sf_dir)}/slice=*")
+        sink = pl.batch_sink((f"{out}/actions", lambda b: b))
+        pl.drain(pl.start(pl.sequence_stage(rows), f"{out}/_ckpt", sink, trigger=NOW, timers=True))
 
     return _once(spark, sf_dir, "sequence", job)
 

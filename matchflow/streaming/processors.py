@@ -1,8 +1,8 @@
 """Stateful processors: arrival order per shard, state per match, swing limit.
 
-Each keeps one small JSON text per key as its state, so a key's memory does
-not grow with its events. Rows of a key within a micro-batch are ordered
-first; the trigger's file or offset limit bounds how many there are.
+Each keeps a small state per key, so a key's memory does not grow with its
+events. Rows of a key within a micro-batch are ordered first; the trigger's
+file or offset limit bounds how many there are.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchflow import schema as sc
+from matchflow.functions import ordering as od
 from matchflow.operators.scoring import MOVE_BASE, MOVE_PER_SECOND, SWING_BASE, SWING_PER_SECOND
-from matchflow.operators.sequence import Tracker
+
 
 HOUR_MS = 3_600_000
 
@@ -59,29 +62,67 @@ class _Keyed:
         return []
 
 
-class SequenceProcessor(_Keyed):
-    """Action and outcome of every event of a shard, as they settle."""
-
-    ttl_ms = 2 * HOUR_MS
-    order = ["arrival_key", "event_id"]
-    columns = ["match_id", "map_id", "event_id", "seq_no", "action", "outcome"]
-    schema = "match_id string, map_id string, event_id string, seq_no long, action string, outcome string"
-
-    @staticmethod
-    def fold(key, known, batch):
-        known = known or {"last": None, "waiting": [], "clock": 0}
-        tracker = Tracker(last=known["last"], waiting=[tuple(w) for w in known["waiting"]])
-        clock, out = known["clock"], []
-        for r in batch.itertuples(index=False):
-            clock = max(clock, int(r.received_ms))
-            settled = tracker.see([r.event_id, int(r.seq_no)], int(r.seq_no), clock, int(r.age_ms))
-            out += [(*key, *event, action, outcome) for event, action, outcome in settled]
-        return {"last": tracker.last, "waiting": tracker.waiting, "clock": clock}, out
-
-    @staticmethod
-    def leftover(key, known):
-        """Events that still wait when nothing more comes to their shard have expired."""
-        return [(*key, *event, "buffer", "expired") for _, _, event in sorted(known["waiting"])]
+class SequenceProcessor(StatefulProcessor):
+    """Action and outcome of every event of a shard, as they settle.
+
+    The state is the last number and the events that wait, at most as many
+    numbers as the gap allows. Each waiting event has a timer of its own: when
+    the watermark passes it, the event is given out as expired, whether or not
+    anything more comes to its shard. A shard that is silent for ``keep_ms`` is
+    forgotten.
+    """
+
+    columns = ["match_id", "map_id", "event_id", "seq_no", "action", "outcome", "since_ms"]
+    schema = ("match_id string, map_id string, event_id string, seq_no long, action string, outcome string, "
+              "since_ms long")
+
+    def __init__(self, gap: int = sc.SEQ_GAP, lateness_ms: int = sc.MAX_LATENESS_MS, keep_ms: int = 2 * HOUR_MS):
+        self.rules, self.keep_ms = od.Rules(gap, lateness_ms), keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "last bigint, top bigint, clock bigint")
+        self.waiting = handle.getListState("waiting", "seq bigint, since bigint, event_id string")
+
+    def _keep(self, held: list[tuple]) -> None:
+        if held:
+            self.waiting.put(held)
+        else:
+            self.waiting.clear()
+
+    def _frame(self, key: tuple, seq, since, ids, codes) -> pd.DataFrame:
+        rows = [(*key, event, int(n), *od.NAMES[code], int(at))
+                for event, n, code, at in zip(ids, seq, codes, since) if code != od.WAITING]
+        return pd.DataFrame(rows, columns=self.columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["received_ms", "event_id"], kind="stable")
+        last, top, clock = self.place.get() if self.place.exists() else (None, None, -(1 << 62))
+        waited = sorted((tuple(w) for w in self.waiting.get()), key=lambda w: w[1])
+        held = od.Held(*(np.array([w[i] for w in waited], "i8") for i in (0, 1)))
+        seq = batch["seq_no"].to_numpy("i8")
+        clocks = np.maximum.accumulate(np.maximum(batch["received_ms"].to_numpy("i8"), clock))
+        done = od.settle(seq, clocks, batch["age_ms"].to_numpy("i8"), top, last, held, self.rules)
+        every = (np.concatenate([held.seq, seq]), np.concatenate([held.since, clocks]),
+                 [w[2] for w in waited] + batch["event_id"].tolist(), np.concatenate([done.held, done.own]))
+        self._keep([(int(n), int(at), event) for n, at, event, code in zip(*every) if code == od.WAITING])
+        for at in np.unique(clocks[done.own == od.WAITING]):
+            self.handle.registerTimer(int(at) + self.rules.lateness + 1)
+        # At full hours, so that a shard has few such timers at a time.
+        self.handle.registerTimer((int(clocks[-1]) + self.keep_ms) // HOUR_MS * HOUR_MS + HOUR_MS)
+        self.place.update((done.last, done.top, int(clocks[-1])))
+        yield self._frame(key, *every)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waited = [tuple(w) for w in self.waiting.get()]
+        gone = [w for w in waited if now - w[1] > self.rules.lateness]
+        if gone:
+            self._keep([w for w in waited if now - w[1] <= self.rules.lateness])
+        if self.place.exists() and now - self.place.get()[2] > self.keep_ms:
+            self.place.clear()
+        yield self._frame(key, [w[0] for w in gone], [w[1] for w in gone], [w[2] for w in gone],
+                          [od.EXPIRED] * len(gone))
 
 
 # What an event type sets anew for both teams, and the phase it leads to.

@@ -1,12 +1,16 @@
 """Validation, sequence order, usage rules and scalar functions."""
 
+import pickle
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from matchflow.functions import ordering as od
 from matchflow.functions import scalars as fn
+from matchflow.functions import scan as sn
 from matchflow.operators import dead_letter, intake, sequence, slo, usage
 from matchflow.schema import WIRE
 from matchflow.sources import store
@@ -71,8 +75,45 @@ def test_event_before_its_turn_waits(spark):
     }
 
 
-def test_sequence_actions_equal_the_fold(spark):
-    """Calm, jittered, lossy and repeating shards."""
+def fold(events, gap=10, lateness=2000):
+    """One shard, event after event: (id, number, clock, age) to action and outcome."""
+    last, waiting, out = None, [], {}
+    for event, seq, clock, age in events:
+        out |= {w[2]: ("buffer", "expired") for w in waiting if clock - w[1] > lateness}
+        waiting = [w for w in waiting if clock - w[1] <= lateness]
+        skipped = 0 if last is None else seq - last - 1
+        if skipped < 0:
+            out[event] = ("reprocess", "late") if age <= lateness else ("drop", "too_late")
+        elif 0 < skipped <= gap:
+            waiting.append((seq, clock, event))
+        else:
+            out[event] = ("process", "gap_skipped" if skipped else "in_order")
+            last = seq
+            out |= {w[2]: ("buffer", "overtaken") for w in waiting if w[0] <= last}
+            while any(w[0] == last + 1 for w in waiting):
+                last += 1
+                out |= {w[2]: ("buffer", "released") for w in waiting if w[0] == last}
+            waiting = [w for w in waiting if w[0] > last]
+    return out | {w[2]: ("buffer", "waiting") for w in waiting}
+
+
+def folded(frame):
+    out, shards = {}, {}
+    for r in sorted(frame.collect(), key=lambda r: r.place):
+        shards.setdefault(r.map_id, []).append(r)
+    for rows in shards.values():
+        clock, events = 0, []
+        for r in rows:
+            event, got = round(r.ts_event.timestamp() * 1000), round(r.ts_ingest.timestamp() * 1000)
+            clock = max(clock, got)
+            events.append((r.event_id, r.seq_no, clock, got - event))
+        out |= fold(events)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 25, 1000])
+def test_sequence_actions_equal_the_fold(spark, size):
+    """Calm, jittered, lossy and repeating shards, whatever the chunks."""
     pick = random.Random(3)
     rows = []
     for shard, jitter, loss in (("calm", 0, 0.0), ("jitter", 4, 0.0), ("lossy", 2, 0.1), ("wild", 30, 0.05)):
@@ -81,17 +122,42 @@ def test_sequence_actions_equal_the_fold(spark):
         if shard == "lossy":
             order.insert(40, order[20])
         rows += [("m", shard, f"{shard}{i}", s, i, 1000 * i // 3) for i, s in enumerate(order)]
+    # All at one time: what waits is never old, and copies of a waiting number share its fate.
+    rows += [("m", "copies", f"c{i}", s, i, 7) for i, s in enumerate([5, 7, 7, 9, 9, 8, 6, 6, 12, 30, 31, 40, 41, 42])]
     frame = arrivals(spark, rows)
-    expected = {}
-    for shard in ("calm", "jitter", "lossy", "wild"):
-        tracker, clock = sequence.Tracker(), 0
-        for r in sorted(frame.filter(F.col("map_id") == shard).collect(), key=lambda r: r.place):
-            event, got = round(r.ts_event.timestamp() * 1000), round(r.ts_ingest.timestamp() * 1000)
-            clock = max(clock, got)
-            expected |= {e: (a, o) for e, a, o in tracker.see(r.event_id, r.seq_no, clock, got - event)}
-        expected |= {e: (a, o) for e, a, o in tracker.rest()}
-    got = sequence.sequence_actions(frame, ["place"], F.floor(F.col("place") / 25))
-    assert {r.event_id: (r.action, r.outcome) for r in got.collect()} == expected
+    got = sequence.sequence_actions(frame, ["place"], F.floor(F.col("place") / size)).collect()
+    assert {r.event_id: (r.action, r.outcome) for r in got} == folded(frame)
+    assert len(got) == len(rows)
+    for shard in ("calm", "wild"):
+        assert sorted(r.arrival_no for r in got if r.map_id == shard) == list(range(1, 1 + sum(x[1] == shard for x in rows)))
+
+
+def test_lost_and_repeated_numbers_do_not_join_chunks(spark):
+    """Every 97th event is lost and one number comes twice: the state handed on stays small."""
+    rows = [("m", "hot", f"e{i}", i if i != 1500 else 1400, i, 400 * i) for i in range(1, 3000) if i % 97]
+    frame = arrivals(spark, rows)
+    got = sequence.sequence_actions(frame, ["place"], F.floor(F.col("place") / 100)).collect()
+    assert {r.event_id: (r.action, r.outcome) for r in got} == folded(frame)
+    slim = sn.chunked(frame.withColumns({"received_ms": F.unix_millis("ts_ingest")}), F.floor(F.col("place") / 100))
+    summary, step = sequence._arrivals(od.Rules(10, 2000))
+    carries = sn.carried(sn.summed_up(slim, sequence.SHARD, ["place"], summary), sequence.SHARD, step).collect()
+    assert len(carries) == 30
+    assert max(len(pickle.loads(r["_carry"]).ids) for r in carries) <= 11
+
+
+def test_waiting_events_expire_by_the_end_of_the_input(spark):
+    rows = [("m", "x", "a", 1, 0, 0), ("m", "x", "b", 3, 1, 1000), ("m", "x", "c", 4, 2, 2500)]
+    got = sequence.sequence_actions(arrivals(spark, rows), ["place"], F.col("place"), until_ms=F.lit(4000).cast("long"))
+    assert {r.event_id: r.outcome for r in got.collect()} == {"a": "in_order", "b": "expired", "c": "waiting"}
+
+
+def test_composed_maps_equal_one_after_the_other():
+    rng = np.random.default_rng(5)
+    maps = rng.integers(0, 12, (37, 12))
+    now = np.arange(12)
+    for i, whole in enumerate(od.composed(maps)):
+        now = maps[i][now]
+        assert (whole == now).all()
 
 
 def test_trim_keeps_the_newest(spark):

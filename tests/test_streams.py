@@ -6,6 +6,7 @@ from tests.conftest import DATA
 from matchflow.functions import running as run
 from matchflow.operators import sequence
 from matchflow.plans import tables
+from matchflow.sources import fixtures as fx
 from matchflow.streaming import jobs
 from matchflow.streaming import pipeline as pl
 
@@ -40,12 +41,49 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
 
 
 def test_streamed_actions_cover_every_event(spark):
-    """One row per event that has settled; waiting ones are few."""
+    """One row per event that has settled; the rest waits, as the batch form says."""
     rows = spark.read.parquet(f"{jobs.sequence(spark, SF)}/actions")
-    events = tables.events(spark, SF)
-    assert rows.count() == rows.select("event_id").distinct().count()
-    missing = events.join(rows, "event_id", "left_anti").count()
-    assert missing <= events.select("match_id", "map_id").distinct().count() * 3
+    live = fx.live(tables.events(spark, SF)).withColumn("ms", F.unix_millis("ts_ingest"))
+    end = live.agg(F.max("ms") - 10_000).first()[0]
+    batch = sequence.sequence_actions(live, ["ms", "event_id"], F.floor(F.col("ms") / 9_000), until_ms=F.lit(end))
+    want = {r.event_id: (r.action, r.outcome, r.since_ms) for r in batch.collect()}
+    got = {r.event_id: (r.action, r.outcome, r.since_ms) for r in rows.collect()}
+    assert rows.count() == len(got)
+    waiting = {e for e, (_, outcome, _) in want.items() if outcome == "waiting"}
+    assert got == {e: w for e, w in want.items() if e not in waiting}
+    assert len(want) == live.count() and sum(w[1] == "expired" for w in want.values()) > 20
+
+
+def test_timers_end_the_wait_of_a_silent_shard(spark, tmp_path):
+    """Batch by batch: an old row is not dropped, a shard without rows still lets go, idle shards are forgotten."""
+    batches = [
+        [("a", 1, 0), ("a", 3, 1_000), ("b", 5, 1_000), ("b", 7, 1_500)],
+        [("b", 8, 2_500), ("b", 6, 100)],  # 6 was taken in long before the watermark: still in order
+        [("c", 1, 60_000), ("a", 2, 60_100)],
+        [("c", 2, 9_000_000), ("a", 9, 9_000_000)],
+        [("a", 1, 18_000_000)],
+        [("d", 1, 18_000_200)],
+        [("c", 1, 18_000_300)],
+    ]
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame([(f"{m}{s}-{t}", m, "x", s, t) for m, s, t in rows],
+                                      "event_id string, match_id string, map_id string, seq_no long, ms long")
+        frame.select("event_id", "match_id", "map_id", "seq_no", F.timestamp_millis("ms").alias("ts_event"),
+                     F.timestamp_millis("ms").alias("ts_ingest")).coalesce(1).write.parquet(f"{tmp_path}/in/slice={i}")
+    pl.use_rocksdb(spark)
+    schema = "event_id string, match_id string, map_id string, seq_no long, ts_event timestamp, ts_ingest timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/slice=*")
+    sink = pl.batch_sink((f"{tmp_path}/out", lambda b: b))
+    pl.drain(pl.start(pl.sequence_stage(stream, "0 seconds"), f"{tmp_path}/c", sink, trigger=NOW, timers=True))
+    got = {r.event_id: (r.outcome, r.batch) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {
+        "a1-0": ("in_order", 0), "b5-1000": ("in_order", 0), "b6-100": ("in_order", 1), "b7-1500": ("released", 1),
+        "b8-2500": ("in_order", 1),  # a batch is worked off in order of intake
+        "a3-1000": ("expired", 2),  # nothing of shard a came in batch 1, and the watermark of batch 2 is 2500
+        "c1-60000": ("in_order", 2), "a2-60100": ("in_order", 2), "c2-9000000": ("in_order", 3),
+        "a9-9000000": ("expired", 4), "a1-18000000": ("late", 4), "d1-18000200": ("in_order", 5),
+        "c1-18000300": ("in_order", 6),  # forgotten after two idle hours, so the first again
+    }
 
 
 def test_batch_actions_of_ordered_events_are_all_in_order(spark):
