@@ -155,7 +155,7 @@ def validate(
     """
     rules = envelope_rules(strict)
     if strict:
-        rules["size"] = size_rule(events.columns, max_bytes)
+        rules["size"] = size_rule([c for c in events.columns if c in sc.WIRE.names], max_bytes)
     errors = [_codes(rules)]
     if skew_ms is not None:
         errors.append(skew_errors(
@@ -173,11 +173,11 @@ def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.filter(~bad).drop("errors"), validated.filter(bad)
 
 
-def typed_events(valid: DataFrame) -> DataFrame:
-    """Valid wire events as stored events."""
+def typed_events(valid: DataFrame, *more: str) -> DataFrame:
+    """Valid wire events as stored events, and further columns as they are."""
     ts = F.try_to_timestamp(F.col("ts_event"))
     return valid.select(
-        "event_id", "match_id", "map_id",
+        *more, "event_id", "match_id", "map_id",
         F.col("round_no").cast("int").alias("round_no"),
         ts.alias("ts_event"),
         F.coalesce(F.try_to_timestamp(F.col("ts_ingest")), F.current_timestamp()).alias("ts_ingest"),

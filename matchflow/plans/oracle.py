@@ -837,6 +837,27 @@ ORACLE["sequence_stats"] = sql(FX, ARR, _ACTIONS, recursive=True, body="""
       count(*) FILTER (action = 'drop' OR outcome IN ('expired', 'overtaken')) AS late_events_dropped
     FROM av GROUP BY match_id, map_id""")
 
+# Valid events whose number ends in 7 or 9 are delivered hours late; some come again then.
+_SOUND = "k <= 90 AND event_no % 41 <> 0 AND seq_no <> 7 AND round_no <= 50"
+_MONTH = "CAST(strftime(epoch_ms(ts_event_ms), '%Y%m') AS INT)"
+ORACLE["stream_late"] = sql(FX, ARR, WIRE, body=f"""
+    SELECT event_id, match_id, {_MONTH} AS month, 'stored' AS outcome FROM wr
+    WHERE {_SOUND} AND event_no % 10 IN (7, 9) AND copy_no = 0
+    UNION ALL SELECT event_id, match_id, {_MONTH}, 'repeat' FROM wr
+    WHERE {_SOUND} AND event_no % 10 IN (3, 5, 7) AND copy_no = 0""")
+ORACLE["stream_conservation"] = sql(FX, ARR, WIRE, body=f"""
+    , c AS (SELECT *, {_VALID} AS valid, {_SOUND} AND event_no % 10 IN (7, 9) AS held,
+        CASE WHEN copy_no = 0 AND {_SOUND} THEN CASE event_no % 10 WHEN 3 THEN 2 WHEN 5 THEN 1 WHEN 7 THEN 1 ELSE 0 END
+          ELSE 0 END AS again FROM wr),
+    tot AS (SELECT CAST(count(*) + sum(again) AS BIGINT) AS received,
+      count(DISTINCT event_id) FILTER (valid AND NOT held) AS stored,
+      count(DISTINCT event_id) FILTER (valid AND held) AS late, count(*) FILTER (NOT valid) AS quarantined FROM c)
+    SELECT *, received - stored - late - quarantined AS duplicate FROM tot""")
+ORACLE["stream_raw_by_month"] = sql(FX, ARR, WIRE, body=f"""
+    , d AS (SELECT DISTINCT event_id, ts_event_ms, seq_no FROM wr WHERE {_VALID})
+    SELECT {_MONTH} AS month, count(*) AS events, CAST(sum(ts_event_ms) AS BIGINT) AS versions,
+      max(seq_no) AS last_seq_no FROM d GROUP BY 1""")
+
 # All matches at once, without every 97th event; what waits at the end expires by the watermark, 10 s behind.
 _LIVE = """
 lv AS (

@@ -22,6 +22,7 @@ from matchflow.session import prepare, shared_path
 from matchflow.sources import fixtures as fx
 from matchflow.sources import store
 from matchflow.streaming import jobs
+from matchflow.streaming import pipeline as pl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -922,10 +923,14 @@ def system_summary(spark, d):
 # --- Streams (run to the end, then read from their sinks) ---------------------
 
 
+def taken_in(spark, d) -> DataFrame:
+    return pl.raw_table(spark, jobs.intake(spark, d)).read()
+
+
 @query
 def intake_stream(spark, d):
     """Valid events stored by the intake job, each once."""
-    rows = spark.read.parquet(f"{jobs.intake(spark, d)}/raw")
+    rows = taken_in(spark, d)
     return rows.select("event_id", "match_id", "map_id", "round_no", "type", "source", "seq_no", ms("ts_event"))
 
 
@@ -938,11 +943,39 @@ def stream_quarantine(spark, d):
 
 @query
 def stream_dedup(spark, d):
-    """Copies the intake job stored per event: always one."""
-    rows = spark.read.parquet(f"{jobs.intake(spark, d)}/raw")
+    """Rows that the batches of the intake job wrote per event, before any merge: one each."""
+    rows = pl.raw_table(spark, jobs.intake(spark, d)).deltas()
     return rows.groupBy("match_id", "event_id").agg(F.count("*").alias("copies"))
 
 
+@query
+def stream_late(spark, d):
+    """Events that came hours after their time: new ones are stored, the others were stored before."""
+    repeats = spark.read.parquet(f"{jobs.intake(spark, d)}/repeats")
+    new = taken_in(spark, d).filter("late").select("event_id", "match_id", "month", F.lit("stored").alias("outcome"))
+    return new.unionByName(repeats.select("event_id", "match_id", "month", F.lit("repeat").alias("outcome")))
+
+
+@query
+def stream_conservation(spark, d):
+    """Every received row is stored, stored late, quarantined or a duplicate."""
+    out = jobs.intake(spark, d)
+    return pl.conservation(spark, out, spark.read.parquet(f"{out}/observed")).select(
+        *(big(c) for c in ("received", "stored", "late", "quarantined", "duplicate")))
+
+
+@query
+def stream_raw_by_month(spark, d):
+    """Streamed events of each month, read by month."""
+    table = pl.raw_table(spark, jobs.intake(spark, d))
+    rows = [table.read([month]) for month in table.open_months()]
+    whole = rows[0]
+    for more in rows[1:]:
+        whole = whole.unionByName(more)
+    return whole.groupBy("month").agg(
+        F.count("*").alias("events"), F.sum("version").alias("versions"), F.max("seq_no").alias("last_seq_no"))
+
+
 def settled(spark, d) -> DataFrame:
     return spark.read.parquet(f"{jobs.sequence(spark, d)}/actions")
 

@@ -180,10 +180,11 @@ def live(stored: DataFrame) -> DataFrame:
     return seen.withColumns({"ts_event": stamp(event), "ts_ingest": stamp(ingest)})
 
 
-def wire(seen: DataFrame) -> DataFrame:
-    """Arrived events as JSON-ready text fields, some of them malformed."""
+def wire(seen: DataFrame, *more: str) -> DataFrame:
+    """Arrived events as JSON-ready text fields, some of them malformed; further columns as they are."""
     k = F.col("k")
     return seen.select(
+        *more,
         F.when(k == 99, F.concat(F.lit("bad-"), F.col("event_no").cast("string")))
         .otherwise(F.col("event_id")).alias("event_id"),
         "match_id",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from matchflow import schema as sc
 from matchflow.operators import rollups
 from matchflow.plans import tables
-from matchflow.session import shared_path
+from matchflow.session import cut, shared_path
 from matchflow.sources import fixtures as fx
 from matchflow.streaming import pipeline as pl
 
@@ -44,19 +44,38 @@ def _write_slices(rows: DataFrame, time_ms, path: str, write: Callable[[DataFram
         write(part, f"{path}/slice={i}")
 
 
-def lines_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Received lines, malformed ones and lines that are no JSON among them."""
+def messages_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Received lines with the time of their intake, malformed ones and lines that are no JSON among them.
+
+    Some valid events come for the first time three or four hours late, and
+    some come again then.
+    """
 
     def job(out: str) -> None:
-        wire = fx.wire(fx.arrivals(tables.events(spark, sf_dir)))
-        body = F.to_json(F.struct(*(c for c in wire.columns if c != "payload")))
+        wire = fx.wire(fx.arrivals(tables.events(spark, sf_dir)), "event_no", "copy_no", "k")
+        body = F.to_json(F.struct(*(c for c in sc.WIRE.names if c != "payload")))
         line = F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"payload":'), "payload", F.lit("}"))
         broken = F.when(F.col("seq_no") == "7", F.lit("{not json")).otherwise(line)
-        rows = wire.withColumn("body", body).select(broken.alias("value"), "ts_ingest")
-        ms = F.unix_millis(F.to_timestamp("ts_ingest"))
-        _write_slices(rows, ms, out, lambda df, path: df.select("value").write.text(path))
+        sound = (F.col("k") <= 90) & (F.col("event_no") % 41 != 0) & (F.col("seq_no") != "7") & (
+            F.col("round_no").cast("int") <= sc.MAX_ROUND)
+        rows = wire.withColumn("body", body).select(
+            broken.alias("value"), F.to_timestamp("ts_ingest").alias("timestamp"), "copy_no",
+            F.when(sound, F.col("event_no") % 10).otherwise(-1).alias("digit"))
+        rows = cut(rows)
+        first = rows.filter(~F.col("digit").isin(7, 9))
+
+        def message(df: DataFrame, hours: int = 0) -> DataFrame:
+            return df.select("value", (F.col("timestamp") + F.expr(f"INTERVAL {hours} HOURS")).alias("timestamp"))
+
+        write = lambda df, path: message(df).repartition(FILES).write.parquet(path)
+        _write_slices(first, F.unix_millis("timestamp"), f"{out}/first", write)
+        more = {"later": (3, [3, 7], [3]), "last": (4, [9], [3, 5, 7])}
+        for name, (hours, new, again) in more.items():
+            # Every copy of what is new, one copy of what comes again.
+            of = F.col("digit").isin(new) | (F.col("digit").isin(again) & (F.col("copy_no") == 0))
+            message(rows.filter(of), hours).repartition(FILES).write.parquet(f"{out}/{name}/slice={hours}")
 
-    return _once(spark, sf_dir, "lines", job)
+    return _once(spark, sf_dir, "messages", job)
 
 
 def raw_folder(spark: SparkSession, sf_dir: str) -> str:
@@ -75,9 +94,19 @@ def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intake(spark: SparkSession, sf_dir: str) -> str:
+    """Two queries, one after the other: the second starts without the state of the first."""
+
     def job(out: str) -> None:
-        lines = pl.file_lines(spark, f"{lines_folder(spark, sf_dir)}/slice=*", 8)
-        pl.drain(*pl.intake_stage(lines, out, NOW))
+        pl.use_rocksdb(spark)
+        folder = messages_folder(spark, sf_dir)
+        read = None
+        for name, slices in (("a", f"{folder}/{{first,later}}/slice=*"), ("b", f"{folder}/last/slice=*")):
+            messages = pl.file_messages(spark, slices, FILES)
+            query = pl.intake_stage(messages, out, NOW, f"{out}/_ckpt/{name}")
+            pl.drain(query)
+            rows = pl.observed(query)
+            read = rows if read is None else read.unionByName(rows)
+        read.write.parquet(f"{out}/observed")
 
     return _once(spark, sf_dir, "intake", job)
 

@@ -11,10 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchflow import schema as sc
+from matchflow.functions import bloom
 from matchflow.operators import intake, rollups, scoring
 from matchflow.operators.state import update_feed
+from matchflow.session import cut
+from matchflow.sources import store
+from matchflow.sources.merged import MergedTable, exists
 from matchflow.streaming import processors as proc
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,12 +35,19 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def file_lines(spark: SparkSession, path: str, max_files: int = sc.MAX_BATCH) -> DataFrame:
-    """New files of JSON lines; ``max_files`` bounds a micro-batch."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+    """New files of JSON lines, taken in when the file was written; ``max_files`` bounds a micro-batch."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+    return lines.select("value", F.col("_metadata.file_modification_time").alias("timestamp"))
+
+
+def file_messages(spark: SparkSession, path: str, max_files: int = sc.MAX_BATCH) -> DataFrame:
+    """New files of messages: ``value`` and the ``timestamp`` of their intake, as Kafka has them."""
+    schema = "value string, timestamp timestamp"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def kafka_lines(spark: SparkSession, servers: str, topics: str, max_offsets: int = 5_000_000) -> DataFrame:
-    """Lines from Kafka (needs the connector on the class path)."""
+    """Messages from Kafka (needs the connector on the class path)."""
     source = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -43,24 +55,29 @@ def kafka_lines(spark: SparkSession, servers: str, topics: str, max_offsets: int
         .option("maxOffsetsPerTrigger", max_offsets)
         .load()
     )
-    return source.select(F.col("value").cast("string").alias("value"))
+    return source.select(F.col("value").cast("string").alias("value"), "timestamp")
 
 
-def received(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """Lines as validated wire events. A line that is no JSON object has null
-    fields, thus fails validation and ends in quarantine instead of the stream."""
-    wire = lines.select(F.from_json("value", sc.WIRE).alias("e")).select("e.*")
-    return intake.validate(wire, strict=strict, typed=True, skew_ms=sc.MAX_SKEW_MS)
+def received(messages: DataFrame, strict: bool = True) -> DataFrame:
+    """Messages as validated wire events with their intake time ``arrived``. A line that is no JSON object
+    has null fields, thus fails validation and ends in quarantine instead of the stream."""
+    wire = messages.select(F.from_json("value", sc.WIRE).alias("e"), F.col("timestamp").alias("arrived"))
+    return intake.validate(wire.select("e.*", "arrived"), strict=strict, typed=True, skew_ms=sc.MAX_SKEW_MS)
 
 
-def good_events(validated: DataFrame) -> DataFrame:
-    """Valid events once each: ids seen within two hours of event time are dropped."""
-    valid, _ = intake.split(validated)
-    return (
-        intake.typed_events(valid)
-        .withWatermark("ts_event", f"{sc.DEDUP_HOURS} hours")
-        .dropDuplicatesWithinWatermark(["match_id", "event_id"])
-    )
+def once(validated: DataFrame, hours: int = sc.DEDUP_HOURS) -> DataFrame:
+    """Valid events once each within two hours of the stream's own clock; rejected rows all.
+
+    The state goes by the time of the micro-batch, not by event time: no row is
+    ever behind that clock, so none is dropped as late, however old its event.
+    What was read and how much of it was valid is observed as ``intake``.
+    """
+    bad = F.size("errors") > 0
+    counted = validated.observe(
+        "intake", F.count(F.lit(1)).alias("received"), F.count_if(~bad).alias("valid"))
+    own = F.when(~bad, F.concat_ws("/", "match_id", "event_id")).otherwise(F.uuid())
+    keyed = counted.withColumns({"_once": own, "_seen": F.current_timestamp()})
+    return keyed.withWatermark("_seen", f"{hours} hours").dropDuplicatesWithinWatermark(["_once"]).drop("_once", "_seen")
 
 
 # --- Sinks --------------------------------------------------------------------
@@ -106,14 +123,119 @@ def _same(batch: DataFrame) -> DataFrame:
 # --- Stages -------------------------------------------------------------------
 
 
-def intake_stage(lines: DataFrame, out: str, trigger: dict | None = None) -> list:
-    """Received lines to the raw and the quarantine table."""
-    validated = received(lines)
-    bad = intake.quarantine(intake.split(validated)[1])
-    return [
-        start(good_events(validated), f"{out}/_ckpt/raw", batch_sink((f"{out}/raw", _same)), trigger=trigger),
-        start(bad, f"{out}/_ckpt/quarantine", batch_sink((f"{out}/quarantine", _same)), trigger=trigger),
-    ]
+#: An event that comes this long after its time may be a copy that the state has forgotten.
+LATE_MS = sc.DEDUP_HOURS * 3_600_000 - sc.MAX_SKEW_MS
+STORED = T.StructType([*sc.RAW.fields, T.StructField("late", T.BooleanType())])
+IDS = ["match_id", "event_id"]
+
+
+def raw_table(spark: SparkSession, out: str) -> MergedTable:
+    return MergedTable(spark, f"{out}/raw", STORED)
+
+
+def filters(spark: SparkSession, out: str) -> DataFrame:
+    """Bloom filters of the stored ids by month, as the batches left them."""
+    schema = "month int, block long, w0 long, w1 long, w2 long, w3 long, batch string"
+    return spark.read.schema(schema).parquet(f"{out}/seen")
+
+
+def repeats_of(late: DataFrame, out: str, label: str, months: list[int]) -> DataFrame:
+    """Ids of late events that are stored already.
+
+    The filter of their months leaves the possible ones; only these are looked
+    up in the table. What the batch itself wrote before a failure does not count.
+    """
+    spark = late.sparkSession
+    known = bloom.merged(filters(spark, out).filter(F.col("month").isin(months) & (F.col("batch") != label)), ["month"])
+    table = raw_table(spark, out)
+    stored = table.base(months).select("month", *IDS).unionByName(table.deltas(months, but=label).select("month", *IDS))
+    return bloom.may_contain(late.select("month", *IDS), known, ["month"], IDS).join(stored, ["month", *IDS], "left_semi")
+
+
+def intake_sink(out: str) -> Callable[[DataFrame, int], None]:
+    """A batch to the raw table, the quarantine, and the repeats of events stored long ago.
+
+    Every output of a batch lies under its label, made of the query's id and the
+    number of the batch: repeated batches replace themselves, and a query that
+    starts anew, with no state, adds to what others have stored.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        label = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        kept = batch.persist()
+        valid, bad = intake.split(kept)
+        age = F.unix_millis("arrived") - F.unix_millis("ts_event")
+        typed = intake.typed_events(valid, "arrived").withColumn("late", age > LATE_MS)
+        good = store.raw_columns(typed).select(*STORED.names, "month")
+
+        def save(rows: DataFrame, name: str) -> None:
+            rows.withColumn("batch", F.lit(label)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/{name}")
+
+        save(intake.quarantine(bad.drop("arrived")), "quarantine")
+        months = [r["month"] for r in good.filter("late").select("month").distinct().collect()]
+        if months and exists(spark, f"{out}/seen"):
+            again = repeats_of(good.filter("late"), out, label, months).distinct()
+            again = cut(again)  # read before the batch writes
+            fresh = good.join(again, ["month", *IDS], "left_anti")
+            save(again, "repeats")
+        else:
+            fresh = good
+        raw_table(spark, out).write(fresh, label)
+        save(bloom.filter_of(fresh, ["month"], IDS), "seen")
+        save(kept.agg(F.count_if(F.size("errors") == 0).alias("passed")), "ledger")
+        kept.unpersist()
+
+    return write
+
+
+def intake_stage(messages: DataFrame, out: str, trigger: dict | None = None, checkpoint: str | None = None):
+    """Received messages to the raw and the quarantine table, in one query that reads them once."""
+    return start(once(received(messages)), checkpoint or f"{out}/_ckpt", intake_sink(out), trigger=trigger)
+
+
+def observed(query) -> DataFrame:
+    """What a query has read, batch by batch, from its recent progress."""
+    rows = [(p.batchId, p.observedMetrics["intake"]["received"], p.observedMetrics["intake"]["valid"])
+            for p in query.recentProgress if "intake" in p.observedMetrics]
+    return SparkSession.active().createDataFrame(rows, "batch_id long, received long, valid long")
+
+
+def conservation(spark: SparkSession, out: str, read: DataFrame) -> DataFrame:
+    """What became of all rows: ``received = stored + late + quarantined + duplicate``, each counted by itself.
+
+    ``read`` are the rows of ``observed``. Duplicates are what the state let not
+    pass, and the repeats that the table showed.
+    """
+    def of(name: str, count: Column) -> Column:
+        return _read_parts(spark, f"{out}/{name}").agg(count.alias("n")).scalar()
+
+    rows = raw_table(spark, out).read()
+    ever = read.agg(F.sum("received").alias("received"), F.sum("valid").alias("valid"))
+    count = F.count(F.lit(1))
+    return ever.select(
+        "received",
+        rows.agg(F.count_if(~F.col("late")).alias("n")).scalar().alias("stored"),
+        rows.agg(F.count_if("late").alias("n")).scalar().alias("late"),
+        of("quarantine", count).alias("quarantined"),
+        (F.col("valid") - of("ledger", F.coalesce(F.sum("passed"), F.lit(0))) + of("repeats", count)).alias("duplicate"),
+    )
+
+
+_PARTS = {
+    "ledger": "passed long, batch string",
+    "repeats": "month int, match_id string, event_id string, batch string",
+}
+
+
+def _read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """An output kept by batch; empty where no batch had any."""
+    name = path.rsplit("/", 1)[1]
+    if name in _PARTS:
+        reader = spark.read.schema(_PARTS[name])
+        return reader.parquet(path) if exists(spark, path) else spark.createDataFrame([], _PARTS[name])
+    return spark.read.parquet(path)
 
 
 def sequence_stage(events: DataFrame, skew: str = "10 seconds") -> DataFrame:
