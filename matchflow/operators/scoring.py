@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import pickle
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchflow import schema as sc
 from matchflow.functions import running as run
+from matchflow.functions import scan as sn
 from matchflow.functions.scalars import american_odds, clamp, decimal_odds, safe_probability
 from matchflow.session import cut
 
@@ -16,8 +22,7 @@ WEIGHTS = {"strength": 0.1, "alive": 0.15, "equipment": 0.05, "bomb": 0.25, "str
 LOW, HIGH = 0.05, 0.95
 SWING_PER_SECOND, SWING_BASE = 0.20, 0.05
 MOVE_BASE, MOVE_PER_SECOND = 0.20, 0.05
-
-PIECE = 256
+LEAST, MOST = 0.01, 0.99
 
 
 def significant(events: DataFrame) -> DataFrame:
@@ -87,92 +92,126 @@ def swing_flags(scored: DataFrame, chunk_rows: int = run.CHUNK_ROWS, p: str = "p
     return out.withColumn("is_jump", F.coalesce(jump, F.lit(False)))
 
 
-def _step(done: Column, x: Column) -> Column:
-    """Append the next published point to the points ``done`` so far.
+def _limits(ms: list[int]) -> tuple[list[float], list[float]]:
+    """Per row after the first: how far the value may move freely, and by how much it is moved otherwise.
 
-    Within the larger of both bounds the model's value is published as it is;
-    beyond it the last published value moves by the allowed step only.
+    Rows at the same time or earlier than the one before are free.
     """
-    last = F.element_at(done, -1)
-    dt = (x["ms"] - last["ms"]) / 1000.0
-    gap = x["p"] - last["p"]
+    dt = np.diff(np.array(ms, "i8")) / 1000
     allowed = dt * MOVE_PER_SECOND + MOVE_BASE
-    free = (dt <= 0) | (F.abs(gap) <= F.greatest(dt * SWING_PER_SECOND + SWING_BASE, allowed))
-    p = F.when(free, x["p"]).otherwise(safe_probability(last["p"] + F.signum(gap) * allowed))
-    return F.concat(done, F.array(F.struct(x["version"].alias("version"), x["ms"].alias("ms"), p.alias("p"))))
+    free = np.where(dt <= 0, np.inf, np.maximum(dt * SWING_PER_SECOND + SWING_BASE, allowed))
+    return free.tolist(), allowed.tolist()
 
 
-def _fold(points: DataFrame) -> DataFrame:
-    """Published points of each (match, anchor) group; ``start`` is the point before it."""
-    grouped = points.groupBy("match_id", "anchor").agg(
-        F.sort_array(F.collect_list("point")).alias("xs"), F.first("start").alias("start")
-    )
-    folded = F.aggregate("xs", F.array("start"), _step, lambda done: F.slice(done, 2, F.size(done) - 1))
-    return grouped.select("match_id", "anchor", F.explode(folded).alias("point"))
+def _moved(x: float, p: float, free: float, allowed: float) -> float:
+    """The value published after ``x`` where the model says ``p``."""
+    gap = p - x
+    if abs(gap) <= free:
+        return p
+    return min(MOST, max(LEAST, x + (allowed if gap > 0 else -allowed)))
 
 
-def limit_swing(scored: DataFrame, chunk_rows: int = run.CHUNK_ROWS, piece: int = PIECE) -> DataFrame:
-    """Limit each probability against the one published before it.
+def _published(x: float, ps: list[float], free: list[float], allowed: list[float]) -> list[float]:
+    """Values from ``x`` on, which is the one of the first row."""
+    out = [x]
+    for p, f, a in zip(ps[1:], free, allowed):
+        x = _moved(x, p, f, a)
+        out.append(x)
+    return out
+
 
-    The published value depends on the published value before, yet rarely for
-    long. Let ``e`` be how far the published value may be from the model's. It
-    grows by the model's move and shrinks by the allowed step, never below 0,
-    so its bound is a running sum minus its lowest point. Where the bound is 0
-    the model's value is certainly published: an anchor. Only rows between an
-    anchor and the next are folded, from the anchor's value on, in pieces of
-    at most ``piece`` versions: no array grows with the match, and a run of
-    many pieces takes as many rounds.
+#: Pieces of a map: from which value on, whether the value counts, what is added.
+_Map = list[tuple[float, bool, float]]
+_SAME: _Map = [(0.0, True, 0.0)]
+
+
+def _then(pieces: _Map, p: float, free: float, allowed: float) -> _Map:
+    """A map of values followed by one more row.
+
+    A row maps values far below ``p`` up by a step, values far above down by
+    one, and the rest to ``p``. All maps rise nowhere faster than the value, and
+    what falls on ``p`` stays together, so pieces remain few.
     """
-    before = run.running(
-        scored, ["match_id"], ["state_version"], _chunk(chunk_rows),
-        _last=run.previous(F.struct(F.col("p_raw").alias("p"), F.col("ts_event").alias("ts"))),
-    )
-    dt = _seconds(F.col("_last.ts"), F.col("ts_event"))
-    allowed = dt * MOVE_PER_SECOND + MOVE_BASE
-    always_free = dt.isNull() | (dt <= 0) | (dt * SWING_PER_SECOND + SWING_BASE >= 1)
-    # Millionths rounded up: whole numbers keep the running sum exact.
-    growth = F.ceil((F.abs(F.col("p_raw") - F.col("_last.p")) - allowed) * 1_000_000) + 1
-    grown = before.withColumn("_x", F.when(always_free, F.lit(-10_000_000)).otherwise(growth).cast("long"))
-    bounded = cut(run.running(
-        grown.drop("_last"), ["match_id"], ["state_version"], _chunk(chunk_rows), _bound=run.excess(F.col("_x"))
-    ))
-    point = F.struct(
-        F.col("state_version").cast("long").alias("version"),
-        F.unix_millis("ts_event").alias("ms"),
-        F.col("p_raw").alias("p"),
-    )
-    anchored = cut(run.running(
-        bounded.withColumn("_point", point), ["match_id"], ["state_version"], _chunk(chunk_rows),
-        _anchor=run.latest(F.when(F.col("_bound") <= 0, F.col("_point"))),
-    ))
-    free = anchored.filter("_bound <= 0").withColumn("p_team_a_win", F.col("p_raw"))
-    bound = anchored.filter("_bound > 0").withColumn(
-        "_piece", F.floor((F.col("state_version") - F.col("_anchor.version")) / piece)
-    )
-    published = _fold_pieces(bound)
-    limited = bound.join(
-        published.select(
-            "match_id", F.col("point.version").alias("state_version"), F.col("point.p").alias("p_team_a_win")
-        ),
-        ["match_id", "state_version"],
-    )
-    columns = [*scored.columns, "p_team_a_win"]
-    return free.select(columns).unionByName(limited.select(columns))
+    if free == math.inf:
+        return [(0.0, False, p)]
+    cuts = sorted({p - free, math.nextafter(p + free, math.inf), MOST - allowed, LEAST + allowed})
+    out: _Map = []
+    for (start, moving, add), (end, _, _) in zip(pieces, [*pieces[1:], (math.inf, False, 0.0)]):
+        inner = [c - add for c in cuts if start < c - add < end] if moving else []
+        for at in [start, *inner]:
+            if not moving:
+                new = (at, False, _moved(add, p, free, allowed))
+            else:
+                value = at + add
+                if any(abs(value - c) < 1e-12 for c in cuts):
+                    value += 1e-12  # a piece is told by its inside
+                after = _moved(value, p, free, allowed)
+                steady = after == p or after in (LEAST, MOST)
+                new = (at, False, after) if steady else (at, True, add + (allowed if p > value else -allowed))
+            if not (out and out[-1][1:] == new[1:]):
+                out.append(new)
+    return out
+
+
+def _value(pieces: _Map, x: float) -> float:
+    _, moving, add = max((q for q in pieces if q[0] <= x), default=pieces[0])
+    return x + add if moving else add
+
+
+def _swing_summary(rows: pa.Table, _: bytes | None) -> bytes:
+    """The map from the value of a chunk's first row to that of its last.
+
+    Maps do not fall, so where the lowest and the highest value end alike, all do.
+    """
+    ms, ps = rows.column("ms").to_pylist(), rows.column("p").to_pylist()
+    free, allowed = _limits(ms)
+    low, high = 0.0, 1.0
+    for p, f, a in zip(ps[1:], free, allowed):
+        low = _moved(low, p, f, a)
+        high = low if low == high else _moved(high, p, f, a)
+    pieces = [(0.0, False, low)]
+    if low != high:
+        pieces = _SAME
+        for p, f, a in zip(ps[1:], free, allowed):
+            pieces = _then(pieces, p, f, a)
+    return pickle.dumps((ms[0], ps[0], ms[-1], pieces))
+
+
+def _swing_step(before: bytes | None, summary: bytes, _: bytes | None) -> tuple[bytes, bytes]:
+    first_ms, p, last_ms, pieces = pickle.loads(summary)
+    x = p
+    if before:
+        ms, x = pickle.loads(before)
+        free, allowed = _limits([ms, first_ms])
+        x = _moved(x, p, free[0], allowed[0])
+    return pickle.dumps(x), pickle.dumps((last_ms, _value(pieces, x)))
+
+
+def _swing_rows(rows: pa.Table, carry: bytes | None) -> pa.Table:
+    ms, ps = rows.column("ms").to_pylist(), rows.column("p").to_pylist()
+    values = _published(pickle.loads(carry), ps, *_limits(ms))
+    return pa.table({"state_version": rows.column("state_version"), "p_team_a_win": pa.array(values, pa.float64())})
+
+
+def limit_swing(scored: DataFrame, chunk_rows: int = run.CHUNK_ROWS) -> DataFrame:
+    """Limit each probability against the one published before it.
 
+    The published value depends on the published value before. A row is a map
+    from the one to the other, made of few pieces, and so is a chunk of rows.
+    The maps of all chunks are found side by side and folded, one row per chunk;
+    then all chunks are worked through from the values they start with. The work
+    is linear in the rows, however long a match is limited without pause.
 
-def _fold_pieces(bound: DataFrame) -> DataFrame:
-    points = bound.select(
-        "match_id", F.col("_anchor.version").alias("anchor"), "_piece",
-        F.col("_point").alias("point"), F.col("_anchor").alias("start"),
-    )
-    done = _fold(points.filter("_piece = 0"))
-    rounds = points.agg(F.max("_piece")).first()[0] or 0
-    for number in range(1, rounds + 1):
-        done = cut(done)
-        ends = done.groupBy("match_id", "anchor").agg(F.max_by("point", "point.version").alias("end"))
-        follow = points.filter(F.col("_piece") == number).join(ends, ["match_id", "anchor"], "left")
-        done = done.unionByName(_fold(follow.withColumn("start", F.coalesce("end", "start"))))
-    return done
+    Reads its input three times.
+    """
+    slim = sn.chunked(scored.select(
+        "match_id", F.col("state_version").cast("long").alias("state_version"),
+        F.unix_millis("ts_event").alias("ms"), F.col("p_raw").cast("double").alias("p"),
+    ), _chunk(chunk_rows))
+    keys, order = ["match_id"], ["state_version"]
+    carries = sn.carried(sn.summed_up(slim, keys, order, _swing_summary), keys, _swing_step)
+    published = sn.per_chunk(slim, keys, order, _swing_rows, "state_version bigint, p_team_a_win double", carries)
+    return scored.join(published.drop(sn.CHUNK), ["match_id", "state_version"]).select(*scored.columns, "p_team_a_win")
 
 
 def with_odds(limited: DataFrame, margin: float = 0.06) -> DataFrame:

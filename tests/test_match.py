@@ -1,8 +1,12 @@
 """A match of three rounds, worked out by hand, and the rules around it."""
 
 import json
+import time
 
+import pandas as pd
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
 from matchflow.operators import dead_letter, dedup, evaluation, rollups, scoring
@@ -166,16 +170,54 @@ def limited_by_hand(points):
     return out
 
 
-@pytest.mark.parametrize("piece", [3, 256])
-def test_limiter_on_wild_swings(spark, piece):
-    """Swings that never let the limiter rest, in one long run of many pieces."""
-    n = F.col("id")
-    wild = spark.range(1, 120).select(
-        F.lit("m").alias("match_id"), n.alias("state_version"),
-        F.timestamp_millis(n * 100 + F.when(n % 50 == 0, 30).otherwise(0)).alias("ts_event"),
-        F.when(n % 2 == 0, 0.95 - n / 1000).otherwise(0.05 + n / 2000).alias("p_raw"),
-    ).cache()
-    got = scoring.limit_swing(wild, chunk_rows=10, piece=piece).orderBy("state_version").collect()
-    points = [(int(r.ts_event.timestamp() * 1000), r.p_raw) for r in wild.orderBy("state_version").collect()]
-    assert [r.p_team_a_win for r in got] == pytest.approx(limited_by_hand(points))
-    assert sum(r.p_team_a_win != r.p_raw for r in got) > 50
+def wild(spark, n):
+    """Swings that never let the limiter rest, in one match."""
+    i = F.col("id")
+    return spark.range(1, n).select(
+        F.lit("m").alias("match_id"), i.alias("state_version"),
+        F.timestamp_millis(i * 100 + F.when(i % 50 == 0, 30).otherwise(0)).alias("ts_event"),
+        F.when(i % 2 == 0, 0.95 - (i % 113) / 1000).otherwise(0.05 + (i % 89) / 2000).alias("p_raw"),
+    )
+
+
+def points_of(rows):
+    return [(int(round(r.ts_event.timestamp() * 1000)), r.p_raw) for r in rows]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 10, 1000])
+def test_limiter_on_wild_swings(spark, chunk):
+    rows = wild(spark, 400).cache()
+    got = scoring.limit_swing(rows, chunk_rows=chunk).orderBy("state_version").collect()
+    assert [r.p_team_a_win for r in got] == pytest.approx(limited_by_hand(points_of(rows.orderBy("state_version").collect())))
+    assert sum(r.p_team_a_win != r.p_raw for r in got) > 200
+
+
+def test_limiter_is_linear_on_a_long_limited_run(spark):
+    """100,000 rows that are limited one after the other, in chunks that hand their value on."""
+    rows = wild(spark, 100_001).repartition(8)
+    start = time.perf_counter()
+    got = scoring.limit_swing(rows, chunk_rows=5_000).toPandas().sort_values("state_version")
+    assert time.perf_counter() - start < 60
+    assert (got["p_team_a_win"] != got["p_raw"]).sum() > 50_000
+    ms = ((got["ts_event"] - pd.Timestamp(0)) // pd.Timedelta("1ms")).tolist()
+    want = limited_by_hand(list(zip(ms, got["p_raw"].tolist())))
+    assert got["p_team_a_win"].tolist() == pytest.approx(want, abs=1e-9)
+
+
+@given(st_.lists(st_.tuples(st_.integers(1, 3000), st_.floats(0.01, 0.99)), min_size=1, max_size=60),
+       st_.lists(st_.floats(0.01, 0.99), min_size=1, max_size=20))
+def test_composed_swing_maps_equal_the_rows(steps, starts):
+    """The map of a run of rows gives what the rows give, for any value before them."""
+    ms = [0]
+    for dt, _ in steps:
+        ms.append(ms[-1] + dt)
+    ps = [0.5, *(p for _, p in steps)]
+    free, allowed = scoring._limits(ms)
+    pieces = scoring._SAME
+    for p, f, a in zip(ps[1:], free, allowed):
+        pieces = scoring._then(pieces, p, f, a)
+    for x in starts:
+        near = min(abs(x - at) for at, _, _ in pieces)
+        want = scoring._published(x, ps, free, allowed)[-1]
+        assert near < 1e-9 or scoring._value(pieces, x) == pytest.approx(want, abs=1e-9)
+    assert len(pieces) <= 40
