@@ -193,7 +193,7 @@ def _swing_rows(rows: pa.Table, carry: bytes | None) -> pa.Table:
     return pa.table({"state_version": rows.column("state_version"), "p_team_a_win": pa.array(values, pa.float64())})
 
 
-def limit_swing(scored: DataFrame, chunk_rows: int = run.CHUNK_ROWS) -> DataFrame:
+def limit_swing(scored: DataFrame, chunk_rows: int = run.CHUNK_ROWS, before: DataFrame | None = None) -> DataFrame:
     """Limit each probability against the one published before it.
 
     The published value depends on the published value before. A row is a map
@@ -202,12 +202,17 @@ def limit_swing(scored: DataFrame, chunk_rows: int = run.CHUNK_ROWS) -> DataFram
     then all chunks are worked through from the values they start with. The work
     is linear in the rows, however long a match is limited without pause.
 
-    Reads its input three times.
+    ``before`` (match_id, ms, p) has the last value published before the given
+    rows of a match, and when. Reads its input three times.
     """
-    slim = sn.chunked(scored.select(
+    points = scored.select(
         "match_id", F.col("state_version").cast("long").alias("state_version"),
         F.unix_millis("ts_event").alias("ms"), F.col("p_raw").cast("double").alias("p"),
-    ), _chunk(chunk_rows))
+    )
+    if before is not None:
+        # A row of its own in front of all others; the last join leaves it out.
+        points = points.unionByName(before.select("match_id", F.lit(-1).cast("long").alias("state_version"), "ms", "p"))
+    slim = sn.chunked(points, _chunk(chunk_rows))
     keys, order = ["match_id"], ["state_version"]
     carries = sn.carried(sn.summed_up(slim, keys, order, _swing_summary), keys, _swing_step)
     published = sn.per_chunk(slim, keys, order, _swing_rows, "state_version bigint, p_team_a_win double", carries)
@@ -240,8 +245,10 @@ def with_odds(limited: DataFrame, margin: float = 0.06) -> DataFrame:
     )
 
 
-def predictions(state: DataFrame, model_version: str = MODEL_VERSION, margin: float = 0.06) -> DataFrame:
-    """State rows to published predictions, on significant events only."""
+def predictions(
+    state: DataFrame, model_version: str = MODEL_VERSION, margin: float = 0.06, before: DataFrame | None = None
+) -> DataFrame:
+    """State rows to published predictions, on significant events only; ``before`` as in ``limit_swing``."""
     # The limiter goes over its input several times: let it read, not recompute.
     scored = cut(score(features(significant(state)), model_version))
-    return with_odds(limit_swing(scored), margin)
+    return with_odds(limit_swing(scored, before=before), margin)

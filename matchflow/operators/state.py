@@ -29,11 +29,14 @@ def seq_chunk(rows: int = run.CHUNK_ROWS) -> Column:
     return F.floor(F.col("seq_no") / rows)
 
 
-def match_state(raw: DataFrame, strength: DataFrame | None = None, chunk_rows: int = run.CHUNK_ROWS) -> DataFrame:
+def match_state(
+    raw: DataFrame, strength: DataFrame | None = None, chunk_rows: int = run.CHUNK_ROWS, before: DataFrame | None = None
+) -> DataFrame:
     """One row per event with the state after it.
 
     ``strength`` (team id, rating) sets team ratings; without it all teams rate
-    1000.
+    1000. ``before`` are rows of an earlier result, one per match: the state
+    that the first of the given events of the match meets.
     """
     kind = F.col("type")
 
@@ -86,10 +89,17 @@ def match_state(raw: DataFrame, strength: DataFrame | None = None, chunk_rows: i
             f"{t}_money": run.latest(sent("economy_update", f"team_{t}_econ")),
             f"{t}_equipment": run.latest(sent("economy_update", f"team_{t}_equipment_value")),
         }
+    if before is not None:
+        # Whether what a value counts from lies among the given events.
+        markers = {"map_start": map_start, "match_start": match_start, "round_start": round_start,
+                   "a_won": won("round_end", "A"), "b_won": won("round_end", "B")}
+        requests |= {f"seen_{name}": run.highest(one(marker)) for name, marker in markers.items()}
     slim = parse_payload(raw, *_FIELDS).select(
         "event_id", "match_id", "map_id", "round_no", "type", "seq_no", "ts_event", "ts_ingest", "p"
     )
     folded = run.running(slim, ["match_id"], ORDER, seq_chunk(chunk_rows), **requests)
+    if before is not None:
+        folded = _continued(folded, before)
     for t in "ab":
         folded = folded.withColumn(f"{t}_id", F.col(f"{t}_who.id"))
         if strength is None:
@@ -128,6 +138,48 @@ def match_state(raw: DataFrame, strength: DataFrame | None = None, chunk_rows: i
     )
 
 
+def _continued(folded: DataFrame, before: DataFrame) -> DataFrame:
+    """Running values over some events of a match, put on top of the state before these."""
+    old = before.select("match_id", F.struct(*(c for c in STATE_COLUMNS if c != "match_id")).alias("old"))
+    there = F.col("old").isNotNull()
+
+    def kept(name: str, value: str) -> Column:
+        """A last known value: the old one as long as there is no new one."""
+        return F.coalesce(F.col(name), F.col(f"old.{value}")).alias(name)
+
+    def counted(name: str, marker: str, value: str) -> Column:
+        """A count since a marker: the old one goes on until the marker comes."""
+        return F.when(there & (F.col(f"seen_{marker}") == 0), F.col(f"old.{value}") + F.col(name)).otherwise(F.col(name)).alias(name)
+
+    new = {
+        "state_version": F.col("state_version") + F.coalesce("old.state_version", F.lit(0)),
+        "first_map": F.coalesce("old.map_id", "first_map"),
+        "first_format": F.coalesce("old.format", "first_format"),
+        "round_now": F.when(there & (F.col("seen_map_start") == 0), F.greatest("old.round_no", "round_now")).otherwise(
+            F.col("round_now")),
+        "phase": kept("phase", "phase"),
+        "planted": kept("planted", "bomb_planted"),
+        "ever_planted": F.col("ever_planted") + F.when(F.col("old.seconds_remaining") > 0, 1).otherwise(0),
+    }
+    for t, other in (("a", "b"), ("b", "a")):
+        team = f"team_{t}"
+        new |= {
+            f"{t}_who": F.when(there, F.struct(F.col(f"old.{team}.id").alias("id"), F.col(f"old.{team}.name").alias("name")))
+            .otherwise(F.col(f"{t}_who")),
+            f"{t}_score": counted(f"{t}_score", "map_start", f"{team}.score"),
+            f"{t}_maps": counted(f"{t}_maps", "match_start", f"{team}.maps_won"),
+            # Who was out before the round counts as out, five at most.
+            f"{t}_dead": F.when(
+                there & (F.col("seen_round_start") == 0),
+                sc.PLAYERS - F.col(f"old.{team}.alive_count") + F.col(f"{t}_dead")).otherwise(F.col(f"{t}_dead")),
+            f"{t}_losses": counted(f"{t}_losses", f"{t}_won", f"{team}.consecutive_round_losses"),
+            f"{t}_side": kept(f"{t}_side", f"{team}.side"),
+            f"{t}_money": kept(f"{t}_money", f"{team}.money"),
+            f"{t}_equipment": kept(f"{t}_equipment", f"{team}.equipment_value"),
+        }
+    return folded.join(old, "match_id", "left").withColumns(new).drop("old")
+
+
 def final_state(state: DataFrame) -> DataFrame:
     """State after the last event of each match (what a replay ends with)."""
     rest = [c for c in state.columns if c != "match_id"]

@@ -764,9 +764,23 @@ ORACLE["latency_alert_runs"] = _runs(LATENCY, "quantile_cont(e2e_ms, 0.95) > 500
 ORACLE["stream_state"] = ORACLE["match_state"]
 ORACLE["stream_timeline"] = ORACLE["match_timeline"]
 ORACLE["stream_round_metrics"] = ORACLE["round_metrics"]
-ORACLE["prediction_stream"] = pred(
-    "SELECT match_id, state_version, round(p_team_a_win, 6) AS p_team_a_win FROM pr"
-)
+ORACLE["prediction_stream"] = ORACLE["limited_prediction"]
+_AMERICAN = "CAST(floor(CASE WHEN {0} >= 2 THEN ({0} - 1) * 100 ELSE -100 / ({0} - 1) END + 0.5) AS BIGINT)"
+ORACLE["stream_prediction_table"] = pred(f"""
+    , o AS (SELECT *, round(1 / (p_team_a_win * 1.06::DOUBLE), 3) AS oa, round(1 / (p_team_b_win * 1.06::DOUBLE), 3) AS ob
+      FROM pr)
+    SELECT match_id, event_id AS trigger_event_id, ts_calc_ms, model_version,
+      CAST(strftime(epoch_ms(ts_calc_ms), '%Y%m') AS INT) AS month, CAST(alive_diff AS DOUBLE) AS part_alive_diff,
+      round(equip_diff, 6) AS part_equip_diff, CASE WHEN bomb_planted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS part_bomb,
+      oa AS part_odds_a, ob AS part_odds_b, {_AMERICAN.format('oa')} AS american_a, {_AMERICAN.format('ob')} AS american_b
+    FROM o""")
+ORACLE["stream_update_feed"] = pred(f"""
+    , ls AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY state_version DESC) = 1),
+    lp AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY state_version DESC) = 1)
+    SELECT match_id, 'state' AS kind, state_version, round_no, phase, a_score AS score_a, b_score AS score_b,
+      {uid('m % 10')} AS team_a_id, CAST(NULL AS DOUBLE) AS p_team_a_win FROM ls
+    UNION ALL SELECT match_id, 'prediction', state_version, round_no, NULL, NULL, NULL, NULL, round(p_team_a_win, 6)
+    FROM lp""")
 # The line of sequence number 7 is no JSON, whatever the event in it.
 _VALID = f"(NOT ({BAD})) AND seq_no <> 7"
 ORACLE["intake_stream"] = sql(FX, ARR, WIRE, body=f"""

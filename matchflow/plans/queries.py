@@ -23,6 +23,7 @@ from matchflow.sources import fixtures as fx
 from matchflow.sources import store
 from matchflow.streaming import jobs
 from matchflow.streaming import pipeline as pl
+from matchflow.streaming.states import StateTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -770,10 +771,7 @@ def rule_prediction(spark, d):
 @query
 def limited_prediction(spark, d):
     """Scored, limited and priced from the states on (not read from the store)."""
-    rows = scoring.predictions(tables.states(spark, d))
-    return rows.select("match_id", "map_id", big("state_version"), "round_no", r6("p_raw"), r6("p_team_a_win"),
-                       r6("p_team_b_win"), r6("confidence"), "limited", "odds_a", "odds_b", "trigger_event_type",
-                       "team_a_id", "team_b_id")
+    return prediction_out(scoring.predictions(tables.states(spark, d)))
 
 
 @query
@@ -1002,20 +1000,54 @@ def live_sequence(spark, d):
     return done.select("match_id", "map_id", "event_id", "seq_no", "arrival_no", "action", "outcome")
 
 
+def state_tables(spark, d) -> StateTables:
+    return StateTables(spark, jobs.states(spark, d))
+
+
 @query
 def stream_state(spark, d):
-    """Streamed states; equal to the batch ones."""
-    rows = spark.read.parquet(f"{jobs.states(spark, d)}/state")
-    from matchflow.streaming.pipeline import nested
+    """States streamed from events in order of arrival; equal to the batch ones."""
+    return state_out(state_tables(spark, d).states.read())
 
-    return state_out(nested(rows))
+
+def prediction_out(rows: DataFrame) -> DataFrame:
+    return rows.select("match_id", "map_id", big("state_version"), "round_no", r6("p_raw"), r6("p_team_a_win"),
+                       r6("p_team_b_win"), r6("confidence"), "limited", "odds_a", "odds_b", "trigger_event_type",
+                       "team_a_id", "team_b_id")
 
 
 @query
 def prediction_stream(spark, d):
-    """Streamed predictions; equal to the batch ones."""
-    rows = spark.read.parquet(f"{jobs.predictions(spark, d)}/predictions")
-    return rows.select("match_id", "state_version", r6("p_team_a_win"))
+    """Streamed predictions; equal to the batch ones in all columns."""
+    return prediction_out(state_tables(spark, d).predictions.read())
+
+
+@query
+def stream_prediction_table(spark, d):
+    """What the streamed prediction table keeps besides: time, model, parts of the score, prices."""
+    rows = state_tables(spark, d).predictions.read()
+    part = lambda name: r6(F.col("components")[name], f"part_{name}")
+    return rows.select("match_id", "trigger_event_id", ms("ts_calc"), "model_version", "month",
+                       *(part(n) for n in ("alive_diff", "equip_diff", "bomb", "odds_a", "odds_b")),
+                       big("american_a"), big("american_b"))
+
+
+@query
+def stream_update_feed(spark, d):
+    """The newest state and prediction update of each match, as subscribers get them."""
+    rows = spark.read.parquet(f"{jobs.states(spark, d)}/updates").withColumns({
+        "kind": F.get_json_object("value", "$.type"),
+        "state_version": F.get_json_object("value", "$.data.state_version").cast("long"),
+        "sent": F.get_json_object("value", "$.timestamp"),
+    })
+    last = rows.groupBy("key", "kind").agg(F.max_by("value", F.struct("state_version", "sent")).alias("value"))
+    at = lambda path, kind="string": F.get_json_object("value", path).cast(kind)
+    return last.select(
+        F.col("key").alias("match_id"), "kind", at("$.data.state_version", "long").alias("state_version"),
+        at("$.data.round_no", "int").alias("round_no"), at("$.data.phase").alias("phase"),
+        at("$.data.team_a.score", "long").alias("score_a"), at("$.data.team_b.score", "long").alias("score_b"),
+        at("$.data.team_a.id").alias("team_a_id"), r6(at("$.data.p_team_a_win", "double"), "p_team_a_win"),
+    )
 
 
 @query

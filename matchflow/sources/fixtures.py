@@ -171,9 +171,9 @@ def arrivals(stored: DataFrame) -> DataFrame:
     )
 
 
-def live(stored: DataFrame) -> DataFrame:
+def live(stored: DataFrame, lost: bool = True) -> DataFrame:
     """Events as if all matches ran at the same time: every 97th is lost, every 50th comes 5 seconds late."""
-    seen = with_no(stored).filter(F.col("event_no") % 97 != 0)
+    seen = with_no(stored).filter((F.col("event_no") % 97 != 0) | F.lit(not lost))
     before = START_MS + F.substring("match_id", 25, 12).cast("long") * 420_000
     event = F.unix_millis("ts_event") - before
     ingest = F.when(F.col("event_no") % 50 == 0, event + 5_000).otherwise(F.unix_millis("ts_ingest") - before)

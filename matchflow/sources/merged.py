@@ -64,7 +64,7 @@ class MergedTable:
         """Rows (with their month) of a batch; what the label held before is replaced."""
         (
             rows.select(*self.schema.names, "month", F.lit(label).alias("batch"))
-            .repartitionByRange("month", *self.sort)
+            .hint("rebalance", "month")  # few files for a small batch, no skewed ones for a large one
             .sortWithinPartitions("month", *self.sort)
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("month", "batch").parquet(self._delta())
@@ -93,10 +93,13 @@ class MergedTable:
         whole = [e for e in _folders(self.spark, at) if exists(self.spark, f"{at}/{e}/_SUCCESS")]
         return sorted(int(_value(e)) for e in whole)
 
+    def known_months(self) -> list[int]:
+        """Months that have a base."""
+        return sorted(int(_value(m)) for m in _folders(self.spark, f"{self.path}/base"))
+
     def base(self, months: list[int] | None = None) -> DataFrame:
         """The newest edition of each month."""
-        known = [int(_value(m)) for m in _folders(self.spark, f"{self.path}/base")]
-        newest = {m: self.editions(m)[-1:] for m in known if months is None or m in months}
+        newest = {m: self.editions(m)[-1:] for m in self.known_months() if months is None or m in months}
         paths = [f"{self.path}/base/month={m}/edition={e}" for m, last in newest.items() for e in last]
         return self._read(paths, "edition").drop("edition")
 

@@ -135,24 +135,28 @@ def sequence(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "sequence", job)
 
 
-def states(spark: SparkSession, sf_dir: str) -> str:
+def arrivals_folder(spark: SparkSession, sf_dir: str) -> str:
+    """All events in slices of intake time, all matches at once; every 50th comes 5 seconds late."""
+
     def job(out: str) -> None:
-        pl.use_rocksdb(spark)
-        rows = pl.state_stage(raw_stream(spark, sf_dir))
-        pl.drain(pl.start(rows, f"{out}/_ckpt/state", pl.state_views(out), trigger=NOW))
+        rows = tables.events(spark, sf_dir)
+        live = fx.live(rows, lost=False).select("event_id", F.unix_millis("ts_ingest").alias("_at"))
+        timed = cut(rows.select(*sc.RAW.names).join(live, "event_id"))
+        write = lambda df, path: df.drop("_at").repartition(FILES).write.parquet(path)
+        _write_slices(timed, F.col("_at"), out, write)
 
-    return _once(spark, sf_dir, "states", job)
+    return _once(spark, sf_dir, "arrivals", job)
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> str:
+def states(spark: SparkSession, sf_dir: str) -> str:
+    """States and predictions from events in order of arrival."""
+
     def job(out: str) -> None:
-        folder = f"{states(spark, sf_dir)}/state"
-        schema = spark.read.parquet(folder).drop("batch").schema
-        rows = spark.readStream.schema(schema).parquet(f"{folder}/batch=*")
-        sink = pl.batch_sink((f"{out}/predictions", lambda b: b))
-        pl.drain(pl.start(pl.limit_stage(rows), f"{out}/_ckpt", sink, trigger=NOW))
+        rows = spark.readStream.schema(sc.RAW).option("maxFilesPerTrigger", FILES).parquet(
+            f"{arrivals_folder(spark, sf_dir)}/slice=*")
+        pl.drain(pl.state_stage(rows, out, NOW))
 
-    return _once(spark, sf_dir, "predictions", job)
+    return _once(spark, sf_dir, "states", job)
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:

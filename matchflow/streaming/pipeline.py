@@ -15,12 +15,12 @@ from pyspark.sql import types as T
 
 from matchflow import schema as sc
 from matchflow.functions import bloom
-from matchflow.operators import intake, rollups, scoring
-from matchflow.operators.state import update_feed
+from matchflow.operators import intake, rollups
 from matchflow.session import cut
 from matchflow.sources import store
 from matchflow.sources.merged import MergedTable, exists
 from matchflow.streaming import processors as proc
+from matchflow.streaming.states import state_sink
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -254,36 +254,9 @@ def sequence_stage(events: DataFrame, skew: str = "10 seconds") -> DataFrame:
     )
 
 
-def state_stage(events: DataFrame) -> DataFrame:
-    """State of the match after each event."""
-    slim = events.select("match_id", "map_id", "event_id", "round_no", "type", "seq_no", "ts_event", "payload")
-    return proc.StateProcessor.apply(slim, "match_id")
-
-
-def nested(flat: DataFrame) -> DataFrame:
-    """Flat state rows with the team columns as structs, as scoring reads them."""
-
-    def team(t: str) -> Column:
-        names = [c for c in flat.columns if c.startswith(f"{t}_")]
-        return F.struct(*(F.col(c).alias(c[2:]) for c in names), F.lit(1000).alias("strength_rating"))
-
-    return flat.select("*", team("a").alias("team_a"), team("b").alias("team_b"))
-
-
-def limit_stage(states: DataFrame) -> DataFrame:
-    """Published probabilities from state rows; scoring itself is plain columns."""
-    scored = scoring.score(scoring.features(scoring.significant(nested(states))))
-    slim = scored.select("match_id", "state_version", "p_raw", F.unix_millis("ts_event").alias("ts_ms"))
-    return proc.LimitProcessor.apply(slim, "match_id")
-
-
-def state_views(out: str) -> Callable[[DataFrame, int], None]:
-    """State rows and their update feed."""
-
-    def feed(batch: DataFrame) -> DataFrame:
-        return update_feed(batch, "state", "ts_event", F.struct("state_version", "round_no", "phase"))
-
-    return batch_sink((f"{out}/state", _same), (f"{out}/updates", feed))
+def state_stage(events: DataFrame, out: str, trigger: dict | None = None, checkpoint: str | None = None):
+    """Events, in whatever order, to states, updates and predictions."""
+    return start(events, checkpoint or f"{out}/_ckpt", state_sink(out), trigger=trigger)
 
 
 def timeline_stage(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:

@@ -1,67 +1,24 @@
-"""Stateful processors: arrival order per shard, state per match, swing limit.
+"""Stateful processor of the order of arrival.
 
-Each keeps a small state per key, so a key's memory does not grow with its
-events. Rows of a key within a micro-batch are ordered first; the trigger's
+It keeps a small state per shard, so a shard's memory does not grow with its
+events. Rows of a shard within a micro-batch are ordered first; the trigger's
 file or offset limit bounds how many there are.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchflow import schema as sc
 from matchflow.functions import ordering as od
-from matchflow.operators.scoring import MOVE_BASE, MOVE_PER_SECOND, SWING_BASE, SWING_PER_SECOND
-
 
 HOUR_MS = 3_600_000
 
 
-class _Keyed:
-    """One JSON value per key; subclasses fold rows into it."""
-
-    ttl_ms = 24 * HOUR_MS
-    order: list[str] = []
-    columns: list[str] = []
-    schema = ""
-
-    @classmethod
-    def handle(cls, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            left = cls.leftover(key, json.loads(state.get[0])) if state.exists else []
-            state.remove()
-            yield pd.DataFrame(left, columns=cls.columns)
-            return
-        known = json.loads(state.get[0]) if state.exists else None
-        batch = pd.concat(list(rows)).sort_values(cls.order, kind="stable")
-        known, out = cls.fold(key, known, batch)
-        state.update((json.dumps(known),))
-        state.setTimeoutDuration(cls.ttl_ms)
-        yield pd.DataFrame(out, columns=cls.columns)
-
-    @classmethod
-    def apply(cls, stream: DataFrame, *keys: str) -> DataFrame:
-        return stream.groupBy(*keys).applyInPandasWithState(
-            cls.handle, cls.schema, "json string", "append", GroupStateTimeout.ProcessingTimeTimeout
-        )
-
-    @staticmethod
-    def fold(key: tuple, known: dict | None, batch: pd.DataFrame) -> tuple[dict, list[tuple]]:
-        raise NotImplementedError
-
-    @staticmethod
-    def leftover(key: tuple, known: dict) -> list[tuple]:
-        """Rows for what the state still holds when it is given up."""
-        return []
-
-
 class SequenceProcessor(StatefulProcessor):
     """Action and outcome of every event of a shard, as they settle.
 
@@ -123,114 +80,3 @@ class SequenceProcessor(StatefulProcessor):
             self.place.clear()
         yield self._frame(key, [w[0] for w in gone], [w[1] for w in gone], [w[2] for w in gone],
                           [od.EXPIRED] * len(gone))
-
-
-# What an event type sets anew for both teams, and the phase it leads to.
-_RESETS = {"match_start": ("maps_won", 0), "map_start": ("score", 0), "round_start": ("alive_count", sc.PLAYERS)}
-_PHASES = {
-    "round_start": "live", "bomb_planted": "bomb_planted", "bomb_defused": "ended", "bomb_exploded": "ended",
-    "round_end": "ended",
-}
-_OTHER = {"A": "B", "B": "A"}
-_TEAM_FIELDS = ["score", "maps_won", "money", "equipment_value", "consecutive_round_losses", "side", "alive_count"]
-
-
-def first_state(map_id: str, round_no: int, payload: dict) -> dict:
-    def team(t: str) -> dict:
-        return {
-            "id": payload.get(f"team_{t}_id") or t.upper(), "score": 0, "maps_won": 0, "money": 0,
-            "equipment_value": 0, "consecutive_round_losses": 0, "side": "CT", "alive_count": sc.PLAYERS,
-        }
-
-    return {"map_id": map_id, "round_no": round_no, "phase": "warmup", "bomb_planted": False, "seconds_remaining": 0,
-            "state_version": 0, "A": team("a"), "B": team("b")}
-
-
-def advance(state: dict, kind: str, map_id: str, round_no: int, payload: dict) -> None:
-    """Bring the state of a match up to one more event."""
-    teams = {t: state[t] for t in sc.TEAMS}
-    state["state_version"] += 1
-    state["round_no"] = 1 if kind == "map_start" else max(state["round_no"], round_no)
-    state["phase"] = _PHASES.get(kind, state["phase"])
-    if kind == "map_start":
-        state["map_id"] = map_id
-    if kind in _RESETS:
-        name, value = _RESETS[kind]
-        for team in teams.values():
-            team[name] = value
-    if kind in ("round_start", "bomb_planted"):
-        state["bomb_planted"] = kind == "bomb_planted"
-    if kind == "bomb_planted":
-        state["seconds_remaining"] = sc.BOMB_SECONDS
-    for t, team in teams.items():
-        prefix = f"team_{t.lower()}_"
-        if kind == "round_start":
-            team["side"] = payload.get(prefix + "side") or team["side"]
-        if kind == "economy_update":
-            for name, field in (("money", "econ"), ("equipment_value", "equipment_value")):
-                if isinstance(payload.get(prefix + field), (int, float)):
-                    team[name] = int(payload[prefix + field])
-    victim, winner = payload.get("victim_team"), payload.get("winner_team")
-    if kind == "kill" and victim in teams:
-        teams[victim]["alive_count"] = max(0, teams[victim]["alive_count"] - 1)
-    if kind == "map_end" and winner in teams:
-        teams[winner]["maps_won"] += 1
-    if kind == "round_end" and winner in teams:
-        teams[winner]["score"] += 1
-        teams[winner]["consecutive_round_losses"] = 0
-        teams[_OTHER[winner]]["consecutive_round_losses"] += 1
-
-
-class StateProcessor(_Keyed):
-    """The state of a match after each of its events."""
-
-    order = ["seq_no", "ts_event", "event_id"]
-    columns = [
-        "match_id", "event_id", "type", "seq_no", "ts_event", "map_id", "state_version", "round_no", "phase",
-        "bomb_planted", "seconds_remaining", *(f"{t}_{f}" for t in "ab" for f in ["id", *_TEAM_FIELDS]),
-    ]
-    schema = (
-        "match_id string, event_id string, type string, seq_no long, ts_event timestamp, map_id string, "
-        "state_version long, round_no int, phase string, bomb_planted boolean, seconds_remaining int, "
-        + ", ".join(
-            f"{t}_id string, {t}_score long, {t}_maps_won long, {t}_money long, {t}_equipment_value long, "
-            f"{t}_consecutive_round_losses long, {t}_side string, {t}_alive_count long"
-            for t in "ab"
-        )
-    )
-
-    @staticmethod
-    def fold(key, known, batch):
-        out = []
-        for r in batch.itertuples(index=False):
-            payload = json.loads(r.payload) if r.payload else {}
-            known = known or first_state(r.map_id, int(r.round_no), payload)
-            advance(known, r.type, r.map_id, int(r.round_no), payload)
-            shared = [known[c] for c in ("map_id", "state_version", "round_no", "phase", "bomb_planted",
-                                         "seconds_remaining")]
-            teams = [known[t][f] for t in sc.TEAMS for f in ["id", *_TEAM_FIELDS]]
-            out.append((*key, r.event_id, r.type, r.seq_no, r.ts_event, *shared, *teams))
-        return known, out
-
-
-class LimitProcessor(_Keyed):
-    """Published probability of each scored row, limited against the last one."""
-
-    order = ["state_version"]
-    columns = ["match_id", "state_version", "p_team_a_win"]
-    schema = "match_id string, state_version long, p_team_a_win double"
-
-    @staticmethod
-    def fold(key, known, batch):
-        out = []
-        for r in batch.itertuples(index=False):
-            p, now = float(r.p_raw), int(r.ts_ms)
-            if known and now > known["ms"]:
-                dt = (now - known["ms"]) / 1000
-                gap, allowed = p - known["p"], dt * MOVE_PER_SECOND + MOVE_BASE
-                if abs(gap) > max(dt * SWING_PER_SECOND + SWING_BASE, allowed):
-                    moved = known["p"] + (allowed if gap > 0 else -allowed)
-                    p = min(0.99, max(0.01, moved))
-            known = {"p": p, "ms": now}
-            out.append((*key, int(r.state_version), p))
-        return known, out

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from matchflow.operators import dead_letter, dedup, evaluation, rollups, scoring
 from matchflow.operators import state as st
+from matchflow import schema as sc
 from matchflow.schema import RAW
-from matchflow.streaming import processors as proc
 
 A, B = "team-a", "team-b"
 IDS = {"team_a_id": A, "team_b_id": B}
@@ -100,17 +100,110 @@ def test_stats(golden):
     assert (report[2].win_reason, report[3].first_blood_player) == ("bomb_defused", "B1")
 
 
-def test_batch_state_equals_streamed_fold(golden):
-    known, flat = None, []
-    for r in sorted(golden.collect(), key=lambda r: r.seq_no):
+# What an event type sets anew for both teams, and the phase it leads to.
+_RESETS = {"match_start": ("maps_won", 0), "map_start": ("score", 0), "round_start": ("alive_count", sc.PLAYERS)}
+_PHASES = {
+    "round_start": "live", "bomb_planted": "bomb_planted", "bomb_defused": "ended", "bomb_exploded": "ended",
+    "round_end": "ended",
+}
+_OTHER = {"A": "B", "B": "A"}
+
+
+def first_state(map_id: str, round_no: int, payload: dict) -> dict:
+    def team(t: str) -> dict:
+        return {
+            "id": payload.get(f"team_{t}_id") or t.upper(), "score": 0, "maps_won": 0, "money": 0,
+            "equipment_value": 0, "consecutive_round_losses": 0, "side": "CT", "alive_count": sc.PLAYERS,
+        }
+
+    return {"map_id": map_id, "round_no": round_no, "phase": "warmup", "bomb_planted": False, "seconds_remaining": 0,
+            "state_version": 0, "A": team("a"), "B": team("b")}
+
+
+def advance(state: dict, kind: str, map_id: str, round_no: int, payload: dict) -> None:
+    """Bring the state of a match up to one more event."""
+    teams = {t: state[t] for t in sc.TEAMS}
+    state["state_version"] += 1
+    state["round_no"] = 1 if kind == "map_start" else max(state["round_no"], round_no)
+    state["phase"] = _PHASES.get(kind, state["phase"])
+    if kind == "map_start":
+        state["map_id"] = map_id
+    if kind in _RESETS:
+        name, value = _RESETS[kind]
+        for team in teams.values():
+            team[name] = value
+    if kind in ("round_start", "bomb_planted"):
+        state["bomb_planted"] = kind == "bomb_planted"
+    if kind == "bomb_planted":
+        state["seconds_remaining"] = sc.BOMB_SECONDS
+    for t, team in teams.items():
+        prefix = f"team_{t.lower()}_"
+        if kind == "round_start":
+            team["side"] = payload.get(prefix + "side") or team["side"]
+        if kind == "economy_update":
+            for name, field in (("money", "econ"), ("equipment_value", "equipment_value")):
+                if isinstance(payload.get(prefix + field), (int, float)):
+                    team[name] = int(payload[prefix + field])
+    victim, winner = payload.get("victim_team"), payload.get("winner_team")
+    if kind == "kill" and victim in teams:
+        teams[victim]["alive_count"] = max(0, teams[victim]["alive_count"] - 1)
+    if kind == "map_end" and winner in teams:
+        teams[winner]["maps_won"] += 1
+    if kind == "round_end" and winner in teams:
+        teams[winner]["score"] += 1
+        teams[winner]["consecutive_round_losses"] = 0
+        teams[_OTHER[winner]]["consecutive_round_losses"] += 1
+
+
+def flat_state(r):
+    return (r.state_version, r.round_no, r.phase, r.map_id, r.bomb_planted, r.seconds_remaining, *(
+        getattr(t, f) for t in (r.team_a, r.team_b)
+        for f in ("id", "score", "maps_won", "money", "equipment_value", "consecutive_round_losses", "side", "alive_count")))
+
+
+def folded_state(events):
+    known, out = None, {}
+    for r in sorted(events, key=lambda r: r.seq_no):
         payload = json.loads(r.payload)
-        known = known or proc.first_state(r.map_id, r.round_no, payload)
-        proc.advance(known, r.type, r.map_id, r.round_no, payload)
-        flat.append((known["state_version"], known["round_no"], known["phase"], known["A"]["score"],
-                     known["B"]["alive_count"], known["A"]["consecutive_round_losses"], known["B"]["money"]))
-    rows = st.match_state(golden, chunk_rows=4).orderBy("seq_no").collect()
-    assert [(r.state_version, r.round_no, r.phase, r.team_a.score, r.team_b.alive_count,
-             r.team_a.consecutive_round_losses, r.team_b.money) for r in rows] == flat
+        known = known or first_state(r.map_id, r.round_no, payload)
+        advance(known, r.type, r.map_id, r.round_no, payload)
+        out[r.seq_no] = (
+            known["state_version"], known["round_no"], known["phase"], known["map_id"], known["bomb_planted"],
+            known["seconds_remaining"], *(known[t][f] for t in "AB" for f in (
+                "id", "score", "maps_won", "money", "equipment_value", "consecutive_round_losses", "side", "alive_count")))
+    return out
+
+
+def test_batch_state_equals_the_fold(golden):
+    rows = st.match_state(golden, chunk_rows=4).collect()
+    assert {r.seq_no: flat_state(r) for r in rows} == folded_state(golden.collect())
+
+
+@pytest.mark.parametrize("cut", [1, 3, 8, 12])
+def test_state_goes_on_from_an_earlier_one(golden, cut):
+    """Events after a cut, put on the state before it, give what all events give."""
+    extra = golden.withColumns({
+        "match_id": F.lit("n"), "event_id": F.concat(F.lit("n"), "event_id"),
+        "type": F.when(F.col("seq_no") == 6, "map_start").when(F.col("seq_no") == 11, "match_start").when(
+            F.col("seq_no").isin(5, 9), "map_end").otherwise(F.col("type")),
+    })
+    both = golden.unionByName(extra)
+    whole = {(r.match_id, r.seq_no): flat_state(r) for r in st.match_state(both).collect()}
+    first = st.match_state(both.filter(F.col("seq_no") <= cut))
+    later = st.match_state(both.filter(F.col("seq_no") > cut), before=st.final_state(first).select(*first.columns))
+    assert {(r.match_id, r.seq_no): flat_state(r) for r in later.collect()} == {k: v for k, v in whole.items() if k[1] > cut}
+    assert {k: v for k, v in whole.items() if k[0] == "n"} == {
+        ("n", k): v for k, v in folded_state(extra.collect()).items()}
+
+
+def test_limiter_goes_on_from_an_earlier_value(spark):
+    rows = wild(spark, 60).cache()
+    whole = {r.state_version: r.p_team_a_win for r in scoring.limit_swing(rows).collect()}
+    first = scoring.limit_swing(rows.filter("state_version <= 33"))
+    before = first.filter("state_version = 33").select("match_id", F.unix_millis("ts_event").alias("ms"), F.col("p_team_a_win").alias("p"))
+    later = scoring.limit_swing(rows.filter("state_version > 33"), chunk_rows=9, before=before).collect()
+    assert len(later) == 26
+    assert all(r.p_team_a_win == pytest.approx(whole[r.state_version]) for r in later)
 
 
 def test_streaks_and_ratings(spark, golden):

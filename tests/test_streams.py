@@ -1,34 +1,61 @@
 """Streams across micro-batches and restarts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
+from matchflow import schema as sc
 from matchflow.functions import running as run
-from matchflow.operators import sequence
+from matchflow.operators import scoring, sequence
+from matchflow.operators import state as st
 from matchflow.plans import tables
 from matchflow.sources import fixtures as fx
 from matchflow.streaming import jobs
 from matchflow.streaming import pipeline as pl
+from matchflow.streaming.states import StateTables, state_sink
 
 SF = f"{DATA}/sf0.001"
 NOW = {"availableNow": True}
 
 
-def test_restart_goes_on_from_the_checkpoint(spark, tmp_path):
-    """New files after a stop: state carries on, nothing is read twice."""
-    raw = tables.events(spark, SF).select("event_id", "match_id", "map_id", "round_no", "type", "seq_no", "ts_event",
-                                          "payload").cache()
+def flat(rows):
+    return {r.event_id: (r.state_version, r.round_no, r.phase, r.team_a, r.team_b) for r in rows.collect()}
+
+
+def test_late_events_correct_states_and_predictions(spark, tmp_path):
+    """Every third event comes in a second run, after all others: the end is that of the batch form."""
+    raw = tables.events(spark, SF).filter("match_id < '00000000-0000-4000-8000-000000000006'").select(*sc.RAW.names).cache()
     source, out = f"{tmp_path}/in", f"{tmp_path}/out"
-    for part in ("seq_no <= 20", "seq_no > 20"):
-        raw.filter(part).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(raw.schema).parquet(source)
-        pl.drain(pl.start(pl.state_stage(stream), f"{out}/_ckpt", pl.state_views(out), trigger=NOW))
-    rows = spark.read.parquet(f"{out}/state")
-    assert rows.count() == raw.count()
-    last = {r.match_id: r.v for r in rows.groupBy("match_id").agg(F.max("state_version").alias("v")).collect()}
-    assert last == {r.match_id: r.n for r in raw.groupBy("match_id").agg(F.count("*").alias("n")).collect()}
-    feed = spark.read.parquet(f"{out}/updates")
-    assert feed.count() == raw.count()
+    for late in (False, True):
+        raw.filter((F.crc32("event_id") % 3 == 0) == late).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(sc.RAW).parquet(source)
+        pl.drain(pl.state_stage(stream, out, NOW))
+    kept = StateTables(spark, out)
+    states = st.match_state(raw).cache()
+    assert flat(kept.states.read()) == flat(states)
+    want = {r.trigger_event_id: (r.state_version, r.p_team_a_win, r.odds_a) for r in scoring.predictions(states).collect()}
+    got = {r.trigger_event_id: (r.state_version, pytest.approx(r.p_team_a_win), pytest.approx(r.odds_a))
+           for r in kept.predictions.read().collect()}
+    assert want == got
+    assert kept.states.deltas().count() > raw.count()  # corrections were written
+
+
+def test_a_batch_done_again_changes_nothing(spark, tmp_path):
+    """Chunks of few numbers, a batch that fails after its writes and comes again, a late event behind all."""
+    raw = tables.events(spark, SF).filter("match_id < '00000000-0000-4000-8000-000000000003'").select(*sc.RAW.names).cache()
+    sink = state_sink(f"{tmp_path}", chunk_rows=8)
+    name = "sql.streaming.queryId"
+    try:
+        spark.sparkContext.setLocalProperty(name, "q")
+        for batch, part in ((0, "seq_no <> 5"), (1, "seq_no = 5"), (1, "seq_no = 5")):
+            sink(raw.filter(part), batch)
+    finally:
+        spark.sparkContext.setLocalProperty(name, None)
+    kept = StateTables(spark, f"{tmp_path}")
+    want = flat(st.match_state(raw))
+    assert flat(kept.states.read()) == want
+    kept.states.compact()
+    assert flat(kept.states.read()) == want
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):
