@@ -218,23 +218,30 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, **r
     return joined.select(*df.columns, *(p.result.alias(name) for name, p in parts.items()))
 
 
-def sliding(df: DataFrame, keys: list[str], along: str, width: int, **aggs: Column) -> DataFrame:
-    """Aggregates over rows of the key with ``along`` in ``(x - width, x]``.
-
-    A row is also copied into the next stretch of ``width``, so each stretch
-    holds all it needs and a busy key spreads over as many tasks as it has
-    stretches.
+def sliding(df: DataFrame, keys: list[str], along: str, width: int, **values: Column) -> DataFrame:
+    """Sums over rows of the key with ``along`` (a whole number) in ``(x - width, x]``, at every row.
+
+    Values are summed per place. A sum enters at its place and leaves ``width``
+    later, so the sum within the width is a running sum of what comes and goes:
+    linear in the places, whatever the width, and spread by chunks of
+    ``CHUNK_ROWS`` places. Null keys count as a key of their own; a row without a
+    place has no sum. Values should be whole numbers, which sum exactly.
     """
-    home = F.floor(F.col(along) / width)
-    spread = df.withColumn("__home", home).withColumn(
-        "__stretch", F.explode(F.array(F.col("__home"), F.col("__home") + 1))
-    )
-    frame = Window.partitionBy(*keys, "__stretch").orderBy(along).rangeBetween(-(width - 1), 0)
-    return (
-        spread.withColumns({name: agg.over(frame) for name, agg in aggs.items()})
-        .filter("__home = __stretch")
-        .drop("__home", "__stretch")
-    )
+    names = {k: f"__k_{k}" for k in keys}
+    held = [*names.values(), "__at"]
+    per_place = df.filter(F.col(along).isNotNull()).groupBy(
+        *(F.struct(F.col(k).alias("v")).alias(n) for k, n in names.items()), F.col(along).cast("long").alias("__at")
+    ).agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in values.items()))
+    gone = per_place.select(*names.values(), (F.col("__at") + width).alias("__at"),
+                            *((-F.col(v)).alias(v) for v in values), F.lit(False).alias("__here"))
+    both = per_place.withColumn("__here", F.lit(True)).unionByName(gone)
+    change = both.groupBy(*held).agg(*(F.sum(v).alias(v) for v in values), F.max("__here").alias("__here"))
+    summed = running(change, list(names.values()), ["__at"], F.floor(F.col("__at") / CHUNK_ROWS),
+                     **{f"__sum_{v}": total(F.col(v)) for v in values})
+    found = summed.filter("__here").select(
+        *(F.col(n)["v"].alias(k) for k, n in names.items()), F.col("__at").alias(along),
+        *(F.col(f"__sum_{v}").alias(v) for v in values))
+    return join_null_safe(df, found, [*keys, along])
 
 
 def value_band(value: Column) -> Column:

@@ -276,7 +276,7 @@ def round_enriched(raw: DataFrame, last_rounds: int = 5) -> DataFrame:
         fields=["team_a_econ", "team_b_econ"],
     )
     balance = F.when(F.col("round_winner") == "A", 1).when(F.col("round_winner") == "B", -1).otherwise(0)
-    moved = run.sliding(rounds, ["match_id", "map_id"], "round_no", last_rounds, _balance=F.sum(balance))
+    moved = run.sliding(rounds, ["match_id", "map_id"], "round_no", last_rounds, _balance=balance)
     zero = F.lit(0).cast("long")
     return moved.withColumns({
         "team_a_econ": F.coalesce("team_a_econ", zero),

@@ -30,7 +30,7 @@ def api_usage(log: DataFrame, exact: bool = True) -> DataFrame:
 
 def sliding_rate(log: DataFrame, window_ms: int = 60_000) -> DataFrame:
     """Requests of the client in the ``window_ms`` up to each request."""
-    return run.sliding(log, ["client_id"], "ts_ms", window_ms, requests_in_window=F.count(F.lit(1)))
+    return run.sliding(log, ["client_id"], "ts_ms", window_ms, requests_in_window=F.lit(1))
 
 
 def quota_usage(log: DataFrame, clients: DataFrame) -> DataFrame:

@@ -765,7 +765,7 @@ ORACLE["stream_state"] = ORACLE["match_state"]
 ORACLE["stream_timeline"] = ORACLE["match_timeline"]
 ORACLE["stream_round_metrics"] = ORACLE["round_metrics"]
 ORACLE["prediction_stream"] = ORACLE["limited_prediction"]
-_AMERICAN = "CAST(floor(CASE WHEN {0} >= 2 THEN ({0} - 1) * 100 ELSE -100 / ({0} - 1) END + 0.5) AS BIGINT)"
+_AMERICAN = "CAST(floor(CASE WHEN {0} = 1 THEN NULL WHEN {0} >= 2 THEN ({0} - 1) * 100 ELSE -100 / ({0} - 1) END + 0.5) AS BIGINT)"
 ORACLE["stream_prediction_table"] = pred(f"""
     , o AS (SELECT *, round(1 / (p_team_a_win * 1.06::DOUBLE), 3) AS oa, round(1 / (p_team_b_win * 1.06::DOUBLE), 3) AS ob
       FROM pr)

@@ -85,23 +85,30 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
         session.shared_folder(Cluster())
 
 
-def test_waiting_events_are_told_when_their_state_is_given_up():
-    import json
-
+def test_waiting_events_are_told_when_their_time_is_over():
     from matchflow.streaming.processors import SequenceProcessor
 
-    class State:
-        hasTimedOut = exists = True
-        get = (json.dumps({"last": 3, "waiting": [[7, 10, ["e7", 7]], [5, 10, ["e5", 5]]], "clock": 10}),)
-        removed = False
+    class Cell:
+        def __init__(self, held):
+            self.held = held
+
+        def get(self):
+            return self.held
+
+        put = update = lambda self, held: setattr(self, "held", held)
+        clear = lambda self: setattr(self, "held", None)
+        exists = lambda self: self.held is not None
 
-        def remove(self):
-            self.removed = True
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 2011
 
-    state = State()
-    (rows,) = SequenceProcessor.handle(("m", "p"), iter([]), state)
-    assert state.removed
-    assert rows.values.tolist() == [["m", "p", "e5", 5, "buffer", "expired"], ["m", "p", "e7", 7, "buffer", "expired"]]
+    shard = SequenceProcessor()
+    shard.place, shard.waiting = Cell((3, 7, 10)), Cell([(7, 10, "e7"), (5, 10, "e5"), (6, 11, "e6")])
+    (rows,) = shard.handleExpiredTimer(("m", "p"), Now(), None)
+    assert sorted(rows.values.tolist()) == [
+        ["m", "p", "e5", 5, "buffer", "expired", 10], ["m", "p", "e7", 7, "buffer", "expired", 10]]
+    assert shard.waiting.held == [(6, 11, "e6")] and shard.place.exists()
 
 
 def test_time_ranges_read_their_months_only(spark, tmp_path):

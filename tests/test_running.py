@@ -79,11 +79,21 @@ def test_running_equals_plain_window(rows, size, names):
     assert not wrong
 
 
-def test_sliding_equals_range_frame(rows):
+@pytest.mark.parametrize("size", [7, 50_000])
+def test_sliding_equals_range_frame(spark, rows, monkeypatch, size):
+    """Peers, far gaps, negative places, null keys and values, rows without a place."""
+    monkeypatch.setattr(run, "CHUNK_ROWS", size)
+    n = F.col("pos")
+    more = rows.select("key", F.when(n % 11 == 0, n * 1000).otherwise(F.floor(n / 3) - 40).alias("pos"), "v").unionByName(
+        spark.createDataFrame([(None, 5, 1), (None, 6, 2), (None, 99, 3), (1, None, 4), (None, None, 5)], "key int, pos long, v int"))
     w = Window.partitionBy("key").orderBy("pos").rangeBetween(-12, 0)
-    want = {tuple(r) for r in rows.select("key", "pos", F.sum("v").over(w), F.count("*").over(w)).collect()}
-    got = run.sliding(rows, ["key"], "pos", 13, s=F.sum("v"), n=F.count(F.lit(1))).select("key", "pos", "s", "n")
-    assert {tuple(r) for r in got.collect()} == want
+    placed = more.filter("pos IS NOT NULL")
+    want = placed.select("key", "pos", F.coalesce(F.sum("v").over(w), F.lit(0)), F.count("*").over(w)).collect()
+    got = run.sliding(more, ["key"], "pos", 13, s=F.col("v"), n=F.lit(1))
+    have = got.filter("pos IS NOT NULL").select("key", "pos", "s", "n").collect()
+    assert sorted(str(tuple(r)) for r in have) == sorted(str(tuple(r)) for r in want)
+    assert got.count() == len(want) + 2 and got.filter("pos IS NULL AND n IS NULL").count() == 2
+    assert "RangeFrame" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_exact_quantiles(rows):
