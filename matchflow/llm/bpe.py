@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import ready, scratch, slices_of, table, whole_text
+from matchflow.llm.common import ready, scratch, slices_of, table, tidy, whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk: what a task holds decoded at a time. One longer text is a chunk by itself.
@@ -141,6 +141,7 @@ class _Chunk:
 
 
 def _splitter(slices: int):
+    @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, chunk = TaskContext.get().partitionId(), 0, _Chunk()
         for batch in batches:
@@ -167,6 +168,7 @@ def _row(chunk: int, part: int, keys: bytes, body: bytes) -> pa.RecordBatch:
 def _encoder(path: str):
     """Rows of words in, the same rows with ids out; a word met before is not encoded again."""
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = encoding_of(path)._core_bpe.encode_single_piece
         ranks = ranks_of(path)
@@ -246,6 +248,7 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text") ->
 
 
 def _decoder(path: str):
+    @tidy
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = token_bytes_of(path).__getitem__
         for batch in batches:
@@ -267,6 +270,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _digester(path: str):
+    @tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digit, joined = digits_of(path).__getitem__, token_bytes_of(path).__getitem__
         for batch in batches:
@@ -297,6 +301,7 @@ def with_digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Encoded documents with the columns of ``digests`` beside their ids."""
     path = path or public_tokenizers.path(VOCABULARY)
 
+    @tidy
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for out in _digester(path)(iter([batch])):

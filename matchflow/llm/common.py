@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +71,29 @@ def batches_of(rows: Iterable, size: int):
         yield held
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system; workers outlive their tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library keeps house by itself
+        pass
+
+
+def tidy(work: Callable) -> Callable:
+    """A function over the batches of a task that gives memory back when the task is through with it."""
+
+    @functools.wraps(work)
+    def run(*args):
+        try:
+            yield from work(*args)
+        finally:
+            give_back()
+
+    return run
+
+
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

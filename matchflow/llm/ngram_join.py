@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import planned_bytes, ready, slices_of, stored, table, whole_text
+from matchflow.llm.common import planned_bytes, ready, slices_of, stored, table, tidy, whole_text
 from matchflow.llm.components import components
 
 #: Words of a shingle, and the least Jaccard similarity of a link in percent.
@@ -137,6 +137,7 @@ def _dealer(slices: int, bits: int, width: int):
     the document's number goes with it; otherwise it counts as shared already.
     """
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shingler = TaskContext.get().partitionId(), Shingler(width)
         held, chars = [], 0
@@ -249,6 +250,7 @@ def covered(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 def _node_maker(width: int, keys: int):
     seeds = mixed(np.arange(1, keys + 1, dtype=np.uint64))
 
+    @tidy
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
@@ -274,6 +276,7 @@ def linked(overlap, n, m, percent: int):
 
 
 def _pair_checker(percent: int):
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -290,6 +293,7 @@ def _pair_checker(percent: int):
 def _opener(percent: int):
     """Groups and queries in, links between their clusters out: a spanning set of those that hold."""
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members, queries in zip(batch.column("members"), batch.column("queries")):
@@ -358,6 +362,7 @@ def count_group(members: list[dict], queries: list[dict], percent: int, inside:
 def _counter(percent: int):
     """Slices of a cluster in, each query's links within the cluster out."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members, queries in zip(batch.column("members"), batch.column("queries")):
@@ -371,6 +376,7 @@ def _counter(percent: int):
 def _opening_counter(percent: int):
     """As _opener, and each query's links with other clusters, from one pass: a and b, or id and n_links."""
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members, queries in zip(batch.column("members"), batch.column("queries")):
@@ -475,6 +481,7 @@ def _counted_links(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     return opened.filter("a is not null").select("a", "b"), counts.groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
 
+@tidy
 def _unpacker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         numbers, sizes, clusters = (batch.column(c).to_numpy() for c in ("id", "n", "cluster"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import ready, table, whole_text
+from matchflow.llm.common import ready, table, tidy, whole_text
 
 #: Labelled rows that the lexicon and the weights are fitted on at most: the first by a hash of doc_id.
 TRAINING_ROWS = 20_000
@@ -311,6 +311,7 @@ def _features_udf(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<int>")
+    @tidy
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = matcher_of(shared.value)
         for texts in batches:
@@ -324,6 +325,7 @@ def scorer(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @tidy
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         matcher, known = matcher_of(own), {}
