@@ -249,32 +249,5 @@ def value_band(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * 32).cast("long")
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles per group without holding a group in one task.
-
-    Equal values are counted first (combined before the shuffle); ranks then
-    come from running totals over bands of the value.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__n"))
-    ranked = running(
-        counts, groups, [value], value_band(F.col(value)), __cum=total(F.col("__n")), __size=whole(F.col("__n"))
-    )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("__cum") - F.col("__n")) & (rank < F.col("__cum")), F.col(value)))
-
-    picks, outs = [], []
-    for name, q in quantiles.items():
-        position = (F.col("__size") - 1) * F.lit(float(q))
-        picks += [
-            at(F.floor(position)).alias(f"__lo_{name}"),
-            at(F.ceil(position)).alias(f"__hi_{name}"),
-            F.max(position - F.floor(position)).alias(f"__part_{name}"),
-        ]
-        low, high, part = (F.col(f"__{p}_{name}") for p in ("lo", "hi", "part"))
-        outs.append((low + (high - low) * part).alias(name))
-    return ranked.groupBy(*groups).agg(*picks).select(*groups, *outs)
-
-
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchflow import schema as sc
+from matchflow.functions import quantiles as qt
 from matchflow.functions.joins import join_null_safe
-from matchflow.functions.running import exact_quantiles
 from matchflow.functions.scalars import count_if, error_status, latency_status
+from matchflow.session import cut
 
 HOUR_MS = 3_600_000
 
@@ -17,27 +18,46 @@ def bucket_ms(ts_ms: str, width_ms: int) -> Column:
     return (F.floor(F.col(ts_ms) / width_ms) * width_ms).cast("long")
 
 
-def _quantiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, float], exact: bool) -> DataFrame:
-    """Exact interpolated quantiles, or a sketch of bounded size per group."""
+def latency_partials(log: DataFrame, width_ms: int = 60_000) -> DataFrame:
+    """How often each latency occurs per time bucket: one scan of the log, kept as a table."""
+    rows = log.select(bucket_ms("ts_ms", width_ms).alias("bucket_ms"), "e2e_ms")
+    return cut(qt.partials(rows, ["bucket_ms"], "e2e_ms"))
+
+
+def latency_sketch(parts: DataFrame, width_ms: int = 60_000) -> DataFrame:
+    """Sketch per time bucket, from partials or from a sketch of narrower buckets whose width divides this one."""
+    wider = parts.withColumn("bucket_ms", bucket_ms("bucket_ms", width_ms))
+    return qt.merge(wider, ["bucket_ms"]) if "low" in parts.columns else qt.bands(wider, ["bucket_ms"], "e2e_ms")
+
+
+def _quantiles(parts: DataFrame, groups: list[str], value: str, wanted: dict[str, float], exact: bool) -> DataFrame:
+    """Exact interpolated quantiles, or those of the sketch."""
     if exact:
-        return exact_quantiles(df, groups, value, wanted)
-    return df.groupBy(*groups).agg(
-        *(F.percentile_approx(value, q, 10_000).alias(name) for name, q in wanted.items())
-    )
+        return qt.exact(parts, groups, value, wanted)
+    return qt.approx(qt.bands(parts, groups, value), groups, wanted)
+
+
+def _objective(parts: DataFrame, threshold_ms: float) -> DataFrame:
+    """Events, how many met the objective, and the maximum per bucket; a missing latency did not meet it."""
+    met = F.coalesce(F.sum(F.when(F.col("e2e_ms") <= threshold_ms, F.col("n"))), F.lit(0).cast("long"))
+    return parts.groupBy("bucket_ms").agg(
+        F.sum("n").alias("total_events"), met.alias("met_slo"), F.max("e2e_ms").alias("max_ms")
+    ).withColumn("slo_percentage", F.col("met_slo") / F.col("total_events") * 100)
 
 
 def latency_slo(
     log: DataFrame, width_ms: int = 60_000, threshold_ms: float = sc.LATENCY_TARGET_MS, exact: bool = True
 ) -> DataFrame:
     """Per time bucket: events, how many met the objective, quantiles, maximum; buckets without a latency stay."""
-    rows = log.withColumn("bucket_ms", bucket_ms("ts_ms", width_ms))
-    met = F.count_if(F.col("e2e_ms") <= threshold_ms)
-    totals = rows.groupBy("bucket_ms").agg(
-        F.count("*").alias("total_events"), met.alias("met_slo"),
-        (met / F.count("*") * 100).alias("slo_percentage"), F.max("e2e_ms").alias("max_ms"),
-    )
+    parts = latency_partials(log, width_ms)
     wanted = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
-    return join_null_safe(totals, _quantiles(rows, ["bucket_ms"], "e2e_ms", wanted, exact), ["bucket_ms"])
+    quantiles = _quantiles(parts, ["bucket_ms"], "e2e_ms", wanted, exact)
+    return join_null_safe(_objective(parts, threshold_ms), quantiles, ["bucket_ms"])
+
+
+def latency_rollup(minutes: DataFrame, width_ms: int, wanted: dict[str, float]) -> DataFrame:
+    """Quantiles of wider buckets from the stored sketch of each minute; no event is read."""
+    return qt.approx(latency_sketch(minutes, width_ms), ["bucket_ms"], wanted)
 
 
 def stage_latency(log: DataFrame, exact: bool = True) -> DataFrame:
@@ -46,18 +66,16 @@ def stage_latency(log: DataFrame, exact: bool = True) -> DataFrame:
         F.struct(F.lit(s).alias("stage"), F.col(f"{s}_ms").alias("ms")) for s in ("ingest", "queue", "state", "predict")
     ))
     long = log.select(F.explode(stages).alias("e")).select("e.*")
-    return _quantiles(long, ["stage"], "ms", {"p95_ms": 0.95}, exact)
+    return _quantiles(cut(qt.partials(long, ["stage"], "ms")), ["stage"], "ms", {"p95_ms": 0.95}, exact)
 
 
 def slo_status(log: DataFrame, width_ms: int = 300_000, threshold_ms: float = sc.LATENCY_TARGET_MS,
                exact: bool = True) -> DataFrame:
     """Share of events within the objective and status per window."""
-    rows = log.withColumn("bucket_ms", bucket_ms("ts_ms", width_ms))
-    share = rows.groupBy("bucket_ms").agg(
-        F.count("*").alias("events"),
-        (F.count_if(F.col("e2e_ms") <= threshold_ms) / F.count("*") * 100).alias("compliance_percent"),
-    )
-    p95 = _quantiles(rows, ["bucket_ms"], "e2e_ms", {"p95_ms": 0.95}, exact)
+    parts = latency_partials(log, width_ms)
+    share = _objective(parts, threshold_ms).select(
+        "bucket_ms", F.col("total_events").alias("events"), F.col("slo_percentage").alias("compliance_percent"))
+    p95 = _quantiles(parts, ["bucket_ms"], "e2e_ms", {"p95_ms": 0.95}, exact)
     return join_null_safe(share, p95, ["bucket_ms"]).withColumn("status", latency_status(F.col("p95_ms")))
 
 

@@ -6,26 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchflow import schema as sc
+from matchflow.functions import quantiles as qt
 from matchflow.functions import running as run
 from matchflow.functions.joins import join_null_safe
+from matchflow.session import cut
 
 
 def api_usage(log: DataFrame, exact: bool = True) -> DataFrame:
-    """Calls, status mix and latency quantiles per client and action; groups without any latency or key stay."""
+    """Calls, status mix and latency quantiles per client and action; groups without any latency or key stay.
+
+    The log is read once, into partials per client, action and latency.
+    """
     keys = ["client_id", "action"]
     code = F.col("status_code")
-    totals = log.groupBy(*keys).agg(
-        F.count("*").alias("calls"),
-        F.count_if(code < 400).alias("ok"),
-        F.count_if((code >= 400) & (code < 500)).alias("client_errors"),
-        F.count_if(code >= 500).alias("server_errors"),
-        F.avg("latency_ms").alias("avg_ms"),
+    parts = cut(qt.partials(
+        log, keys, "latency_ms", ok=F.when(code < 400, 1).otherwise(0),
+        client_errors=F.when((code >= 400) & (code < 500), 1).otherwise(0),
+        server_errors=F.when(code >= 500, 1).otherwise(0),
+    ))
+    timed = F.when(F.col("latency_ms").isNotNull(), F.col("n"))
+    totals = parts.groupBy(*keys).agg(
+        F.sum("n").alias("calls"), *(F.sum(c).alias(c) for c in ("ok", "client_errors", "server_errors")),
+        F.try_divide(F.sum(F.col("latency_ms") * timed), F.sum(timed)).alias("avg_ms"),
     )
     wanted = {"p50_ms": 0.5, "p95_ms": 0.95}
-    if exact:
-        return join_null_safe(totals, run.exact_quantiles(log, keys, "latency_ms", wanted), keys)
-    sketches = log.groupBy(*keys).agg(*(F.percentile_approx("latency_ms", q, 10_000).alias(n) for n, q in wanted.items()))
-    return join_null_safe(totals, sketches, keys)
+    found = qt.exact(parts, keys, "latency_ms", wanted) if exact else qt.approx(
+        qt.bands(parts, keys, "latency_ms"), keys, wanted)
+    return join_null_safe(totals, found, keys)
 
 
 def sliding_rate(log: DataFrame, window_ms: int = 60_000) -> DataFrame:

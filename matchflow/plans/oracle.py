@@ -730,6 +730,18 @@ for _name, _width in (("latency_slo", 3_600_000), ("latency_slo_minute", 60_000)
             AS slo_percentage, round(quantile_cont(e2e_ms, 0.5), 6) AS p50_ms, round(quantile_cont(e2e_ms, 0.95), 6)
             AS p95_ms, round(quantile_cont(e2e_ms, 0.99), 6) AS p99_ms, round(max(e2e_ms), 6) AS max_ms
         FROM lat GROUP BY 1""")
+_BAND_AT = "max(CASE WHEN {0} >= before AND {0} < before + n THEN low + (high - low) / greatest(n - 1, 1) * ({0} - before) END)"
+_SKETCH_Q = ", ".join(
+    "round({lo} + ({hi} - {lo}) * max((size - 1) * {q}::DOUBLE - floor((size - 1) * {q}::DOUBLE)), 6) AS {name}".format(
+        name=name, q=q, lo=_BAND_AT.format(f"floor((size - 1) * {q}::DOUBLE)"),
+        hi=_BAND_AT.format(f"ceil((size - 1) * {q}::DOUBLE)"))
+    for name, q in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)))
+ORACLE["latency_sketch"] = sql(LATENCY, body=f"""
+        , bd AS (SELECT ts_ms // 3600000 * 3600000 AS bucket_ms, CAST(floor(ln(abs(e2e_ms) + 1) / ln(2) * 32
+            * sign(e2e_ms)) AS BIGINT) AS band, count(*) AS n, min(e2e_ms) AS low, max(e2e_ms) AS high FROM lat GROUP BY 1, 2),
+        pl AS (SELECT *, sum(n) OVER w - n AS before, sum(n) OVER (PARTITION BY bucket_ms) AS size FROM bd
+          WINDOW w AS (PARTITION BY bucket_ms ORDER BY band))
+        SELECT bucket_ms, {_SKETCH_Q} FROM pl GROUP BY bucket_ms""")
 for _name, _width in (("sliding_rate", 3_600_000), ("sliding_rate_minute", 60_000)):
     ORACLE[_name] = sql(AUDIT, body=f"""
         SELECT request_id, client_id, ts_ms, count(*) OVER (PARTITION BY client_id ORDER BY ts_ms

@@ -18,7 +18,7 @@ from matchflow.operators import (
 )
 from matchflow.operators import state as st
 from matchflow.plans import tables
-from matchflow.session import prepare, shared_path
+from matchflow.session import cut, prepare, shared_path
 from matchflow.sources import fixtures as fx
 from matchflow.sources import store
 from matchflow.streaming import jobs
@@ -812,6 +812,14 @@ def latency_slo_minute(spark, d):
                        r6("p99_ms"), r6("max_ms"))
 
 
+@query
+def latency_sketch(spark, d):
+    """Quantiles per hour from the stored sketch of each minute, as far as bands tell."""
+    minutes = cut(slo.latency_sketch(slo.latency_partials(fx.latency_log(spark, d))))
+    rows = slo.latency_rollup(minutes, 3_600_000, {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    return rows.select("bucket_ms", r6("p50_ms"), r6("p95_ms"), r6("p99_ms"))
+
+
 @query
 def stage_latency(spark, d):
     return slo.stage_latency(fx.latency_log(spark, d)).select("stage", r6("p95_ms"))

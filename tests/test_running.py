@@ -94,10 +94,3 @@ def test_sliding_equals_range_frame(spark, rows, monkeypatch, size):
     assert sorted(str(tuple(r)) for r in have) == sorted(str(tuple(r)) for r in want)
     assert got.count() == len(want) + 2 and got.filter("pos IS NULL AND n IS NULL").count() == 2
     assert "RangeFrame" not in got._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_exact_quantiles(rows):
-    got = run.exact_quantiles(rows, ["key"], "v", {"a": 0.5, "b": 0.95})
-    want = rows.groupBy("key").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.95).alias("b"))
-    have = {r.key: (r.a, r.b) for r in got.collect()}
-    assert {r.key: (pytest.approx(r.a), pytest.approx(r.b)) for r in want.collect()} == have
