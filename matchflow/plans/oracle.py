@@ -772,6 +772,63 @@ def _runs(ctes: str, condition: str, service: str, at_least: int) -> str:
 ORACLE["alert_runs"] = _runs(AUDIT, "count(*) FILTER (status_code >= 500) / count(*) * 100 > 1", "gateway", 2)
 ORACLE["latency_alert_runs"] = _runs(LATENCY, "quantile_cont(e2e_ms, 0.95) > 500", "pipeline", 5)
 
+_SCRAPES = """
+tel AS (
+  SELECT 'service_' || CAST(user_id % 3 AS VARCHAR) AS service, CAST(CAST(props->>'k' AS INT) % 2 AS BIGINT) AS instance,
+    CAST(props->>'k' AS INT) AS k, event_type = 'error' AS error, value * 5.0 AS ms,
+    (epoch_us(ts) - 1704067200000000) // 7200000000 AS step FROM events),
+cs AS (
+  SELECT metric, label, service, instance, step, sum(n) OVER (PARTITION BY metric, label, service, instance,
+    (step + instance * 37) // 90 ORDER BY step) AS value
+  FROM (SELECT metric, label, service, instance, step, count(*) FILTER (CASE WHEN metric = 'duration' THEN
+      ms <= CAST(label AS DOUBLE) WHEN metric = 'ingest_errors' THEN k = 99 WHEN label = '200' THEN NOT error
+      WHEN label = '500' THEN error AND k < 50 ELSE error AND k >= 50 END) AS n
+    FROM tel CROSS JOIN (SELECT 'requests' AS metric, unnest(['200', '500', '429']) AS label
+      UNION ALL SELECT 'ingest_errors', 'auth_invalid_signature' UNION ALL SELECT 'duration',
+        unnest(['50', '100', '200', '300', '400', '500', '750', '1000', '2000', 'Infinity'])) AS l GROUP BY ALL) AS z),
+gr AS (
+  SELECT *, CASE WHEN value < lag(value) OVER w THEN value ELSE value - coalesce(lag(value) OVER w, 0) END AS grown
+  FROM cs WINDOW w AS (PARTITION BY metric, label, service, instance ORDER BY step)),
+fin AS (SELECT max(step) AS until FROM cs),
+five AS (
+  SELECT * FROM (SELECT metric, label, service, unnest(range(step, step + 5)) AS step, grown FROM gr)
+  WHERE step <= (SELECT until FROM fin)),
+hb AS (
+  SELECT service, step, CAST(label AS DOUBLE) AS le, sum(grown) AS n FROM five WHERE metric = 'duration' GROUP BY ALL),
+hc AS (
+  SELECT service, step, le, max(n) OVER (PARTITION BY service, step ORDER BY le) AS cumulative,
+    max(n) OVER (PARTITION BY service, step) AS count FROM hb),
+hs AS (
+  SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(cumulative) OVER w, 0) AS before,
+    count * 0.95::DOUBLE AS rank FROM hc WINDOW w AS (PARTITION BY service, step ORDER BY le)),
+lg AS (
+  SELECT service, instance, step, sum(sum(n)) OVER (PARTITION BY service, instance ORDER BY step) AS value
+  FROM (SELECT service, instance, step, 1 AS n FROM tel UNION ALL SELECT service, instance, step + k % 4, -1 FROM tel) AS z
+  GROUP BY service, instance, step),
+lh AS (
+  SELECT service, instance, value, unnest(range(step, least(coalesce(lead(step) OVER (PARTITION BY service, instance
+    ORDER BY step), (SELECT until + 1 FROM fin)), step + 5, (SELECT until + 1 FROM fin)))) AS step FROM lg),
+av AS (
+  SELECT 'high_error_rate' AS rule, service, step, sum(grown) FILTER (label LIKE '5%') / sum(grown) AS value
+    FROM five WHERE metric = 'requests' GROUP BY service, step
+  UNION ALL SELECT 'high_latency_p95', service, step, CASE WHEN le = 'infinity' THEN low
+    ELSE low + (le - low) * (rank - before) / (cumulative - before) END FROM hs WHERE cumulative >= rank AND before < rank
+  UNION ALL SELECT 'consumer_lag', service, step, CAST(sum(value) AS DOUBLE) FROM lh GROUP BY service, step
+  UNION ALL SELECT CASE metric WHEN 'requests' THEN 'rate_limit_spike' ELSE 'invalid_signatures' END, service, step,
+    sum(grown) / 60 FROM gr WHERE label IN ('429', 'auth_invalid_signature') GROUP BY metric, service, step),
+ru AS (SELECT * FROM (VALUES ('high_error_rate', 'warning', 0.01::DOUBLE, 2), ('high_latency_p95', 'warning', 500, 5),
+  ('consumer_lag', 'critical', 4, 1), ('rate_limit_spike', 'warning', 0.02::DOUBLE, 1),
+  ('invalid_signatures', 'warning', 0.01::DOUBLE, 1)) AS v(rule, severity, above, hold))"""
+ORACLE["alert_values"] = sql(_SCRAPES, body="""
+        SELECT rule, service, CAST(step AS BIGINT) AS step, round(CASE WHEN isnan(value) THEN NULL ELSE value END, 6) AS value FROM av""")
+ORACLE["alert_rules"] = sql(_SCRAPES, body="""
+        , i AS (SELECT rule, severity, service, step, value, hold, step - row_number() OVER (PARTITION BY rule, service
+            ORDER BY step) AS run FROM av JOIN ru USING (rule) WHERE value > above AND NOT isnan(value)),
+        g AS (SELECT rule, severity, service, hold, min(step) AS s, max(step) AS e, max(value) AS peak FROM i
+          GROUP BY rule, severity, service, hold, run)
+        SELECT rule, severity, service, CAST(s AS BIGINT) AS pending_from, CASE WHEN s + hold <= e THEN CAST(s + hold AS BIGINT)
+          END AS firing_from, CAST(e AS BIGINT) AS last_step, round(peak, 6) AS peak FROM g""")
+
 # Streams end with what the batch operators give.
 ORACLE["stream_state"] = ORACLE["match_state"]
 ORACLE["stream_timeline"] = ORACLE["match_timeline"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from matchflow.functions import running as run
 from matchflow.functions import scalars as fn
 from matchflow.operators import (
-    catalog, dead_letter, dedup, evaluation, intake, integrity, rollups, scoring, sequence, slo, usage,
+    alerts, catalog, dead_letter, dedup, evaluation, intake, integrity, rollups, scoring, sequence, slo, usage,
 )
 from matchflow.operators import state as st
 from matchflow.plans import tables
@@ -885,7 +885,7 @@ def alert_runs(spark, d):
 
 @query
 def latency_alert_runs(spark, d):
-    """Hours in a row with a p95 latency over 500 ms, and of throttled calls."""
+    """Hours in a row with a p95 latency over 500 ms."""
     hours = slo.slo_status(fx.latency_log(spark, d), 3_600_000).select(
         F.lit("pipeline").alias("service"), (F.col("bucket_ms") / 3_600_000).cast("long").alias("step"), "p95_ms"
     )
@@ -893,6 +893,33 @@ def latency_alert_runs(spark, d):
     return rows.select("service", "run_start", "run_length")
 
 
+# Thresholds that suit the few requests a minute of the given tables.
+ALERTS = {
+    **alerts.RULES,
+    "consumer_lag": alerts.Rule("critical", 4.0, 1),
+    "rate_limit_spike": alerts.Rule("warning", 0.02, 1),
+    "invalid_signatures": alerts.Rule("warning", 0.01, 1),
+}
+
+
+def alert_series(spark, d) -> DataFrame:
+    samples = cut(fx.scrapes(spark, d))
+    return alerts.rates(samples, samples.filter("metric <> 'lag'").agg(F.max("step").alias("t")).scalar())
+
+
+@query
+def alert_values(spark, d):
+    """What the alert rules look at, by service and minute."""
+    return alert_series(spark, d).select("rule", "service", big("step"), r6("value"))
+
+
+@query
+def alert_rules(spark, d):
+    """Pending and firing runs of all five rules."""
+    rows = alerts.alerts(alert_series(spark, d), ALERTS)
+    return rows.select("rule", "severity", "service", big("pending_from"), big("firing_from"), big("last_step"), r6("peak"))
+
+
 @query
 def rate_limited_clients(spark, d):
     return slo.rate_limited_clients(fx.audit_log(spark, d))

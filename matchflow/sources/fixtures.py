@@ -8,9 +8,10 @@ user holding a third of all events is still spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchflow import schema as sc
 from matchflow.functions import running as run
 from matchflow.session import cut
 
@@ -263,6 +264,45 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scrapes(spark: SparkSession, sf_dir: str, restart: int = 90) -> DataFrame:
+    """Counters and gauges of three services with two processes each, by the minute; time runs 120 times as fast.
+
+    Every process starts its counters again after ``restart`` minutes. Only
+    minutes with a request have samples. ``lag`` is what was received but not
+    yet worked off, ``k % 4`` minutes later.
+    """
+    labels = ["service", "instance"]
+    seen = _clock(spark, sf_dir).select(
+        F.concat(F.lit("service_"), (F.col("user_id") % 3).cast("string")).alias("service"),
+        (F.col("k") % 2).cast("long").alias("instance"), "k", "event_type", (F.col("value") * 5.0).alias("ms"),
+        F.expr(f"(us - {START_MS * 1000}) div 7200000000").alias("step"),
+    )
+    error = F.col("event_type") == "error"
+    wanted = {
+        ("requests", "200"): ~error, ("requests", "500"): error & (F.col("k") < 50),
+        ("requests", "429"): error & (F.col("k") >= 50),
+        ("ingest_errors", "auth_invalid_signature"): F.col("k") == 99,
+        **{("duration", str(le)): F.col("ms") <= le for le in sc.LATENCY_BUCKETS_MS},
+        ("duration", "Infinity"): F.lit(True),
+    }
+    counts = seen.groupBy(*labels, "step").agg(*(F.count_if(c).alias(f"_{i}") for i, c in enumerate(wanted.values())))
+    one = [F.struct(F.lit(m).alias("metric"), F.lit(x).alias("label"), F.col(f"_{i}").alias("n"))
+           for i, (m, x) in enumerate(wanted)]
+    started = F.floor((F.col("step") + F.col("instance") * 37) / restart)
+    long = counts.select(*labels, "step", started.alias("started"), F.explode(F.array(*one)).alias("c"))
+    since = Window.partitionBy("c.metric", "c.label", *labels, "started").orderBy("step")
+    counters = long.select(
+        "c.metric", "c.label", *labels, "step", F.sum("c.n").over(since).cast("long").alias("value"))
+    moves = seen.select(*labels, F.explode(F.array(
+        F.struct("step", F.lit(1).alias("n")),
+        F.struct((F.col("step") + F.col("k") % 4).alias("step"), F.lit(-1).alias("n")))).alias("m"))
+    change = moves.groupBy(*labels, "m.step").agg(F.sum("m.n").alias("n"))
+    waiting = F.sum("n").over(Window.partitionBy(*labels).orderBy("step"))
+    gauge = change.select(
+        F.lit("lag").alias("metric"), F.lit("").alias("label"), *labels, "step", waiting.cast("long").alias("value"))
+    return counters.unionByName(gauge)
+
+
 def api_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(
         "CAST(c_custkey AS BIGINT) AS id",
