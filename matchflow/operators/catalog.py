@@ -38,11 +38,15 @@ def match_document(matches: DataFrame, teams: DataFrame, maps: DataFrame, page:
     """Match with teams, winner and ordered maps.
 
     Maps come in pages of ``page`` map numbers; a match of usual length has
-    one page. A match without maps has one page with an empty array.
+    one page. A match without maps has one page with an empty array. Maps may
+    have a ``winner_id``; then each carries the name of its winner.
     """
-    entry = F.struct("map_number", "map_name", "team_a_score", "team_b_score", "status")
+    entry = F.struct("map_number", "map_name", "team_a_score", "team_b_score", "status", "map_winner")
+    won = teams.select(F.col("id").alias("winner_id"), F.col("name").alias("map_winner"))
+    named = maps.join(won, "winner_id", "left") if "winner_id" in maps.columns else maps.withColumn(
+        "map_winner", F.lit(None).cast("string"))
     pages = (
-        maps.withColumn("page", F.floor((F.col("map_number") - 1) / page))
+        named.withColumn("page", F.floor((F.col("map_number") - 1) / page))
         .groupBy(F.col("match_id").alias("id"), "page")
         .agg(F.sort_array(F.collect_list(entry)).alias("maps"))
     )

@@ -93,10 +93,15 @@ def prediction_history(pred: DataFrame, first_round: int | None = None, last_rou
     )
 
 
-def prediction_curve(pred: DataFrame, match_id: Column) -> DataFrame:
-    """The probability curve of one match, oldest point first."""
-    rows = prediction_history(pred.filter(F.col("match_id") == match_id))
-    return rows.orderBy("ts_calc", "map_id", "state_version")
+def prediction_curve(pred: DataFrame, match_id: Column | None = None) -> DataFrame:
+    """The probability curve of one match or of all, each point with its ``place`` from the oldest on.
+
+    Of one match only its rows are read (the table is sorted by match). Places
+    are counted by minutes, so a match with very many points is spread.
+    """
+    rows = prediction_history(pred if match_id is None else pred.filter(F.col("match_id") == match_id))
+    minute = F.floor(F.unix_millis("ts_calc") / 60_000)
+    return run.running(rows, ["match_id"], ["ts_calc", "map_id", "state_version"], minute, place=run.row_number())
 
 
 def events_between(raw: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -141,17 +141,83 @@ _TYPED = [
 ]
 
 
+# JSON types of fields as they must be sent; "?" marks those that may be absent.
+ENVELOPE_SENT = {
+    "event_id": "text", "match_id": "text", "map_id": "text", "round_no": "whole", "ts_event": "text", "type": "text",
+    "source": "text", "seq_no": "whole", "payload": "object", "ts_ingest": "text?", "trace_id": "text?",
+    "event_schema_version": "text?",
+}
+_BOMB_SENT = {"player_id": "text", "player_team": "text", "site": "text", "time_remaining_sec": "number?"}
+_SCORES_SENT = {"team_a_score": "whole", "team_b_score": "whole", "team_a_id": "text", "team_b_id": "text"}
+PAYLOAD_SENT = {
+    "kill": {
+        "killer_player_id": "text", "killer_team": "text", "victim_player_id": "text", "victim_team": "text",
+        "weapon": "text", "is_headshot": "flag",
+        **dict.fromkeys(
+            ["is_wallbang", "is_through_smoke", "is_no_scope", "is_first_kill", "attacker_blind"], "flag?"),
+    },
+    "round_end": {"winner_team": "text", "win_reason": "text", **_SCORES_SENT},
+    "round_start": {"team_a_side": "text", "team_b_side": "text", **_SCORES_SENT},
+    "bomb_planted": _BOMB_SENT, "bomb_defused": _BOMB_SENT, "bomb_exploded": _BOMB_SENT,
+    "economy_update": {
+        "team_a_econ": "whole", "team_b_econ": "whole", "team_a_equipment_value": "whole?",
+        "team_b_equipment_value": "whole?", "team_a_buy_type": "text?", "team_b_buy_type": "text?",
+    },
+}
+
+
+def read_lines(lines: DataFrame, *more: str, column: str = "value", sent: str = "sent") -> DataFrame:
+    """Wire events of JSON lines, the line as a variant in ``sent``, and further columns as they are.
+
+    The wire columns are text whatever was sent; the variant still knows that
+    ``"5"`` is text and ``5`` a number. A line that is no JSON object has nulls.
+    """
+    parsed = lines.select(F.from_json(column, sc.WIRE).alias("e"), F.try_parse_json(column).alias(sent), *more)
+    return parsed.select("e.*", sent, *more)
+
+
+def _sent_as(sent: str, path: str, kind: str) -> Column:
+    """Whether the field at ``path`` has the JSON type. A null is not an absent field."""
+    value = F.try_variant_get(F.col(sent), path, "variant")
+    name = F.schema_of_variant(value)
+    amount = F.try_variant_get(F.col(sent), path, "double")
+    number = name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
+    ok = {
+        "text": name == "STRING",
+        "flag": name == "BOOLEAN",
+        "object": name.startswith("OBJECT"),
+        "number": number,
+        "whole": (name == "BIGINT") | (number & (amount == F.floor(amount))),
+    }[kind.removesuffix("?")]
+    return ok | name.isNull() if kind.endswith("?") else ok
+
+
+def sent_errors(sent: str, typed: bool) -> Column:
+    """Codes of fields sent with another JSON type; those of the payload only where it is an object."""
+    codes = _codes({f: _sent_as(sent, f"$.{f}", kind) for f, kind in ENVELOPE_SENT.items()})
+    if not typed:
+        return codes
+    inner = F.lit(None).cast("array<string>")
+    for event, fields in PAYLOAD_SENT.items():
+        found = _codes({f"payload.{f}": _sent_as(sent, f"$.payload.{f}", kind) for f, kind in fields.items()})
+        inner = F.when(F.col("type") == event, found).otherwise(inner)
+    none = F.array().cast("array<string>")
+    return F.concat(codes, F.when(F.array_contains(codes, "payload"), none).otherwise(F.coalesce(inner, none)))
+
+
 def validate(
     events: DataFrame,
     strict: bool = False,
     typed: bool = False,
     max_bytes: int = sc.MAX_EVENT_BYTES,
     skew_ms: int | None = None,
+    sent: str | None = None,
 ) -> DataFrame:
     """Wire events with an ``errors`` array (empty when valid).
 
     ``strict`` adds length, version and size limits, ``typed`` the payload
-    rules of the event's type, ``skew_ms`` the clock check.
+    rules of the event's type, ``skew_ms`` the clock check, ``sent`` (the
+    variant of ``read_lines``, dropped here) the JSON types.
     """
     rules = envelope_rules(strict)
     if strict:
@@ -164,7 +230,10 @@ def validate(
     if typed:
         events = events.withColumn("p", F.from_json("payload", sc.payload_type(*_TYPED)))
         errors.append(payload_errors())
-    return events.withColumn("errors", F.concat(*errors)).drop("p")
+    if sent is not None:
+        errors.append(sent_errors(sent, typed))
+    found = F.concat(*errors)
+    return events.withColumn("errors", found if sent is None else F.array_distinct(found)).drop("p", *([sent] if sent else []))
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -205,9 +274,37 @@ def quarantine(bad: DataFrame) -> DataFrame:
 
 
 def explode_batches(batches: DataFrame, column: str = "events", limit: int = sc.MAX_BATCH) -> DataFrame:
-    """Events of request batches; every event of an oversized batch is rejected."""
-    rows = batches.withColumn("oversized", F.size(column) > limit).withColumn("e", F.explode(column))
-    return rows.select("e.*", "oversized")
+    """Events of request batches with their place ``pos``; every event of an oversized batch is rejected."""
+    rows = batches.withColumn("oversized", F.size(column) > limit)
+    rest = [c for c in rows.columns if c != column]
+    return rows.select(*rest, F.posexplode(column).alias("pos", "e")).select("e.*", *rest, "pos")
+
+
+def batch_results(validated: DataFrame, order: list[str]) -> DataFrame:
+    """The answer for each item of a batch: taken, a duplicate of one taken before it in ``order``, or why not.
+
+    Items of oversized batches are refused as they come and make no other
+    item a duplicate. The first item of an event is found by a hash
+    aggregate over places, so copies are combined before they are shuffled.
+    """
+    keys = ["match_id", "event_id"]
+    ok = ~F.col("oversized") & (F.size("errors") == 0)
+    place = F.struct(*order)
+    firsts = validated.filter(ok).groupBy(*keys).agg(F.min(place).alias("__first"))
+    rows = validated.withColumns({"__ok": ok, "__place": place}).join(firsts, keys, "left")
+    duplicate = F.col("__ok") & (F.col("__place") != F.col("__first"))
+    error = F.when(F.col("oversized"), "BATCH_TOO_LARGE").when(~F.col("__ok"), "Validation failed")
+    return rows.select(
+        *order, F.coalesce("event_id", F.lit("unknown")).alias("event_id"), F.col("__ok").alias("success"),
+        F.coalesce(duplicate, F.lit(False)).alias("duplicate"), error.alias("error"))
+
+
+def batch_totals(results: DataFrame, request: str) -> DataFrame:
+    """Items, taken ones, duplicates and errors per request."""
+    return results.groupBy(request).agg(
+        F.count("*").alias("total"), F.count_if(F.col("success") & ~F.col("duplicate")).alias("processed"),
+        F.count_if(F.col("duplicate")).alias("duplicates"), F.count_if(~F.col("success")).alias("errors"),
+    )
 
 
 def batch_outcomes(validated: DataFrame) -> DataFrame:

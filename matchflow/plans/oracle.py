@@ -305,6 +305,19 @@ def errors(column: str) -> str:
                                    f"coalesce({column}, '') AS errors FROM wr")
 
 
+_REQUESTS = """
+rq AS (
+  SELECT *, event_no // 240 * 3 + CASE WHEN event_no % 240 < 120 THEN 0 WHEN event_no % 240 < 180 THEN 1 ELSE 2 END
+    AS request_no FROM wr),
+rp AS (
+  SELECT *, row_number() OVER (PARTITION BY request_no ORDER BY event_no, copy_no) - 1 AS pos,
+    count(*) OVER (PARTITION BY request_no) > 100 AS oversized FROM rq),
+rs AS (
+  SELECT request_no, pos, event_id, NOT oversized AND strict_error IS NULL AS success,
+    CASE WHEN oversized THEN 'BATCH_TOO_LARGE' WHEN strict_error IS NOT NULL THEN 'Validation failed' END AS error,
+    row_number() OVER (PARTITION BY match_id, event_id, NOT oversized AND strict_error IS NULL ORDER BY request_no, pos)
+      AS seen FROM rp)"""
+
 ORACLE: dict[str, str] = {
     # Sources, sinks, intake
     "raw_append_columns": ev(f"""
@@ -320,6 +333,18 @@ ORACLE: dict[str, str] = {
     "validate_envelope": errors("plain_error"),
     "validate_strict": errors("strict_error"),
     "validate_payload": errors("concat_ws(',', plain_error, payload_error)"),
+    "validate_types": errors("""concat_ws(',', plain_error, payload_error, CASE WHEN k = 90 THEN 'round_no'
+        WHEN k = 89 THEN 'seq_no' WHEN k = 88 THEN 'trace_id'
+        WHEN k = 87 AND type IN ('round_end', 'round_start') THEN 'payload.team_a_score'
+        WHEN k = 86 AND type = 'kill' THEN 'payload.is_headshot,payload.is_first_kill'
+        WHEN k = 85 AND type = 'economy_update' THEN 'payload.team_b_equipment_value' WHEN k = 84 THEN 'payload'
+        WHEN k IN (82, 83) AND type LIKE 'bomb%' THEN 'payload.time_remaining_sec' END)"""),
+    "batch_results": sql(FX, ARR, WIRE, _REQUESTS, body="""
+        SELECT request_no, pos, event_id, success, success AND seen > 1 AS duplicate, error FROM rs"""),
+    "batch_totals": sql(FX, ARR, WIRE, _REQUESTS, body="""
+        SELECT request_no, count(*) AS total, count(*) FILTER (success AND seen = 1) AS processed,
+          count(*) FILTER (success AND seen > 1) AS duplicates, count(*) FILTER (NOT success) AS errors
+        FROM rs GROUP BY request_no"""),
     "clock_skew": errors("concat_ws(',', plain_error, skew_error)"),
     "quarantine_rows": sql(FX, ARR, WIRE, body=f"""
         SELECT event_id, match_id || ':' || map_id AS shard, {ALL_ERRORS} AS error, 0 AS retry_count,
@@ -407,7 +432,8 @@ ORACLE: dict[str, str] = {
         LEFT JOIN mm ON mm.match_id = ma.id AND mm.status = 'live'"""),
     "match_document": sql(MATCHES, TEAMS, MAPS, body="""
         SELECT ma.id, a.name AS team_a_name, b.name AS team_b_name, w.name AS winner_name, ma.status,
-          CAST(map_number - 1 AS BIGINT) AS pos, map_number, map_name, team_a_score, team_b_score FROM ma
+          CAST(map_number - 1 AS BIGINT) AS pos, map_number, map_name, team_a_score, team_b_score,
+          CASE WHEN team_a_score > team_b_score THEN a.name WHEN team_a_score < team_b_score THEN b.name END AS map_winner FROM ma
         JOIN teams a ON a.id = team_a_id JOIN teams b ON b.id = team_b_id LEFT JOIN teams w ON w.id = winner_id
         LEFT JOIN mm ON mm.match_id = ma.id"""),
     "replay_diff": ev("""
@@ -968,8 +994,7 @@ ORACLE["live_page"] = sql(MATCHES, TEAMS, body="""
 ORACLE["match_page_after"] = ORACLE["match_page"]
 ORACLE["prediction_curve"] = pred("""
     SELECT match_id, state_version, ts_calc_ms, round(p_team_a_win, 6) AS p_team_a_win,
-      row_number() OVER (ORDER BY ts_calc_ms, map_id, state_version) AS place
-    FROM pr WHERE match_id = (SELECT min(match_id) FROM pr)""")
+      row_number() OVER (PARTITION BY match_id ORDER BY ts_calc_ms, map_id, state_version) AS place FROM pr""")
 ORACLE["rounds_in_order"] = ev("""
     SELECT match_id, map_id, round_no, row_number() OVER (PARTITION BY match_id, map_id ORDER BY round_no) AS place
     FROM rm""", ROUNDS)

@@ -98,6 +98,33 @@ def validate_payload(spark, d):
     return rows.select("event_id", "match_id", "seq_no", F.concat_ws(",", "errors").alias("errors"))
 
 
+@query
+def validate_types(spark, d):
+    """Lines whose fields were sent as another JSON type, among the other malformed ones."""
+    wire = fx.wire(fx.arrivals(tables.events(spark, d)), "event_no", "k")
+    rows = intake.read_lines(wire.select(fx.lines(wire, faults=True).alias("value")))
+    rows = intake.validate(rows, typed=True, sent="sent")
+    return rows.select("event_id", "match_id", "seq_no", F.concat_ws(",", "errors").alias("errors"))
+
+
+def batch_items(spark, d) -> DataFrame:
+    wire = fx.wire(fx.arrivals(tables.events(spark, d)), "event_no", "copy_no")
+    items = intake.validate(intake.explode_batches(fx.requests(wire)), strict=True)
+    return intake.batch_results(items, ["request_no", "pos"])
+
+
+@query
+def batch_results(spark, d):
+    """The answer for every event of every request batch."""
+    return batch_items(spark, d).select(big("request_no"), big("pos"), "event_id", "success", "duplicate", "error")
+
+
+@query
+def batch_totals(spark, d):
+    rows = intake.batch_totals(batch_items(spark, d), "request_no")
+    return rows.select(*(big(c) for c in ("request_no", "total", "processed", "duplicates", "errors")))
+
+
 @query
 def clock_skew(spark, d):
     rows = intake.validate(received(spark, d), skew_ms=30_000)
@@ -270,9 +297,8 @@ def match_page_after(spark, d):
 
 @query
 def prediction_curve(spark, d):
-    pred = tables.predictions(spark, d)
-    rows = evaluation.prediction_curve(pred, pred.agg(F.min("match_id").alias("m")).scalar())
-    rows = catalog.placed(rows, ["match_id"], [F.col("ts_calc"), F.col("map_id"), F.col("state_version")])
+    """The curves of all matches."""
+    rows = evaluation.prediction_curve(tables.predictions(spark, d))
     return rows.select("match_id", "state_version", ms("ts_calc"), r6("p_team_a_win"), "place")
 
 
@@ -304,10 +330,10 @@ def match_details(spark, d):
 
 @query
 def match_document(spark, d):
-    rows = catalog.match_document(fx.matches(spark, d), fx.teams(spark, d), fx.match_maps(spark, d))
+    rows = catalog.match_document(fx.matches(spark, d), fx.teams(spark, d), fx.map_winners(spark, d))
     return rows.select("id", "team_a_name", "team_b_name", "winner_name", "status", F.posexplode_outer("maps")).select(
         "id", "team_a_name", "team_b_name", "winner_name", "status", F.col("pos").cast("long").alias("pos"),
-        "col.map_number", "col.map_name", "col.team_a_score", "col.team_b_score",
+        "col.map_number", "col.map_name", "col.team_a_score", "col.team_b_score", "col.map_winner",
     )
 
 

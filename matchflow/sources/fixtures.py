@@ -205,6 +205,40 @@ def wire(seen: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def lines(rows: DataFrame, faults: bool = False) -> Column:
+    """The JSON line of wire events, numbers as numbers. With ``faults`` some fields are sent as another type."""
+    k, kind = F.col("k"), F.col("type")
+
+    def quoted(text: Column, name: str) -> Column:
+        return F.regexp_replace(text, f'"{name}":([0-9a-z.]+)', f'"{name}":"$1"')
+
+    numbers = {"round_no": "long", "seq_no": "long"}
+    body = F.to_json(F.struct(*(
+        F.col(c).cast(numbers[c]).alias(c) if c in numbers else F.col(c) for c in sc.WIRE.names if c != "payload")))
+    payload = F.col("payload")
+    if faults:
+        body = F.when(k == 90, quoted(body, "round_no")).when(k == 89, quoted(body, "seq_no")).when(
+            k == 88, F.regexp_replace(body, '"trace_id":"trace-([0-9]+)"', '"trace_id":$1')).otherwise(body)
+        payload = (
+            F.when((k == 87) & kind.isin("round_end", "round_start"), quoted(payload, "team_a_score"))
+            .when((k == 86) & (kind == "kill"), quoted(quoted(payload, "is_headshot"), "is_first_kill"))
+            .when((k == 85) & (kind == "economy_update"), quoted(payload, "team_b_equipment_value"))
+            .when((k == 83) & kind.startswith("bomb"), F.regexp_replace(payload, "}$", ',"time_remaining_sec":"soon"}'))
+            .when((k == 82) & kind.startswith("bomb"), F.regexp_replace(payload, "}$", ',"time_remaining_sec":null}'))
+            .when((k == 81) & kind.startswith("bomb"), F.regexp_replace(payload, "}$", ',"time_remaining_sec":1.5}'))
+            .when(k == 84, F.concat(F.lit('"'), F.regexp_replace(payload, '"', r'\\"'), F.lit('"')))
+            .otherwise(payload))
+    return F.concat(F.substr(body, F.lit(1), F.length(body) - 1), F.lit(',"payload":'), payload, F.lit("}"))
+
+
+def requests(rows: DataFrame) -> DataFrame:
+    """Wire events ``(event_no, copy_no, ...)`` as request batches; of three in a row the first is too large."""
+    r = F.col("event_no") % 240
+    request = F.floor(F.col("event_no") / 240) * 3 + F.when(r < 120, 0).when(r < 180, 1).otherwise(2)
+    entry = F.struct("event_no", "copy_no", *sc.WIRE.names)
+    return rows.groupBy(request.alias("request_no")).agg(F.sort_array(F.collect_list(entry)).alias("events"))
+
+
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(
         "CAST(s_suppkey AS BIGINT) AS id", "s_name AS name", "CAST(1000 + (s_suppkey * 37) % 900 AS INT) AS rating"
@@ -229,6 +263,15 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def map_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps with the team that has the higher score, if any."""
+    sides = matches(spark, sf_dir).select(F.col("id").alias("match_id"), "team_a_id", "team_b_id")
+    a, b = F.col("team_a_score"), F.col("team_b_score")
+    winner = F.when(a > b, F.col("team_a_id")).when(a < b, F.col("team_b_id"))
+    return match_maps(spark, sf_dir).join(sides, "match_id", "left").withColumn("winner_id", winner).drop(
+        "team_a_id", "team_b_id")
+
+
 def match_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps of a match in order. Line numbers cut a match with very many maps."""
     lines = table(spark, sf_dir, "lineitem").select(

@@ -53,12 +53,10 @@ def messages_folder(spark: SparkSession, sf_dir: str) -> str:
 
     def job(out: str) -> None:
         wire = fx.wire(fx.arrivals(tables.events(spark, sf_dir)), "event_no", "copy_no", "k")
-        body = F.to_json(F.struct(*(c for c in sc.WIRE.names if c != "payload")))
-        line = F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"payload":'), "payload", F.lit("}"))
-        broken = F.when(F.col("seq_no") == "7", F.lit("{not json")).otherwise(line)
+        broken = F.when(F.col("seq_no") == "7", F.lit("{not json")).otherwise(fx.lines(wire))
         sound = (F.col("k") <= 90) & (F.col("event_no") % 41 != 0) & (F.col("seq_no") != "7") & (
             F.col("round_no").cast("int") <= sc.MAX_ROUND)
-        rows = wire.withColumn("body", body).select(
+        rows = wire.select(
             broken.alias("value"), F.to_timestamp("ts_ingest").alias("timestamp"), "copy_no",
             F.when(sound, F.col("event_no") % 10).otherwise(-1).alias("digit"))
         rows = cut(rows)

@@ -1,5 +1,6 @@
 """Validation, sequence order, usage rules and scalar functions."""
 
+import json
 import pickle
 import random
 import zlib
@@ -7,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from matchflow.functions import ordering as od
 from matchflow.functions import scalars as fn
@@ -210,3 +212,72 @@ def test_raw_table_round_trip(spark, tmp_path):
     back = store.import_matches(spark, f"{tmp_path}/out")
     columns = ["event_id", "seq_no", "ts_event", "payload"]
     assert sorted(map(tuple, back.select(columns).collect())) == sorted(map(tuple, raw.select(columns).collect()))
+
+
+LINE = {
+    "event_id": "00000000-0000-4000-8000-000000000001", "match_id": "00000000-0000-4000-8000-000000000002",
+    "map_id": "00000000-0000-4000-8000-000000000003", "round_no": 3, "ts_event": "2024-01-01T00:00:00.000Z",
+    "ts_ingest": "2024-01-01T00:00:01.000Z", "type": "economy_update", "source": "s", "seq_no": 7,
+    "payload": {"team_a_econ": 1, "team_b_econ": 2},
+}
+
+
+def sent_codes(spark, *changes, typed=True):
+    lines = [json.dumps({k: v for k, v in {**LINE, **c}.items() if v != "absent"}) for c in changes]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    rows = intake.validate(intake.read_lines(frame, "i"), strict=True, typed=typed, sent="sent")
+    return [r.errors for r in rows.orderBy("i").collect()]
+
+
+def test_types_as_sent(spark):
+    assert sent_codes(
+        spark, {}, {"round_no": "3"}, {"seq_no": 7.0}, {"seq_no": 7.5}, {"source": 5}, {"trace_id": None},
+        {"payload": json.dumps(LINE["payload"])}, {"ts_ingest": "absent"}, {"match_id": "absent"}, {"more": [1]},
+    ) == [[], ["round_no"], ["seq_no"], ["seq_no"], ["source"], ["trace_id"], ["payload"], [], ["match_id"], []]
+
+
+def test_payload_types_as_sent(spark):
+    money = lambda **more: {"payload": {**LINE["payload"], **more}}
+    assert sent_codes(
+        spark, money(team_a_econ="1"), money(team_a_equipment_value="9"), money(team_a_equipment_value=9),
+        money(team_b_buy_type=1), money(team_b_buy_type=None), money(unknown="x"), {"payload": {"team_a_econ": 1}},
+    ) == [["payload.team_a_econ"], ["payload.team_a_equipment_value"], [], ["payload.team_b_buy_type"],
+          ["payload.team_b_buy_type"], [], ["payload.team_b_econ"]]
+    bomb = {"player_id": "p", "player_team": "A", "site": "B"}
+    with_time = [{"type": "bomb_planted", "payload": {**bomb, "time_remaining_sec": x}} for x in (1.5, 3, "3", True)]
+    late = ["payload.time_remaining_sec"]
+    assert sent_codes(spark, *with_time) == [[], [], late, late]
+    kill = {"killer_player_id": "a", "killer_team": "A", "victim_player_id": "b", "victim_team": "B", "weapon": "w"}
+    flags = [{"is_headshot": "true"}, {"is_headshot": 1}, {"is_headshot": False}, {"is_headshot": True, "is_no_scope": "no"}]
+    got = sent_codes(spark, *({"type": "kill", "payload": {**kill, **f}} for f in flags))
+    assert got == [["payload.is_headshot"], ["payload.is_headshot"], [], ["payload.is_no_scope"]]
+
+
+def test_lines_that_are_no_objects(spark):
+    frame = spark.createDataFrame([(x,) for x in ("{not json", "[1]", "5", "", None)], "value string")
+    rows = intake.validate(intake.read_lines(frame), strict=True, typed=True, sent="sent").collect()
+    assert len(rows) == 5 and all("event_id" in r.errors and "payload" in r.errors for r in rows)
+
+
+def test_batch_results(spark):
+    def item(n, **change):
+        return {**GOOD, "event_id": f"00000000-0000-4000-8000-{n:012d}", **change}
+
+    batches = [
+        (1, [item(1), item(2), item(1), item(3, seq_no="-4")]),
+        (2, [item(2), item(4), item(5), item(6), item(7)]),  # too large
+        (3, [item(4), item(3), item(4), item(9, event_id=None)]),
+    ]
+    frame = spark.createDataFrame(
+        [(r, [tuple(i[n] for n in WIRE.names) for i in items]) for r, items in batches],
+        StructType([StructField("request", LongType()), StructField("events", ArrayType(WIRE))]))
+    items = intake.validate(intake.explode_batches(frame, limit=4))
+    got = intake.batch_results(items, ["request", "pos"])
+    short = {(r.request, r.pos): (r.success, r.duplicate, r.error) for r in got.collect()}
+    taken, copy, large, bad = (True, False, None), (True, True, None), (False, False, "BATCH_TOO_LARGE"), (
+        False, False, "Validation failed")
+    assert short == {(1, 0): taken, (1, 1): taken, (1, 2): copy, (1, 3): bad, **{(2, i): large for i in range(5)},
+                     (3, 0): taken, (3, 1): taken, (3, 2): copy, (3, 3): bad}
+    totals = {r.request: (r.total, r.processed, r.duplicates, r.errors) for r in intake.batch_totals(got, "request").collect()}
+    assert totals == {1: (4, 2, 1, 1), 2: (5, 0, 0, 5), 3: (4, 2, 1, 1)}
+    assert got.filter("event_id = 'unknown'").count() == 1
