@@ -798,6 +798,20 @@ def _runs(ctes: str, condition: str, service: str, at_least: int) -> str:
 ORACLE["alert_runs"] = _runs(AUDIT, "count(*) FILTER (status_code >= 500) / count(*) * 100 > 1", "gateway", 2)
 ORACLE["latency_alert_runs"] = _runs(LATENCY, "quantile_cont(e2e_ms, 0.95) > 500", "pipeline", 5)
 
+ORACLE["retry_counters"] = f"""
+    WITH RECURSIVE fl AS (
+      SELECT {uid('user_id')} AS event_id, 'shard-' || CAST(user_id % 16 AS VARCHAR) AS shard,
+        1704067200000 + (epoch_us(ts) - 1704067200000000) // 120000 AS failed_at, CAST(event_id AS BIGINT) AS failure_no
+      FROM events WHERE event_type = 'error'),
+    nf AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY failed_at, failure_no) AS i FROM fl),
+    rt AS (
+      SELECT *, CAST(1 AS BIGINT) AS tries, failed_at AS first_failed_at FROM nf WHERE i = 1
+      UNION ALL
+      SELECT n.*, CASE WHEN p.tries = 3 OR n.failed_at >= p.first_failed_at + 3600000 THEN 1 ELSE p.tries + 1 END,
+        CASE WHEN p.tries = 3 OR n.failed_at >= p.first_failed_at + 3600000 THEN n.failed_at ELSE p.first_failed_at END
+      FROM rt AS p JOIN nf AS n ON n.event_id = p.event_id AND n.i = p.i + 1)
+    SELECT event_id, shard, failed_at, failure_no, tries, first_failed_at, tries = 3 AS dead FROM rt"""
+
 _SCRAPES = """
 tel AS (
   SELECT 'service_' || CAST(user_id % 3 AS VARCHAR) AS service, CAST(CAST(props->>'k' AS INT) % 2 AS BIGINT) AS instance,

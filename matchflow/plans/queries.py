@@ -602,6 +602,13 @@ def retry_exhausted(spark, d):
     return dead_letter.retry_exhausted(failures)
 
 
+@query
+def retry_counters(spark, d):
+    """Every failure of a match as one that is tried again and again, with the count it reached within an hour."""
+    rows = dead_letter.retry_ledger(fx.failures(spark, d))
+    return rows.select("event_id", "shard", "failed_at", "failure_no", "tries", "first_failed_at", "dead")
+
+
 @query
 def requeue(spark, d):
     """Repaired dead letters back among the stored events, one of them known already."""

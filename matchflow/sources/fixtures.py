@@ -307,6 +307,16 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed attempts at one job per user, on a clock that runs 120 times as fast."""
+    return _clock(spark, sf_dir).filter("event_type = 'error'").select(
+        uid(F.col("user_id")).alias("event_id"),
+        F.concat(F.lit("shard-"), (F.col("user_id") % 16).cast("string")).alias("shard"),
+        F.expr(f"{START_MS} + (us - {START_MS * 1000}) div 120000").alias("failed_at"),
+        F.col("event_no").alias("failure_no"),
+    )
+
+
 def scrapes(spark: SparkSession, sf_dir: str, restart: int = 90) -> DataFrame:
     """Counters and gauges of three services with two processes each, by the minute; time runs 120 times as fast.
 

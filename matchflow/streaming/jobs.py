@@ -159,12 +159,10 @@ def states(spark: SparkSession, sf_dir: str) -> str:
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     def job(out: str) -> None:
-        # Slices follow the sequence, not the clock: all matches are open at once.
-        rows = pl.timeline_stage(raw_stream(spark, sf_dir), "30 days")
-        sink = pl.batch_sink((f"{out}/timeline", lambda b: b))
-        pl.drain(pl.start(rows, f"{out}/_ckpt", sink, mode="update", trigger=NOW))
+        pl.drain(pl.start(raw_stream(spark, sf_dir), f"{out}/_ckpt", pl.timeline_sink(out), trigger=NOW))
 
-    return pl.latest_rows(spark, f"{_once(spark, sf_dir, 'timeline', job)}/timeline", ["match_id", "minute"])
+    out = _once(spark, sf_dir, "timeline", job)
+    return pl.merged_timeline(spark.read.parquet(f"{out}/timeline"))
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:

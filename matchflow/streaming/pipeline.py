@@ -259,23 +259,18 @@ def state_stage(events: DataFrame, out: str, trigger: dict | None = None, checkp
     return start(events, checkpoint or f"{out}/_ckpt", state_sink(out), trigger=trigger)
 
 
-def timeline_stage(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Events and kills per match and minute, in update mode."""
-    minute = F.window("ts_event", "1 minute")
-    return (
-        events.withWatermark("ts_event", lateness)
-        .groupBy("match_id", minute)
-        .agg(F.count("*").alias("events_count"), F.count_if(F.col("type") == "kill").alias("kills_count"))
-        .select("match_id", F.col("window.start").alias("minute"), "events_count", "kills_count")
-    )
+def timeline_sink(out: str) -> Callable[[DataFrame, int], None]:
+    """Events and kills per match and minute of each batch; ``merged_timeline`` adds them up.
+
+    No state and no watermark: an event counts in its minute however late it
+    comes.
+    """
+    return batch_sink((f"{out}/timeline", rollups.match_timeline))
 
 
-def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """What an update-mode sink holds: the row of the last batch for each key."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return last.select(*keys, "r.*")
+def merged_timeline(partials: DataFrame) -> DataFrame:
+    counts = [c for c in partials.columns if c not in ("match_id", "minute", "batch")]
+    return rollups.merge_partials(partials, ["match_id", "minute"], counts, [], [])
 
 
 def round_partials_sink(out: str) -> Callable[[DataFrame, int], None]:

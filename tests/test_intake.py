@@ -281,3 +281,30 @@ def test_batch_results(spark):
     totals = {r.request: (r.total, r.processed, r.duplicates, r.errors) for r in intake.batch_totals(got, "request").collect()}
     assert totals == {1: (4, 2, 1, 1), 2: (5, 0, 0, 5), 3: (4, 2, 1, 1)}
     assert got.filter("event_id = 'unknown'").count() == 1
+
+
+def plain_ledger(times, most, life):
+    out, count, first = [], 0, 0
+    for at in times:
+        if count == 0 or at >= first + life:
+            count, first = 0, at
+        count += 1
+        out.append((at, count, first))
+        count = 0 if count == most else count
+    return out
+
+
+@pytest.mark.parametrize("most,life", [(3, 100), (1, 100), (5, 40)])
+def test_retry_counters(spark, most, life):
+    rng = random.Random(most)
+    events = {"busy": sorted(rng.randrange(6_000) for _ in range(1_500)), "rare": sorted(rng.sample(range(9_000), 40)),
+              "mixed": sorted([rng.randrange(300) for _ in range(60)] + [rng.randrange(9_000) for _ in range(90)]),
+              "ties": [50] * 7 + [149] * 2 + [150] * 4, "edge": [0, 100, 200, 299, 300], "one": [77]}
+    rows = [(e, "s", t, i) for e, times in events.items() for i, t in enumerate(times)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "event_id string, shard string, failed_at long, failure_no long")
+    got = {}
+    for r in dead_letter.retry_ledger(frame, most, life).orderBy("event_id", "failed_at", "failure_no").collect():
+        assert r.dead == (r.tries == most)
+        got.setdefault(r.event_id, []).append((r.failed_at, r.tries, r.first_failed_at))
+    assert got == {e: plain_ledger(times, most, life) for e, times in events.items()}
