@@ -67,10 +67,23 @@ def active_models(quality: DataFrame, models: DataFrame) -> DataFrame:
     return quality.join(models.filter("is_active").select("model_version", "model_name"), "model_version")
 
 
+def _moment(ts: str, number: str) -> Column:
+    """A time and a number (below 10^18) in one decimal that sorts like both; hash aggregates can hold it."""
+    return F.unix_micros(ts).cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col(number).cast("decimal(19,0)")
+
+
 def latest_prediction(pred: DataFrame) -> DataFrame:
-    rest = [c for c in pred.columns if c not in ("match_id", "components")]
-    last = pred.groupBy("match_id").agg(F.max_by(F.struct(*rest), F.struct("ts_calc", "state_version")).alias("p"))
-    return last.select("match_id", "p.*")
+    """The newest prediction of each match.
+
+    Only the moment of the newest one is aggregated, by hash; its row is then
+    looked up. The points of a match are neither sorted nor moved.
+    """
+    rows = pred.drop("components").withColumn("__at", _moment("ts_calc", "state_version"))
+    newest = rows.groupBy("match_id").agg(F.max("__at").alias("__at"))
+    rest = [c for c in rows.columns if c not in ("match_id", "__at")]
+    found = rows.join(newest, ["match_id", "__at"], "left_semi")
+    # More than one row only where a point was stored twice.
+    return found.groupBy("match_id", "__at").agg(F.max(F.struct(*rest)).alias("p")).select("match_id", "p.*")
 
 
 def latest_n(df: DataFrame, keys: list[str], order: list[str], n: int, cap: int = 100) -> DataFrame:
