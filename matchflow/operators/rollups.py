@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from matchflow import schema as sc
 from matchflow.functions import running as run
+from matchflow.functions.joins import join_null_safe
 from matchflow.functions.scalars import clamp, count_if, flag, number, parse_payload, seconds_between, text
 
 ROUND = ["match_id", "map_id", "round_no"]
@@ -60,7 +61,6 @@ def _round_aggregates() -> list[Column]:
         ]
     return out + [
         F.count("*").alias("events_count"),
-        F.coalesce(_last(text("winner_team"), ended), F.lit("")).alias("round_winner"),
         F.min("ts_event").alias("first_event_ts"),
         F.max("ts_event").alias("last_event_ts"),
     ]
@@ -69,6 +69,17 @@ def _round_aggregates() -> list[Column]:
 _ROUND_FIELDS = ["killer_team", "is_headshot", "is_first_kill", "winner_team", "team_a_score", "team_b_score"]
 
 
+def _rounds(rows: DataFrame, keys: list[str], sums: list[Column], picks: list[Column], kinds: list[str]) -> DataFrame:
+    """Sums over all events, and picks by time over the events of ``kinds`` only.
+
+    Sums are numbers and times: their aggregate hashes. Picks carry text or
+    structs and make an aggregate sort its input, which is then the few events
+    of these types; only the rounds are joined.
+    """
+    told = rows.filter(_is(*kinds)).groupBy(*keys).agg(*picks)
+    return join_null_safe(rows.groupBy(*keys).agg(*sums), told, keys)
+
+
 def _finish_rounds(rounds: DataFrame) -> DataFrame:
     return rounds.withColumns({
         "date": F.to_date("first_event_ts"),
@@ -77,13 +88,20 @@ def _finish_rounds(rounds: DataFrame) -> DataFrame:
     })
 
 
-def round_metrics(raw: DataFrame, *more: Column, fields: list[str] | None = None) -> DataFrame:
+def round_metrics(
+    raw: DataFrame, *more: Column, picks: list[Column] | None = None, kinds: list[str] | None = None,
+    fields: list[str] | None = None,
+) -> DataFrame:
     """Kills, scores, winner and times of every round.
 
-    ``more`` adds aggregates (on payload ``fields``) to the same pass.
+    ``more`` adds aggregates over all events, ``picks`` such that read events
+    of the types ``kinds`` only; ``fields`` names payload fields they need.
     """
     rows = parse_payload(raw, *_ROUND_FIELDS, *(f for f in fields or [] if f not in _ROUND_FIELDS))
-    return _finish_rounds(rows.groupBy(*ROUND).agg(*_round_aggregates(), *more))
+    winner = _last(text("winner_team"), _is("round_end")).alias("round_winner")
+    rounds = _rounds(
+        rows, ROUND, [*_round_aggregates(), *more], [winner, *(picks or [])], ["round_end", *(kinds or [])])
+    return _finish_rounds(rounds.withColumn("round_winner", F.coalesce("round_winner", F.lit(""))))
 
 
 # How stored partial aggregates of rounds merge.
@@ -96,7 +114,7 @@ def round_partials(raw: DataFrame, batch: Column) -> DataFrame:
     """Round aggregates of each batch of events, in a form that can be merged."""
     rows = parse_payload(raw, *_ROUND_FIELDS).withColumn("batch", batch)
     win = F.max(F.when(_is("round_end"), F.struct("ts_event", "seq_no", text("winner_team").alias("winner"))))
-    return rows.groupBy("batch", *ROUND).agg(*_round_aggregates(), win.alias("last_win")).drop("round_winner")
+    return _rounds(rows, ["batch", *ROUND], _round_aggregates(), [win.alias("last_win")], ["round_end"])
 
 
 def merge_partials(
@@ -270,10 +288,12 @@ def round_enriched(raw: DataFrame, last_rounds: int = 5) -> DataFrame:
     economy = _is("economy_update")
     rounds = round_metrics(
         raw,
-        _last(number("team_a_econ"), economy).alias("team_a_econ"),
-        _last(number("team_b_econ"), economy).alias("team_b_econ"),
-        _first(text("killer_team"), _is("kill")).alias("first_blood_team"),
-        fields=["team_a_econ", "team_b_econ"],
+        picks=[
+            _last(number("team_a_econ"), economy).alias("team_a_econ"),
+            _last(number("team_b_econ"), economy).alias("team_b_econ"),
+            _first(text("killer_team"), _is("kill")).alias("first_blood_team"),
+        ],
+        kinds=["economy_update", "kill"], fields=["team_a_econ", "team_b_econ"],
     )
     balance = F.when(F.col("round_winner") == "A", 1).when(F.col("round_winner") == "B", -1).otherwise(0)
     moved = run.sliding(rounds, ["match_id", "map_id"], "round_no", last_rounds, _balance=balance)
@@ -295,7 +315,7 @@ def round_report(raw: DataFrame) -> DataFrame:
     end = F.struct("p.win_reason", "p.team_a_alive", "p.team_b_alive")
     blood = F.struct("p.killer_player_id", "p.killer_team")
     rounds = round_metrics(
-        raw, _last(end, ended).alias("end"), _first(blood, kill).alias("blood"),
+        raw, picks=[_last(end, ended).alias("end"), _first(blood, kill).alias("blood")], kinds=["kill"],
         fields=["win_reason", "team_a_alive", "team_b_alive", "killer_player_id"],
     )
     return rounds.select(

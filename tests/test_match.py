@@ -314,3 +314,10 @@ def test_composed_swing_maps_equal_the_rows(steps, starts):
         want = scoring._published(x, ps, free, allowed)[-1]
         assert near < 1e-9 or scoring._value(pieces, x) == pytest.approx(want, abs=1e-9)
     assert len(pieces) <= 40
+
+
+def test_rounds_are_aggregated_by_hash(spark, golden):
+    """Only the few events that name a winner are sorted."""
+    plan = rollups.round_metrics(golden)._jdf.queryExecution().optimizedPlan().toString()
+    sums, picks = (part for part in plan.split("Aggregate [")[1:])
+    assert "max_by" not in sums and "max_by" in picks and "round_end" in picks.split("Filter")[-1]
