@@ -86,7 +86,8 @@ def test_filter_never_forgets_and_seldom_errs(spark):
 
 def lines(spark, *given):
     """Validated messages: number of the event and hours after its time."""
-    text = [f'{{{",".join(chr(34) + k + chr(34) + ":" + (v if k == "payload" else chr(34) + v + chr(34)) for k, v in {**GOOD, "event_id": ID.format(n)}.items())}}}'
+    plain = ("payload", "round_no", "seq_no")  # sent as an object and as numbers, not as text
+    text = [f'{{{",".join(chr(34) + k + chr(34) + ":" + (v if k in plain else chr(34) + v + chr(34)) for k, v in {**GOOD, "event_id": ID.format(n)}.items())}}}'
             for n, _ in given]
     frame = spark.createDataFrame([(t, h * 3_600_000) for t, (_, h) in zip(text, given)], "value string, ms long")
     return pl.received(frame.select("value", F.timestamp_millis(F.col("ms") + 1_704_067_200_100).alias("timestamp")))
@@ -121,8 +122,9 @@ def test_conservation_counts_every_row(spark, tmp_path):
     given = [[(1, 0), (1, 0), (2, 0), (3, 3)], [(2, 0), (3, 3), (4, 9), (5, 0)]]
     for i, part in enumerate(given):
         frame = lines(spark, *part).select(
-            F.to_json(F.struct("event_id", "match_id", "map_id", "round_no", "ts_event", "ts_ingest", "type", "source",
-                               "seq_no", "trace_id", "event_schema_version", F.lit("{}").alias("payload"))).alias("value"),
+            F.to_json(F.struct("event_id", "match_id", "map_id", F.col("round_no").cast("long").alias("round_no"),
+                               "ts_event", "ts_ingest", "type", "source",
+                               F.col("seq_no").cast("long").alias("seq_no"), "trace_id", "event_schema_version", F.lit("{}").alias("payload"))).alias("value"),
             F.col("arrived").alias("timestamp"))
         frame = frame.withColumn("value", F.regexp_replace("value", '"payload":"\\{\\}"', '"payload":{}'))
         frame = frame.unionByName(spark.createDataFrame([("{broken",), ("{broken",)], "value string").withColumn(
