@@ -1,5 +1,6 @@
 """Streams across micro-batches and restarts."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from matchflow.plans import tables
 from matchflow.sources import fixtures as fx
 from matchflow.streaming import jobs
 from matchflow.streaming import pipeline as pl
+from matchflow.streaming.processors import SequenceProcessor
 from matchflow.streaming.states import StateTables, state_sink
 
 SF = f"{DATA}/sf0.001"
@@ -120,3 +122,38 @@ def test_batch_actions_of_ordered_events_are_all_in_order(spark):
     assert {(r.action, r.outcome) for r in rows.select("action", "outcome").distinct().collect()} == {
         ("process", "in_order")
     }
+
+
+def test_a_shard_costs_one_read_and_one_write_per_batch():
+    """Timers only where an event begins to wait or an hour begins; what waits is kept with the place."""
+    calls = []
+
+    class Place:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Place()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    processor = SequenceProcessor()
+    processor.init(Handle())
+    out = []
+    for seq, ms in ([1, 2], 0), ([3, 5], 1_000), ([4], 2_000), ([6, 7], 3_000):
+        frame = pd.DataFrame({"match_id": "m", "map_id": "x", "event_id": [f"e{n}" for n in seq], "seq_no": seq,
+                              "received_ms": ms, "age_ms": 10})
+        out += [tuple(r) for f in processor.handleInputRows(("m", "x"), iter([frame]), None)
+                for r in f[["event_id", "outcome", "since_ms"]].to_numpy()]
+    assert calls == ["get", 3 * 3_600_000, "update", "get", 3_001, "update", *["get", "update"] * 2]
+    assert out == [("e1", "in_order", 0), ("e2", "in_order", 0), ("e3", "in_order", 1_000), ("e5", "released", 1_000),
+                   ("e4", "in_order", 2_000), ("e6", "in_order", 3_000), ("e7", "in_order", 3_000)]
