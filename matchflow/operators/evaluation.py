@@ -154,7 +154,7 @@ def prediction_history_doc(pred: DataFrame, page: int = 500) -> DataFrame:
 
 def match_latest_prediction(matches: DataFrame, pred: DataFrame) -> DataFrame:
     """Every match with its latest prediction, if any."""
-    last = latest_prediction(pred).select(
-        "match_id", "ts_calc", "round_no", "p_team_a_win", "p_team_b_win", "confidence"
-    )
+    shown = ["match_id", "ts_calc", "round_no", "p_team_a_win", "p_team_b_win", "confidence"]
+    # Only what is shown takes part in the look-up, whose rows may have to be shuffled.
+    last = latest_prediction(pred.select(*shown, "state_version")).select(*shown)
     return matches.join(last, "match_id", "left")

@@ -321,3 +321,17 @@ def test_rounds_are_aggregated_by_hash(spark, golden):
     plan = rollups.round_metrics(golden)._jdf.queryExecution().optimizedPlan().toString()
     sums, picks = (part for part in plan.split("Aggregate [")[1:])
     assert "max_by" not in sums and "max_by" in picks and "round_end" in picks.split("Filter")[-1]
+
+
+def test_latest_prediction_of_a_match_looks_up_what_it_shows(spark, tmp_path):
+    """Wide columns of the predictions are not read, so they are not shuffled either."""
+    rows = spark.range(8).select(
+        (F.col("id") % 2).cast("string").alias("match_id"), F.timestamp_millis(F.col("id") * 1000).alias("ts_calc"),
+        F.col("id").alias("state_version"), F.lit(1).alias("round_no"), (F.col("id") / 10).alias("p_team_a_win"),
+        F.lit(0.5).alias("p_team_b_win"), F.lit(0.5).alias("confidence"), F.lit("wide").alias("features"),
+        F.create_map(F.lit("x"), F.lit(1.0)).alias("components"))
+    rows.write.parquet(f"{tmp_path}/p")
+    matches = spark.createDataFrame([("0",), ("1",), ("2",)], "match_id string")
+    got = evaluation.match_latest_prediction(matches, spark.read.parquet(f"{tmp_path}/p"))
+    assert {(r.match_id, r.p_team_a_win) for r in got.collect()} == {("0", 0.6), ("1", 0.7), ("2", None)}
+    assert "features" not in got._jdf.queryExecution().executedPlan().toString()
