@@ -19,7 +19,8 @@ from matchflow.sources import fixtures as fx
 from matchflow.streaming import pipeline as pl
 
 SLICES = 3
-FILES = 4
+#: Files of a slice: this many at least, and one for so many events of the whole table.
+FILES, FILE_EVENTS = 4, 50_000
 NOW = {"availableNow": True}
 _ran: dict[str, str] = {}
 
@@ -34,6 +35,11 @@ def _once(spark: SparkSession, sf_dir: str, name: str, job: Callable[[str], None
     return _ran[key]
 
 
+def _files(spark: SparkSession, sf_dir: str) -> int:
+    """Files of each slice. A micro-batch reads one slice, so its tasks grow with the table; results do not depend on it."""
+    return max(FILES, -(-tables.events(spark, sf_dir).count() // FILE_EVENTS))
+
+
 def _write_slices(rows: DataFrame, time_ms, path: str, write: Callable[[DataFrame, str], None], slices: int = SLICES) -> None:
     """Slices of equal length in time, one written after the other."""
     timed = rows.withColumn("_ms", time_ms)
@@ -65,13 +71,14 @@ def messages_folder(spark: SparkSession, sf_dir: str) -> str:
         def message(df: DataFrame, hours: int = 0) -> DataFrame:
             return df.select("value", (F.col("timestamp") + F.expr(f"INTERVAL {hours} HOURS")).alias("timestamp"))
 
-        write = lambda df, path: message(df).repartition(FILES).write.parquet(path)
+        files = _files(spark, sf_dir)
+        write = lambda df, path: message(df).repartition(files).write.parquet(path)
         _write_slices(first, F.unix_millis("timestamp"), f"{out}/first", write)
         more = {"later": (3, [3, 7], [3]), "last": (4, [9], [3, 5, 7])}
         for name, (hours, new, again) in more.items():
             # Every copy of what is new, one copy of what comes again.
             of = F.col("digit").isin(new) | (F.col("digit").isin(again) & (F.col("copy_no") == 0))
-            message(rows.filter(of), hours).repartition(FILES).write.parquet(f"{out}/{name}/slice={hours}")
+            message(rows.filter(of), hours).repartition(files).write.parquet(f"{out}/{name}/slice={hours}")
 
     return _once(spark, sf_dir, "messages", job)
 
@@ -99,7 +106,7 @@ def intake(spark: SparkSession, sf_dir: str) -> str:
         folder = messages_folder(spark, sf_dir)
         read = None
         for name, slices in (("a", f"{folder}/{{first,later}}/slice=*"), ("b", f"{folder}/last/slice=*")):
-            messages = pl.file_messages(spark, slices, FILES)
+            messages = pl.file_messages(spark, slices, _files(spark, sf_dir))
             query = pl.intake_stage(messages, out, NOW, f"{out}/_ckpt/{name}")
             pl.drain(query)
             rows = pl.observed(query)
@@ -114,7 +121,8 @@ def live_folder(spark: SparkSession, sf_dir: str) -> str:
 
     def job(out: str) -> None:
         rows = fx.live(tables.events(spark, sf_dir)).select(*sc.RAW.names)
-        write = lambda df, path: df.repartition(FILES).write.parquet(path)
+        files = _files(spark, sf_dir)
+        write = lambda df, path: df.repartition(files).write.parquet(path)
         _write_slices(rows, F.unix_millis("ts_ingest"), out, write, 4)
 
     return _once(spark, sf_dir, "live", job)
@@ -125,7 +133,7 @@ def sequence(spark: SparkSession, sf_dir: str) -> str:
 
     def job(out: str) -> None:
         pl.use_rocksdb(spark)
-        rows = spark.readStream.schema(sc.RAW).option("maxFilesPerTrigger", FILES).parquet(
+        rows = spark.readStream.schema(sc.RAW).option("maxFilesPerTrigger", _files(spark, sf_dir)).parquet(
             f"{live_folder(spark, sf_dir)}/slice=*")
         sink = pl.batch_sink((f"{out}/actions", lambda b: b))
         pl.drain(pl.start(pl.sequence_stage(rows), f"{out}/_ckpt", sink, trigger=NOW, timers=True))
@@ -140,7 +148,8 @@ def arrivals_folder(spark: SparkSession, sf_dir: str) -> str:
         rows = tables.events(spark, sf_dir)
         live = fx.live(rows, lost=False).select("event_id", F.unix_millis("ts_ingest").alias("_at"))
         timed = cut(rows.select(*sc.RAW.names).join(live, "event_id"))
-        write = lambda df, path: df.drop("_at").repartition(FILES).write.parquet(path)
+        files = _files(spark, sf_dir)
+        write = lambda df, path: df.drop("_at").repartition(files).write.parquet(path)
         _write_slices(timed, F.col("_at"), out, write)
 
     return _once(spark, sf_dir, "arrivals", job)
@@ -150,7 +159,7 @@ def states(spark: SparkSession, sf_dir: str) -> str:
     """States and predictions from events in order of arrival."""
 
     def job(out: str) -> None:
-        rows = spark.readStream.schema(sc.RAW).option("maxFilesPerTrigger", FILES).parquet(
+        rows = spark.readStream.schema(sc.RAW).option("maxFilesPerTrigger", _files(spark, sf_dir)).parquet(
             f"{arrivals_folder(spark, sf_dir)}/slice=*")
         pl.drain(pl.state_stage(rows, out, NOW))
 

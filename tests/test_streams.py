@@ -157,3 +157,13 @@ def test_a_shard_costs_one_read_and_one_write_per_batch():
     assert calls == ["get", 3 * 3_600_000, "update", "get", 3_001, "update", *["get", "update"] * 2]
     assert out == [("e1", "in_order", 0), ("e2", "in_order", 0), ("e3", "in_order", 1_000), ("e5", "released", 1_000),
                    ("e4", "in_order", 2_000), ("e6", "in_order", 3_000), ("e7", "in_order", 3_000)]
+
+
+def test_files_of_a_slice_grow_with_the_table(spark, monkeypatch):
+    """More files, and so more tasks, in as many micro-batches as before."""
+    monkeypatch.setattr(jobs, "FILE_EVENTS", 100)
+    monkeypatch.setattr(jobs, "_ran", {f"other {i}": "" for i in range(1000)})
+    wanted = -(-tables.events(spark, SF).count() // 100)
+    folder = jobs.live_folder(spark, SF)
+    slices = spark.read.parquet(folder).select("slice", F.input_file_name()).distinct().groupBy("slice").count().collect()
+    assert wanted > jobs.FILES and [r["count"] for r in slices] == [wanted] * 4
