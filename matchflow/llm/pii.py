@@ -220,10 +220,16 @@ def sanitised(documents: DataFrame) -> DataFrame:
     Rows, columns and texts without entities stay as they are.
     """
     ready(documents.sparkSession)
-    base = stored(detected(documents).withColumn("rid", F.monotonically_increasing_id()), "pii")
-    terms = term_spans(base, documents)
-    both = base.join(terms, "rid", "left").withColumn("all", F.concat("spans", F.coalesce("terms", F.array().cast(_SPANS))))
-    changed = both.withColumn("clean", F.when(F.size("all") > 0, masked(F.col("text"), F.col("all"))).otherwise(F.col("row.text")))
+    # The text is in the row already; kept beside it, it would be written and shuffled twice.
+    base = stored(detected(documents).select("row", "spans", F.monotonically_increasing_id().alias("rid")), "pii")
+    text = whole_text("row.text")
+    held = F.size("spans") > 0
+    terms = term_spans(base.filter(held).withColumn("text", text), documents)
+    # Terms are there only where entities are, so the other rows need not move.
+    both = base.filter(held).join(terms, "rid", "left").select(
+        "row", F.concat("spans", F.coalesce("terms", F.array().cast(_SPANS))).alias("all"))
+    both = both.unionByName(base.filter(~held).select("row", F.col("spans").alias("all")))
+    changed = both.withColumn("clean", F.when(F.size("all") > 0, masked(text, F.col("all"))).otherwise(F.col("row.text")))
     out = []
     for name, kind in documents.dtypes:
         old = F.col("row").getField(name)

@@ -115,3 +115,19 @@ def test_terms_far_off_and_short_ones_are_masked(documents):
     got = sorted(r["text"] for r in pii.sanitised(documents(rows)).collect())
     assert got[60:] == [f"somebody writes{filler} yours"] * 3
     assert got[:3] == [f"[TERM] [TERM] writes{filler} [EMAIL]{filler} yours [TERM]"] * 3
+
+
+def test_texts_are_kept_once_and_plain_rows_do_not_move(documents, monkeypatch):
+    kept, keep = {}, pii.stored
+
+    def stored(df, name):
+        kept[name] = keep(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(pii, "stored", stored)
+    out = pii.sanitised(documents([f"x{i}@mail.org" if i % 9 == 0 else f"plain {i}" for i in range(90)]))
+    assert sorted(kept["pii"].columns) == ["rid", "row", "spans"]
+    assert kept["pii-entities"].count() == 10
+    join = re.search(r"Join LeftOuter.*?(?=\nUnion|\Z)", out._jdf.queryExecution().optimizedPlan().toString(), re.S).group()
+    assert re.search(r"Filter .*size\(spans", join)
+    assert out.count() == 90 and out.filter("text like 'plain%'").count() == 80
