@@ -197,25 +197,42 @@ def _add_layers(df: DataFrame, layers: list[list[list[tuple[str, Column]]]]) ->
     return df
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, **requests: Running) -> DataFrame:
-    """Add one column per request, computed along ``order`` within ``keys``."""
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    chunks = Window.partitionBy(*keys).orderBy(_CHUNK)
+def running(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, ends_only: bool = False, **requests: Running
+) -> DataFrame:
+    """Add one column per request, computed along ``order`` within ``keys``.
+
+    With ``ends_only`` only the last row of each chunk is given, among them the
+    last one of each key; no other row is joined with what earlier chunks bring.
+
+    Keys and chunk are wrapped in structs, which equal each other where they
+    hold nulls. So the join is a plain one on what the rows are dealt and sorted
+    by already, and the windowed rows are not shuffled once more for it.
+    """
+    names = {k: f"__key_{k}" for k in keys}
+    held = [*names.values(), _CHUNK]
+    inside = Window.partitionBy(*held).orderBy(*order)
+    chunks = Window.partitionBy(*names.values()).orderBy(_CHUNK)
     parts = {name: _parts(name, spec, order, inside, chunks) for name, spec in requests.items()}
+    wrapped = {n: F.struct(F.col(k).alias("v")) for k, n in names.items()} | {_CHUNK: F.struct(chunk.alias("v"))}
 
-    local = _add_layers(df.withColumn(_CHUNK, chunk), [p.local for p in parts.values()])
-    if any(spec.kind in _ORDERED for spec in requests.values()):
+    local = _add_layers(df.withColumns(wrapped), [p.local for p in parts.values()])
+    if ends_only or any(spec.kind in _ORDERED for spec in requests.values()):
         # These need the order inside the chunk: read them off its last row.
         ends = dict(pair for p in parts.values() for pair in p.end or p.tail)
         after = {"__after": F.lead(F.lit(1)).over(inside)}
-        tails = local.withColumns(ends | after).filter("__after IS NULL").select(*keys, _CHUNK, *ends)
+        last = local.withColumns(ends | after).filter("__after IS NULL")
+        tails = last.select(*held, *ends)
+        if ends_only:
+            local = last.drop("__after", *(n for n in ends if n not in local.columns))
     else:
         # Combined before the shuffle: one row per chunk and task moves.
-        tails = local.groupBy(*keys, _CHUNK).agg(*(c.alias(n) for p in parts.values() for n, c in p.tail))
+        tails = local.groupBy(*held).agg(*(c.alias(n) for p in parts.values() for n, c in p.tail))
     carries = _add_layers(tails, [p.carry for p in parts.values()])
     wanted = [n for p in parts.values() for layer in p.carry for n, _ in layer]
-    joined = join_null_safe(local, carries.select(*keys, _CHUNK, *wanted), [*keys, _CHUNK], "inner")
-    return joined.select(*df.columns, *(p.result.alias(name) for name, p in parts.items()))
+    joined = local.join(carries.select(*held, *wanted), held, "inner")
+    columns = [F.col(names[c])["v"].alias(c) if c in names else F.col(c) for c in df.columns]
+    return joined.select(*columns, *(p.result.alias(name) for name, p in parts.items()))
 
 
 def sliding(df: DataFrame, keys: list[str], along: str, width: int, **values: Column) -> DataFrame:

@@ -30,7 +30,8 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str],
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(
-        spark, sf_dir, "events", lambda path: store.append_raw(fixtures.events(spark, sf_dir), path, "overwrite")
+        spark, sf_dir, "events",
+        lambda path: store.append_raw(fixtures.events(spark, sf_dir, deal=store.by_range), path, "overwrite", dealt=True),
     )
 
 

@@ -8,6 +8,8 @@ user holding a third of all events is still spread over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from matchflow.functions import running as run
 from matchflow.session import cut
 
 START_MS = 1_704_067_200_000
+#: Events of a file of the stored table.
+FILE_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +51,14 @@ def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _slot_width(df: DataFrame, column: str, rows: int) -> int:
-    """Width of a time slot that holds about ``rows`` events of the whole table.
+def _slot_width(df: DataFrame, column: str, rows: int) -> tuple[int, int]:
+    """Width of a time slot that holds about ``rows`` events of the whole table, and the number of events.
 
     One aggregate row reaches the driver. It only sets how finely a busy user
-    is cut; results do not depend on it.
+    is cut and how many files there are; results do not depend on it.
     """
     low, high, n = df.agg(F.min(column), F.max(column), F.count("*")).first()
-    return max(1, (high - low) * rows // n) if n else 1
+    return (max(1, (high - low) * rows // n) if n else 1), n
 
 
 def _payload() -> Column:
@@ -103,10 +107,18 @@ def _payload() -> Column:
     )
 
 
-def events(spark: SparkSession, sf_dir: str, chunk_rows: int = run.CHUNK_ROWS) -> DataFrame:
-    """Canonical stored events."""
+def events(
+    spark: SparkSession, sf_dir: str, chunk_rows: int = run.CHUNK_ROWS,
+    deal: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
+    """Canonical stored events.
+
+    ``deal`` (rows, partitions) spreads the rows by match, sequence and time. It
+    gets them while they are numbers, so it samples and moves no payload.
+    """
     clock = _clock(spark, sf_dir)
-    slot = F.floor(F.col("us") / _slot_width(clock, "us", chunk_rows))
+    width, n_events = _slot_width(clock, "us", chunk_rows)
+    slot = F.floor(F.col("us") / width)
     ranked = run.running(
         clock, ["user_id"], ["us", "event_no"], slot, rn=run.row_number(), n=run.whole(F.lit(1).cast("long"))
     )
@@ -133,17 +145,24 @@ def events(spark: SparkSession, sf_dir: str, chunk_rows: int = run.CHUNK_ROWS) -
     rounds = run.running(
         typed, ["user_id", "map_no"], ["rn"], F.floor(rn / chunk_rows), ended=run.total(ended, prior=True)
     )
-    ts_ms = START_MS + F.col("user_id") * 420_000 + F.expr(f"(us - {START_MS * 1000}) div 20000000")
-    return rounds.select(
+    placed = rounds.select("event_no", "user_id", "map_no", "ended", "k", "type", F.col("rn").cast("long").alias("seq_no"), (
+        START_MS + F.col("user_id") * 420_000 + F.expr(f"(us - {START_MS * 1000}) div 20000000")).alias("ts_ms"))
+    if deal is not None:
+        placed = cut(placed)
+    placed = placed.withColumns({"match_id": uid(F.col("user_id")), "ts_event": stamp(F.col("ts_ms"))})
+    if deal is not None:
+        placed = deal(placed, max(spark.sparkContext.defaultParallelism, n_events // FILE_ROWS))
+    ts_ms = F.col("ts_ms")
+    return placed.select(
         uid(F.col("event_no")).alias("event_id"),
-        uid(F.col("user_id")).alias("match_id"),
+        "match_id",
         uid(F.col("user_id") * 10 + F.col("map_no")).alias("map_id"),
         (F.col("ended") + 1).cast("int").alias("round_no"),
-        stamp(ts_ms).alias("ts_event"),
+        "ts_event",
         stamp(ts_ms + k * 7).alias("ts_ingest"),
         "type",
         F.concat(F.lit("provider_"), (F.col("user_id") % 3).cast("string")).alias("source"),
-        F.col("rn").cast("long").alias("seq_no"),
+        "seq_no",
         _payload().alias("payload"),
         F.concat(F.lit("trace-"), F.col("event_no").cast("string")).alias("trace_id"),
         ts_ms.cast("long").alias("version"),

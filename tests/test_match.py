@@ -335,3 +335,18 @@ def test_latest_prediction_of_a_match_looks_up_what_it_shows(spark, tmp_path):
     got = evaluation.match_latest_prediction(matches, spark.read.parquet(f"{tmp_path}/p"))
     assert {(r.match_id, r.p_team_a_win) for r in got.collect()} == {("0", 0.6), ("1", 0.7), ("2", None)}
     assert "features" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_events_are_dealt_without_payloads(spark):
+    from matchflow.sources import fixtures, store
+
+    dealt = []
+
+    def deal(rows, n):
+        dealt.append((rows.columns, n))
+        return store.by_range(rows, n)
+
+    sf = "/root/testdata/sf0.001"
+    got, want = fixtures.events(spark, sf, deal=deal), fixtures.events(spark, sf)
+    assert "payload" not in dealt[0][0] and dealt[0][1] >= 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

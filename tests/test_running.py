@@ -94,3 +94,28 @@ def test_sliding_equals_range_frame(spark, rows, monkeypatch, size):
     assert sorted(str(tuple(r)) for r in have) == sorted(str(tuple(r)) for r in want)
     assert got.count() == len(want) + 2 and got.filter("pos IS NULL AND n IS NULL").count() == 2
     assert "RangeFrame" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windowed_rows_are_not_shuffled_again_for_the_join(spark, rows):
+    """Of four shuffles only the two of the slim rows and of the ends move rows; the join is on what they are dealt by."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = run.running(rows, ["key"], ["pos"], F.floor(F.col("pos") / 50), x=run.since(F.lit(1), F.col("mark")))
+        plan = got._jdf.queryExecution().sparkPlan().toString(), got._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan[1].split("\n") if "Exchange hashpartitioning" in line]
+        assert len(dealt) == 4 and not any("coalesce" in line or "isnull" in line for line in dealt)
+        assert got.count() == rows.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("size", [7, 5000])
+def test_ends_only_gives_the_last_rows_of_chunks(rows, size):
+    requests = {"t": run.total(F.col("v")), "s": run.since(F.lit(1), F.col("mark")), "l": run.latest(F.col("v"))}
+    chunk = F.floor(F.col("pos") / size)
+    every = run.running(rows, ["key"], ["pos"], chunk, **requests)
+    last = every.join(rows.groupBy("key", chunk.alias("c")).agg(F.max("pos").alias("pos")).drop("c"), ["key", "pos"]).select(every.columns)
+    ends = run.running(rows, ["key"], ["pos"], chunk, True, **requests)
+    assert ends.columns == every.columns
+    assert sorted(map(str, ends.collect())) == sorted(map(str, last.collect()))
