@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 _KIND, _CARRY = "_kind", "_carry"
+#: Rows of results that go back together.
+_TOGETHER = 5_000
 #: (rows of a chunk, carry or None) -> rows out
 Work = Callable[[pa.Table, bytes | None], pa.Table]
 
@@ -72,7 +74,8 @@ def per_chunk(
 ) -> DataFrame:
     """``work`` on the rows of every chunk, and on what is carried into it.
 
-    ``schema`` names what it returns besides the keys and the chunk.
+    ``schema`` names what it returns besides the keys and the chunk. Results of
+    small chunks go back together, some thousand rows at a time.
     """
     keyed = [*keys, CHUNK]
     rows = df.withColumns({_KIND: F.lit(1), _CARRY: F.lit(None).cast("binary")})
@@ -81,19 +84,32 @@ def per_chunk(
         rows = rows.unionByName(carries.select(*keyed, F.lit(0).alias(_KIND), _CARRY, *blank))
     kinds = dict(df.dtypes)
 
+    def together(found: list[tuple[tuple, pa.Table]], fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+        whole = pa.concat_tables([out for _, out in found]).combine_chunks()
+        place = pa.array(np.repeat(np.arange(len(found)), [out.num_rows for _, out in found]))
+        for i, name in enumerate(keyed):
+            one = pa.array([key[i] for key, _ in found], fields.field(name).type)
+            whole = whole.add_column(i, name, one.take(place))
+        yield from whole.to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n, fields = [], 0, None
         for key, held in _slices(batches, keyed):
             whole = _table(held)
+            fields = whole.schema
             first = whole.column(_KIND)[0].as_py() == 0
             carry = whole.column(_CARRY)[0].as_py() if first else None
             own = (whole.slice(1) if first else whole).drop_columns([_KIND, _CARRY])
             if not own.num_rows:
                 continue
             out = work(own, carry)
-            for i, name in enumerate(keyed):
-                same = pa.array([key[i]] * out.num_rows, whole.schema.field(name).type)
-                out = out.add_column(i, name, same)
-            yield from out.to_batches()
+            found.append((key, out))
+            n += out.num_rows
+            if n >= _TOGETHER or len(found) >= _TOGETHER:
+                yield from together(found, fields)
+                found, n = [], 0
+        if found:
+            yield from together(found, fields)
 
     spread = rows.repartition(*keyed).sortWithinPartitions(*keyed, _KIND, *order)
     return spread.mapInArrow(run, ", ".join([*(_field(k, kinds[k]) for k in keyed), schema]))

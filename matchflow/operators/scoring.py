@@ -189,7 +189,7 @@ def _swing_step(before: bytes | None, summary: bytes, _: bytes | None) -> tuple[
 
 def _swing_rows(rows: pa.Table, carry: bytes | None) -> pa.Table:
     ms, ps = rows.column("ms").to_pylist(), rows.column("p").to_pylist()
-    values = _published(pickle.loads(carry), ps, *_limits(ms))
+    values = _published(pickle.loads(carry) if carry else ps[0], ps, *_limits(ms))
     return pa.table({"state_version": rows.column("state_version"), "p_team_a_win": pa.array(values, pa.float64())})
 
 
@@ -203,7 +203,8 @@ def limit_swing(scored: DataFrame, chunk_rows: int = run.CHUNK_ROWS, before: Dat
     is linear in the rows, however long a match is limited without pause.
 
     ``before`` (match_id, ms, p) has the last value published before the given
-    rows of a match, and when. Reads its input three times.
+    rows of a match, and when. Most matches are one chunk, whose first row is
+    published as it is; only matches of several chunks are summed up.
     """
     points = scored.select(
         "match_id", F.col("state_version").cast("long").alias("state_version"),
@@ -214,7 +215,12 @@ def limit_swing(scored: DataFrame, chunk_rows: int = run.CHUNK_ROWS, before: Dat
         points = points.unionByName(before.select("match_id", F.lit(-1).cast("long").alias("state_version"), "ms", "p"))
     slim = sn.chunked(points, _chunk(chunk_rows))
     keys, order = ["match_id"], ["state_version"]
-    carries = sn.carried(sn.summed_up(slim, keys, order, _swing_summary), keys, _swing_step)
+    several = slim
+    if before is None:
+        # Versions count from 1, so all else is one chunk; at most one match in ``chunk_rows`` rows is found here.
+        long = slim.filter(~F.col("state_version").between(0, chunk_rows - 1)).select(*keys).distinct()
+        several = slim.join(F.broadcast(long), keys, "left_semi")
+    carries = sn.carried(sn.summed_up(several, keys, order, _swing_summary), keys, _swing_step)
     published = sn.per_chunk(slim, keys, order, _swing_rows, "state_version bigint, p_team_a_win double", carries)
     return scored.join(published.drop(sn.CHUNK), ["match_id", "state_version"]).select(*scored.columns, "p_team_a_win")
 

@@ -350,3 +350,18 @@ def test_stored_events_are_dealt_without_payloads(spark):
     got, want = fixtures.events(spark, sf, deal=deal), fixtures.events(spark, sf)
     assert "payload" not in dealt[0][0] and dealt[0][1] >= 1
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_matches_of_one_chunk_are_not_summed_up(spark, monkeypatch):
+    from matchflow.operators import scoring
+
+    rows = spark.range(1, 90).select(
+        F.lit("m").alias("match_id"), F.col("id").alias("state_version"), F.timestamp_millis(F.col("id") * 300).alias("ts_event"),
+        F.when(F.col("id") % 7 < 3, 0.1).otherwise(0.9).alias("p_raw"))
+    want = sorted(map(tuple, scoring.limit_swing(rows, chunk_rows=10).collect()))
+
+    def fails(rows, carry):
+        raise AssertionError("summed up")
+
+    monkeypatch.setattr(scoring, "_swing_summary", fails)
+    assert sorted(map(tuple, scoring.limit_swing(rows).collect())) == want
