@@ -48,6 +48,10 @@ class _State(NamedTuple):
     last: int | None = None
 
 
+#: What the first chunk of a shard starts from.
+_FIRST = _State(0, -(1 << 62), None, *od.NOTHING, [])
+
+
 def _column(rows: pa.Table, name: str) -> np.ndarray:
     return rows.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
@@ -78,7 +82,7 @@ def _arrivals(rules: od.Rules):
         since = np.maximum(own.since, old.clock) if before else own.since
         held = _near(top, clock, np.concatenate([old.seq, own.seq]), np.concatenate([old.since, since]),
                      old.ids + own.ids, rules)
-        known = old if before else _State(0, -(1 << 62), None, *od.NOTHING, [])
+        known = old if before else _FIRST
         return pickle.dumps(known), pickle.dumps(_State(old.rows + own.rows, clock, top, *held))
 
     return summary, step
@@ -117,7 +121,7 @@ def _outcomes(rules: od.Rules):
     """
 
     def work(rows: pa.Table, carry: bytes | None) -> pa.Table:
-        state = pickle.loads(carry)
+        state = pickle.loads(carry) if carry else _FIRST
         seq, clock = _column(rows, "seq_no"), _clock(rows, state)
         waits = np.flatnonzero((state.seq > state.last) if state.last is not None else np.zeros(0, bool))
         held = od.Held(state.seq[waits], state.since[waits])
@@ -141,6 +145,7 @@ def sequence_actions(
     gap: int = sc.SEQ_GAP,
     lateness_ms: int = sc.MAX_LATENESS_MS,
     until_ms: Column | None = None,
+    chunk_rows: int = run.CHUNK_ROWS,
 ) -> DataFrame:
     """What to do with each event on arrival, and what became of buffered ones.
 
@@ -158,6 +163,7 @@ def sequence_actions(
     Shards are cut into chunks along the order of arrival (``scan``). Lost and
     repeated numbers need no special care: an arrival is a map on ``gap + 2``
     possible places of the last number, and chunks are composed of such maps.
+    A shard of at most ``chunk_rows`` rows is one chunk, worked through at once.
     Input holds each event once (see ``dedup``).
     """
     rules = od.Rules(gap, lateness_ms)
@@ -166,11 +172,15 @@ def sequence_actions(
         F.unix_millis("ts_ingest").alias("received_ms"),
         (F.unix_millis("ts_ingest") - F.unix_millis("ts_event")).alias("age_ms"), chunk.alias(sn.CHUNK),
     ), F.col(sn.CHUNK)))
+    # One row per busy shard, so at most one in ``chunk_rows`` rows of the input.
+    busy = F.broadcast(slim.groupBy(*SHARD).agg(F.count("*").alias("n")).filter(F.col("n") > chunk_rows).select(*SHARD))
+    cut_up = slim.join(busy, SHARD, "left_semi")
+    at_once = slim.join(busy, SHARD, "left_anti").withColumn(sn.CHUNK, F.lit(0).cast("long"))
     summary, step = _arrivals(rules)
-    starts = sn.carried(sn.summed_up(slim, SHARD, order, summary), SHARD, step)
+    starts = sn.carried(sn.summed_up(cut_up, SHARD, order, summary), SHARD, step)
     summary, step = _maps(rules)
-    carries = sn.carried(sn.summed_up(slim, SHARD, order, summary, starts), SHARD, step)
-    told = sn.per_chunk(slim, SHARD, order, _outcomes(rules), _OUT, carries)
+    carries = sn.carried(sn.summed_up(cut_up, SHARD, order, summary, starts), SHARD, step)
+    told = sn.per_chunk(at_once.unionByName(cut_up), SHARD, order, _outcomes(rules), _OUT, carries)
     waiting = F.col("code") == od.WAITING
     # An event that waits across chunks is told of by each: the one that knows its end counts.
     once = told.groupBy(*SHARD, "event_id", "seq_no").agg(

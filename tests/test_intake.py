@@ -308,3 +308,26 @@ def test_retry_counters(spark, most, life):
         assert r.dead == (r.tries == most)
         got.setdefault(r.event_id, []).append((r.failed_at, r.tries, r.first_failed_at))
     assert got == {e: plain_ledger(times, most, life) for e, times in events.items()}
+
+
+def test_shards_of_one_chunk_are_worked_through_at_once(spark, monkeypatch):
+    """They are not summed up first; cut into chunks all the same they give the same."""
+    pick = random.Random(8)
+    order = sorted((s for s in range(1, 200) if pick.random() >= 0.05), key=lambda s: s + pick.random() * 12)
+    rows = [("m", x, f"{x}{i}", s, i, 400 * i) for x in "ab" for i, s in enumerate(order)]
+    rows += [("m", "c", f"c{i}", i + 1, i, 400 * i) for i in range(20)]
+    frame = arrivals(spark, rows)
+
+    def outcomes(chunk_rows):
+        done = sequence.sequence_actions(frame, ["place"], F.floor(F.col("place") / 9), chunk_rows=chunk_rows)
+        return sorted((tuple(r) for r in done.collect()), key=str)
+
+    cut_up = outcomes(0)
+    assert len(cut_up) == len(rows) and outcomes(50) == cut_up
+    first = sequence._arrivals
+
+    def fails(rows, carry):
+        raise AssertionError("summed up")
+
+    monkeypatch.setattr(sequence, "_arrivals", lambda rules: (fails, first(rules)[1]))
+    assert outcomes(1000) == cut_up
