@@ -233,7 +233,11 @@ def validate(
     if sent is not None:
         errors.append(sent_errors(sent, typed))
     found = F.concat(*errors)
-    return events.withColumn("errors", found if sent is None else F.array_distinct(found)).drop("p", *([sent] if sent else []))
+    # Through a generator of one row: a filter on the errors then stays behind it, where the payload is
+    # parsed once and every rule is tried once. Pushed into the scan, it would parse again for each rule.
+    errors = F.explode(F.array(found if sent is None else F.array_distinct(found))).alias("errors")
+    kept = [c for c in events.columns if c not in ("p", sent, "errors")]
+    return events.select(*kept, errors)
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
