@@ -30,13 +30,15 @@ def seq_chunk(rows: int = run.CHUNK_ROWS) -> Column:
 
 
 def match_state(
-    raw: DataFrame, strength: DataFrame | None = None, chunk_rows: int = run.CHUNK_ROWS, before: DataFrame | None = None
+    raw: DataFrame, strength: DataFrame | None = None, chunk_rows: int = run.CHUNK_ROWS, before: DataFrame | None = None,
+    ends_only: bool = False,
 ) -> DataFrame:
     """One row per event with the state after it.
 
     ``strength`` (team id, rating) sets team ratings; without it all teams rate
     1000. ``before`` are rows of an earlier result, one per match: the state
-    that the first of the given events of the match meets.
+    that the first of the given events of the match meets. ``ends_only`` gives
+    the last state of each chunk of events only, which is all a replay ends with.
     """
     kind = F.col("type")
 
@@ -97,7 +99,7 @@ def match_state(
     slim = parse_payload(raw, *_FIELDS).select(
         "event_id", "match_id", "map_id", "round_no", "type", "seq_no", "ts_event", "ts_ingest", "p"
     )
-    folded = run.running(slim, ["match_id"], ORDER, seq_chunk(chunk_rows), **requests)
+    folded = run.running(slim, ["match_id"], ORDER, seq_chunk(chunk_rows), ends_only, **requests)
     if before is not None:
         folded = _continued(folded, before)
     for t in "ab":

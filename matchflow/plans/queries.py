@@ -344,7 +344,7 @@ def replay_diff(spark, d):
     fields = ["score_a", "score_b", "round_no"]
 
     def last(rows):
-        return st.final_state(st.match_state(rows)).select(
+        return st.final_state(st.match_state(rows, ends_only=True)).select(
             "match_id", F.col("team_a.score").alias("score_a"), F.col("team_b.score").alias("score_b"), "round_no"
         )
 
@@ -680,7 +680,7 @@ def match_state(spark, d):
 
 @query
 def replay_final_state(spark, d):
-    return state_out(st.final_state(tables.states(spark, d)))
+    return state_out(st.final_state(st.match_state(tables.events(spark, d), ends_only=True)))
 
 
 @query

@@ -365,3 +365,15 @@ def test_matches_of_one_chunk_are_not_summed_up(spark, monkeypatch):
 
     monkeypatch.setattr(scoring, "_swing_summary", fails)
     assert sorted(map(tuple, scoring.limit_swing(rows).collect())) == want
+
+
+def test_a_replay_ends_with_the_ends_of_chunks(spark):
+    from matchflow.operators import state
+    from matchflow.plans import tables
+
+    raw = tables.events(spark, "/root/testdata/sf0.001")
+    want = state.final_state(state.match_state(raw))
+    got = state.final_state(state.match_state(raw, chunk_rows=9, ends_only=True))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert state.match_state(raw, ends_only=True).count() == want.count() < raw.count()
