@@ -33,7 +33,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def as_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and digests of the ids and of the bytes that they decode to."""
-    return bpe.with_digests(bpe.encode(docs))
+    return bpe.encode(docs, digested=True)
 
 
 #: Name and function (spark, docs, sf_dir) -> DataFrame of every stage, in order.

@@ -18,7 +18,6 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import ready, scratch, slices_of, table, tidy, whole_text
+from matchflow.llm.common import give_back, ready, remembered, scratch, slices_of, table, tidy, whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk: what a task holds decoded at a time. One longer text is a chunk by itself.
@@ -39,20 +38,21 @@ CHUNK_CHARS = 4_000_000
 MEMORY_WORDS = 200_000
 
 _SCHEMA = "chunk long, slice int, keys binary, body binary"
+_WITH_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
-@lru_cache(maxsize=4)
+@remembered
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=4)
+@remembered
 def encoding_of(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-@lru_cache(maxsize=4)
+@remembered
 def token_bytes_of(path: str) -> list[bytes]:
     """The token-byte table: byte string of each id."""
     ranks = ranks_of(path)
@@ -62,7 +62,7 @@ def token_bytes_of(path: str) -> list[bytes]:
     return out
 
 
-@lru_cache(maxsize=4)
+@remembered
 def digits_of(path: str) -> list[bytes]:
     return [b"%d" % i for i in range(len(token_bytes_of(path)))]
 
@@ -221,12 +221,28 @@ def _parts(data: bytes, sizes: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def encode(documents: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+def _assembled_with_digests(path: str):
+    """As _assembled, with the columns of ``digests``: ids meet their digests in the worker that made them."""
+
+    def assemble(chunk: pa.Table, encoded: pa.Table) -> pa.Table:
+        try:
+            out = []
+            for batch in _assembled(chunk, encoded).to_batches():
+                out.append(_digested(batch, path).append_column("ids", batch.column(1)))
+            return pa.Table.from_batches(out)
+        finally:
+            give_back()
+
+    return assemble
+
+
+def encode(documents: DataFrame, path: str | None = None, text: str = "text", digested: bool = False) -> DataFrame:
     """Token ids of every whole text: doc_id, ids array<int>, without special tokens.
 
     Null and empty texts have no ids. Rows are never merged: equal rows and rows
     without doc_id give a row each. Other columns are left out, whatever their
-    names. An empty table gives no row.
+    names. An empty table gives no row. With ``digested`` the result is that of
+    ``with_digests``, by one Python worker for each task instead of two.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     ready(documents.sparkSession)
@@ -243,8 +259,10 @@ def encode(documents: DataFrame, path: str | None = None, text: str = "text") ->
     kept = spark.table(name).select("chunk", "slice", "keys", "body", "words")
     words = kept.filter("words").drop("words").repartition(slices, "slice").mapInArrow(_encoder(path), _SCHEMA)
     chunks = kept.filter("not words").drop("words")
-    out = chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_assembled, "doc_id long, ids array<int>")
-    return out
+    both = chunks.groupBy("chunk").cogroup(words.groupBy("chunk"))
+    if digested:
+        return both.applyInArrow(_assembled_with_digests(path), _WITH_DIGESTS)
+    return both.applyInArrow(_assembled, "doc_id long, ids array<int>")
 
 
 def _decoder(path: str):
@@ -269,23 +287,27 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(_decoder(path), "doc_id long, ids array<int>, bytes binary")
 
 
+def _digested(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    digit, joined = digits_of(path).__getitem__, token_bytes_of(path).__getitem__
+    offsets = batch.column(1).offsets.to_numpy()
+    flat = batch.column(1).values.to_numpy()
+    counts, of_ids, of_bytes = [], [], []
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        ids = flat[a:b].tolist()
+        counts.append(len(ids))
+        of_ids.append(hashlib.sha256(b",".join(map(digit, ids))).hexdigest())
+        of_bytes.append(hashlib.sha256(b"".join(map(joined, ids))).hexdigest())
+    return pa.RecordBatch.from_pydict({
+        "doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()),
+        "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string()),
+    })
+
+
 def _digester(path: str):
     @tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digit, joined = digits_of(path).__getitem__, token_bytes_of(path).__getitem__
         for batch in batches:
-            offsets = batch.column(1).offsets.to_numpy()
-            flat = batch.column(1).values.to_numpy()
-            counts, of_ids, of_bytes = [], [], []
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                ids = flat[a:b].tolist()
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(b",".join(map(digit, ids))).hexdigest())
-                of_bytes.append(hashlib.sha256(b"".join(map(joined, ids))).hexdigest())
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()),
-                "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string()),
-            })
+            yield _digested(batch, path)
 
     return digest
 
@@ -304,11 +326,9 @@ def with_digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     @tidy
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in _digester(path)(iter([batch])):
-                yield out.append_column("ids", batch.column(1))
+            yield _digested(batch, path).append_column("ids", batch.column(1))
 
-    return encoded.select("doc_id", "ids").mapInArrow(
-        both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    return encoded.select("doc_id", "ids").mapInArrow(both, _WITH_DIGESTS)
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -21,14 +21,13 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import ready, table, tidy, whole_text
+from matchflow.llm.common import ready, remembered, table, tidy, whole_text
 
 #: Labelled rows that the lexicon and the weights are fitted on at most: the first by a hash of doc_id.
 TRAINING_ROWS = 20_000
@@ -141,7 +140,7 @@ class Model:
     weights: tuple[float, ...] = ()
 
 
-@lru_cache(maxsize=4)
+@remembered
 def _automaton(terms: tuple[str, ...]) -> Automaton:
     return Automaton(terms)
 

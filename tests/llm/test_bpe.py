@@ -2,13 +2,15 @@
 
 import base64
 import hashlib
+import re
 
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from matchflow.llm import bpe
+import corpus_pipeline
+from matchflow.llm import bpe, toxicity
 
 TEXTS = [
     "", None, " ", "\n\n  \t x", "Hello world, it's 2024!  two  spaces", "naïve café — déjà vu 12³ ½ Ⅷ", "日本語のテキスト 😀😀 emojí",
@@ -56,3 +58,26 @@ def test_words_of_all_tasks_are_encoded_alike(documents, library, words, monkeyp
     texts = [words(60, i, 300) for i in range(40)]
     got = {r["doc_id"]: r["ids"] for r in bpe.encode(documents(texts).repartition(6)).collect()}
     assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_digests_come_with_the_ids(documents, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 40)
+    frame = documents([*TEXTS, (None, "a b c"), (None, "a b c")]).repartition(3)
+    got, want = bpe.encode(frame, digested=True), bpe.with_digests(bpe.encode(frame))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert bpe.encode(documents([]), digested=True).collect() == []
+
+
+def test_the_pipeline_ends_in_one_python_worker_for_each_task(documents):
+    plan = corpus_pipeline.as_token_ids(None, documents(TEXTS), "")._jdf.queryExecution().executedPlan().toString()
+    last = re.split("Exchange|FileScan", plan)[0]  # what runs in one task
+    assert last.count("InArrow") == 1
+
+
+def test_a_worker_drops_what_other_operators_remember():
+    toxicity._automaton(("idiot",)).edits("idiot")
+    bpe.ranks_of(public_tokenizers.path(bpe.VOCABULARY))
+    list(bpe._digester(public_tokenizers.path(bpe.VOCABULARY))(iter([])))
+    assert toxicity._automaton.cache_info().currsize == 0
+    assert bpe.ranks_of.cache_info().currsize == 1
